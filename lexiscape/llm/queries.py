@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscape.llm import simhash
+from lexiscape.llm import binary, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op5_simhash": op5_simhash}
+    return {f.__name__: f for f in (op1_token_blocks, op4_best_fit_packing, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
