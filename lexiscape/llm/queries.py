@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscape.llm import binary, decontaminate, langid, packing, simhash
+from lexiscape.llm import binary, decontaminate, langid, packing, pii, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +30,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_blocks, op4_best_fit_packing, op5_simhash, op6_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_blocks, op4_best_fit_packing, op5_simhash, op6_decontamination, op8_personal_data, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
