@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscape.llm import binary, decontaminate, langid, packing, pii, simhash
+from lexiscape.llm import ann, binary, decontaminate, langid, packing, pii, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_blocks, op4_best_fit_packing, op5_simhash, op6_decontamination, op8_personal_data, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_blocks, op2_nearest_vectors, op3_url_filter, op4_best_fit_packing, op5_simhash, op6_decontamination, op8_personal_data, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
