@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscape.llm import ann, binary, decontaminate, langid, packing, pii, simhash, urls
+from lexiscape.llm import ann, binary, decontaminate, kneser, langid, licenses, packing, pii, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_blocks, op2_nearest_vectors, op3_url_filter, op4_best_fit_packing, op5_simhash, op6_decontamination, op8_personal_data, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_blocks, op2_nearest_vectors, op3_url_filter, op4_best_fit_packing, op5_simhash, op6_decontamination, op7_perplexity_quality, op8_personal_data, op9_license_scan, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
