@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiscape.llm import text as T
 from lexiscape.session import Scratch
 
 K, EVERY = 20, 20
@@ -182,7 +183,7 @@ def search(rows: DataFrame, every: int = EVERY, k: int = K, target: float = TARG
     n, norm = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    sample = T.sample(rows, SAMPLE, "id").toPandas()
     tree = Tree(lifted(np.stack(sample["v"].to_numpy()), norm), min(MAX_LEAVES, -(-n // LEAF_ROWS)))
     shared = spark.sparkContext.broadcast((tree, norm))
 
@@ -195,7 +196,7 @@ def search(rows: DataFrame, every: int = EVERY, k: int = K, target: float = TARG
     leaves = scratch.table(rows.mapInArrow(assign, "id long, v array<double>, leaf int"))
     size = {r["leaf"]: r["count"] for r in leaves.groupBy("leaf").count().collect()}  # a row a leaf
     # calibration: exact neighbours of a bounded set of queries, and the leaf visit at which each is met
-    probe = rows.where(F.pmod("id", F.lit(every)) == 0).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION).toPandas().drop_duplicates("id")
+    probe = T.sample(rows.where(F.pmod("id", F.lit(every)) == 0), CALIBRATION, "id").toPandas().drop_duplicates("id")
     visits = len(tree.leaf)
     if len(probe):
         q_ids, q = probe["id"].to_numpy(), np.stack(probe["v"].to_numpy())

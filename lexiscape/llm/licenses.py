@@ -122,7 +122,7 @@ def n_grams(w: list[str], n: int = 3) -> set[tuple[str, ...]]:
 
 def train(docs: DataFrame, negative_docs: int = NEGATIVE_DOCS, negatives: int = NEGATIVES) -> Model:
     known = set().union(*(n_grams(words(t)) for own in TEMPLATES.values() for t in own))
-    rows = T.id_text(docs).where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(negative_docs).select("text").toLocalIterator()
+    rows = T.sample(T.id_text(docs).where("text is not null"), negative_docs, "doc_id").select("text").toLocalIterator()
     lines = [p for r in rows for p in r["text"].split("\n")[:40] if p.strip() and not (n_grams(words(p)) & known) and not (CUES & set(words(p)))]
     return Model(lines[:negatives] or ["no licence here"])
 

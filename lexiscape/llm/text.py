@@ -26,6 +26,15 @@ def id_text(docs: DataFrame, *more: str, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"), *more)
 
 
+def sample(rows: DataFrame, n: int, key: str, spare: int = 4) -> DataFrame:
+    """The n rows of smallest id hash among those in one of the hash classes that hold about spare * n rows.
+
+    Small tables have one class. Tasks so return a few rows each, not n, whatever their number.
+    """
+    classes = max(1, rows.count() // (spare * n))
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(classes)) == 0).orderBy(F.xxhash64(key, F.lit(1)), key).limit(n)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches by the bytes of a column."""
     for batch in batches:
