@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 C = F.col
@@ -24,13 +24,6 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / norm(a))
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Average rank over the table or group, from 1; ties share their mean."""
-    order = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0)
-
-
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.least(x, F.lit(hi)), F.lit(lo))
 

@@ -10,7 +10,7 @@ from lexiscape.functions.columns import similar
 
 def exploded(rows: DataFrame, key: str, words: str, normal=F.trim, stop: list[str] = ()) -> DataFrame:
     """(id, w): each document's different keywords."""
-    out = rows.select(F.col(key).alias("id"), normal(F.explode(words)).alias("w")).where("w <> ''")
+    out = rows.select(F.col(key).alias("id"), F.explode(F.transform(words, normal)).alias("w")).where("w <> ''")
     return (out.where(~F.col("w").isin(list(stop))) if stop else out).dropDuplicates(["id", "w"])
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiscape.functions.columns import average_rank, dot, unit
+from lexiscape.functions.columns import dot, unit
 from lexiscape.session import Scratch
 
 #: Bytes of the matrix that may be sent to every task; beyond it, queries and candidates meet in blocks.
@@ -166,12 +166,6 @@ def recall(high: DataFrame, low: DataFrame, k: int = 15) -> DataFrame:
     return high.select("src").distinct().join(both, "src", "left").agg(F.avg(F.coalesce("n", F.lit(0)) / F.lit(float(k))).alias("recall"))
 
 
-def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation over rows where both are defined."""
-    r = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return r.select(average_rank(a).alias("x"), average_rank(b).alias("y")).agg(F.corr("x", "y").alias("rho"), F.count("*").alias("n"))
-
-
 def materialised(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """An edge table for several uses."""
     return (scratch or Scratch(edges.sparkSession)).table(edges)

@@ -159,13 +159,6 @@ def local_density(edges: DataFrame, k: int, dimension: int) -> DataFrame:
     return edges.where((F.col("rank") == k) & (F.col("dist") > 0)).select(F.col("src").alias("id"), (1 / F.pow("dist", F.lit(float(dimension)))).alias("density"))
 
 
-def gini(rows: DataFrame, value: str) -> DataFrame:
-    """Gini coefficient and log10(p90 / p10)."""
-    n = Window.partitionBy()
-    r = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.row_number().over(Window.orderBy(value)).alias("r"), F.count("*").over(n).alias("n"))
-    return r.agg((F.sum((2 * F.col("r") - F.col("n") - 1) * F.col("v")) / (F.max("n") * F.sum("v"))).alias("gini"), F.log10(F.percentile("v", 0.9) / F.percentile("v", 0.1)).alias("spread"))
-
-
 def entropy(rows: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Entropy of a histogram on [0, 1]."""
     h = rows.groupBy(F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n"))

@@ -15,8 +15,11 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from lexiscape.plans import named  # noqa: F401  registers them
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
