@@ -88,7 +88,7 @@ def kernel_width(rows: DataFrame, node: np.ndarray, target: float = 0.6, steps:
 def sinkhorn(cost: np.ndarray, lam: float, eps: float, rounds: int = 1000, stop: float = 1e-6) -> tuple[np.ndarray, bool]:
     """Unbalanced transport between uniform masses: the mass that each row keeps, and whether it settled."""
     n, m = cost.shape
-    a, b, k, power = np.full(n, 1 / n), np.full(m, 1 / m), np.exp(-cost / eps), lam / (lam + eps)
+    a, b, k, power = np.full(n, 1 / n), np.full(m, 1 / m), np.exp(-cost / eps) / (n * m), lam / (lam + eps)
     u, v = np.ones(n), np.ones(m)
     for _ in range(rounds):
         old = u

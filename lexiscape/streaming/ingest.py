@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lexiscape.operators import parse
 
@@ -11,17 +12,11 @@ from lexiscape.operators import parse
 def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
     """New XML pages of a folder, each read once under a checkpoint."""
     raw = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(folder)
-    schema = f"grantAward array<struct<{_struct(parse.RECORD)}>>"
+    schema = StructType([StructField("grantAward", ArrayType(StructType.fromDDL(parse.RECORD)))])
     each = raw.select(F.explode(F.from_xml("value", schema)["grantAward"]).alias("r"), F.col("_metadata.file_path").alias("source_file"))
     return parse.awards(each.select("r.*", "source_file"))
 
 
-def _struct(ddl: str) -> str:
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl).simpleString()[len("struct<") : -1]
-
-
 def upsert(current: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
     """The latest row of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
