@@ -13,7 +13,9 @@ SHARD_ROWS n-grams (a byte with more is cut no further); it is sent to the tasks
 once a shard. At most sizes there is one shard.
 
 Trusted: labelled quality 1 and not toxic (a document with several labels is trusted if one row says so).
-The threshold of a language is the QUANTILE of its trusted documents' perplexity times SLACK; languages
+One in FOLDS of the trusted documents (crc32 of the id) is left out of the counts and calibrates, since a
+model finds the text it was made from too likely: the threshold of a language is the QUANTILE of the
+calibrating documents' perplexity times SLACK (of all trusted ones where none calibrates); languages
 without trusted documents (null counts as one) take the threshold of all. Empty texts have perplexity
 null and are not kept. Without trusted text there is no threshold and all with text are kept. Repeated ids keep their
 rows. Extra columns are ignored.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from lexiscape.llm import text as T
 from lexiscape.session import Scratch
 
-ORDER, QUANTILE, SLACK, SHARD_ROWS = 5, 0.99, 1.05, 3_000_000
+ORDER, QUANTILE, SLACK, FOLDS, SHARD_ROWS = 5, 0.99, 1.05, 5, 3_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -213,7 +215,7 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: fl
     scratch = Scratch(spark)
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    table = scratch.table(counts(rows.where("trusted").select("text"), order))
+    table = scratch.table(counts(rows.where(F.col("trusted") & ~calibrates()).select("text"), order))
     plan = shard_plan(table, shard_rows)
     if len(plan) > 1:  # partial sums of a row meet again by its number
         rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -228,10 +230,15 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: fl
     return _thresholded(scratch.table(found.drop("row")), quantile, slack)
 
 
+def calibrates() -> F.Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
+
+
 def _thresholded(scored: DataFrame, quantile: float, slack: float) -> DataFrame:
     scored = scored.withColumn("perplexity", F.when(F.col("size") > 0, F.exp(-F.col("ll") / F.col("size"))))
     trusted = scored.where("trusted and perplexity is not null")
-    cut = (F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("own")
+    at = lambda which: F.percentile_approx(F.when(which, F.col("perplexity")), quantile, 10_000)
+    cut = (F.coalesce(at(calibrates()), at(F.lit(True))) * slack).alias("own")
     own = trusted.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(cut)  # a row a language
     every = trusted.agg(cut).first()["own"]
     out = scored.join(own, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
