@@ -9,6 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver did, whatever their working directory."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, env.get("PYTHONPATH"))))
+    return spark
+
+
 def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
     """A session with AQE, UTC and Arrow on; partitions is the shuffle default."""
     b = (
@@ -23,7 +34,7 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
     )
     for k, v in conf.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return importable(b.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
