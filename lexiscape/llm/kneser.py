@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lexiscape.llm import text as T
 from lexiscape.session import Scratch
 
-ORDER, QUANTILE, SLACK, FOLDS, SHARD_ROWS = 5, 0.99, 1.05, 5, 3_000_000
+ORDER, QUANTILE, SLACK, FOLDS, SHARD_ROWS = 5, 0.99, 1.05, 5, 1_500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
