@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscape.functions import columns as X
-from lexiscape.operators import corpus, graph, keywords, knn, mapserve, model, parse, ranks, taxonomy, terrain
+from lexiscape.operators import corpus, graph, keywords, knn, mapserve, model, parse, places, ranks, taxonomy, terrain
 from lexiscape.plans.catalogue import query
 from lexiscape.streaming import ingest
 
@@ -561,6 +561,68 @@ def _(spark, d):
     return _points(spark, d).select("id", *mapserve.orthographic(C("x"), C("y"), C("z"), 0.0, 0.0)).select("id", *r6("px", "py"), "visible")
 
 
+# --- places -------------------------------------------------------------------------------------
+
+
+@query("pixel_colours", f"WITH {_H2} SELECT {_CELL.format('x')} AS ix, {_CELL.format('y')} AS iy, count(*) AS n, round(avg(label*20),6) AS r, round(avg(id%256),6) AS g, round(avg(label),6) AS b FROM p GROUP BY ALL")
+def _(spark, d):
+    p = _points(spark, d).select("x", "y", (C("label") * 20).alias("r"), (C("id") % 256).alias("g"), C("label").alias("b"))
+    return places.pixel_colours(p, terrain.cell(C("x"), -1.0, 1.0, _N), terrain.cell(C("y"), -1.0, 1.0, _N)).select("ix", "iy", "n", *r6("r", "g", "b"))
+
+
+@query("web_chroma", "WITH q AS (SELECT quantile_cont(l_discount,0.05) AS a, quantile_cont(l_discount,0.95) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(0.145*(0.85+0.45*least(1.0,greatest(0.0,(l_discount-a)/(b-a)))),6) AS chroma FROM lineitem, q")
+def _(spark, d):
+    return places.web_chroma(t(spark, d, "lineitem"), "l_discount").select("l_orderkey", "l_linenumber", *r6("chroma"))
+
+
+@query("peak_words", f"WITH {_KW}, c AS (SELECT o_orderkey AS id, (o_orderkey%97)/97.0 AS x, (o_orderkey%89)/89.0 AS y FROM orders), p AS (SELECT * FROM (VALUES (1,0.2,0.3),(2,0.7,0.6)) p(peak,px,py)), n AS (SELECT peak, w, count(*) AS n_near FROM c JOIN p ON (x-px)**2+(y-py)**2<=0.04 JOIN w USING (id) GROUP BY ALL HAVING count(*)>=5), a AS (SELECT w, count(*) AS n_all FROM w GROUP BY ALL), z AS (SELECT peak, w, n_near, n_all, n_near/(n_all+20.0) AS score FROM n JOIN a USING (w)) SELECT peak, w, n_near, n_all, round(score,6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY peak ORDER BY round(score::DOUBLE,9) DESC, w) AS rank FROM z) WHERE rank<=4")
+def _(spark, d):
+    pts = t(spark, d, "orders").select(C("o_orderkey").alias("id"), (C("o_orderkey") % 97 / 97.0).alias("x"), (C("o_orderkey") % 89 / 89.0).alias("y"))
+    peaks = spark.createDataFrame([(1, 0.2, 0.3), (2, 0.7, 0.6)], "peak int, px double, py double")
+    return places.peak_words(pts, _words(spark, d), peaks, 0.2).select("peak", "w", "n_near", "n_all", *r6("score"), "rank")
+
+
+@query("region_places")
+def _(spark, d):
+    f = _field(spark, d)
+    peaks = terrain.box_peaks(f, 2, 0.03)
+    p = _points(spark, d).withColumn("ix", terrain.cell(C("x"), -1.0, 1.0, _N)).withColumn("iy", terrain.cell(C("y"), -1.0, 1.0, _N))
+    own = terrain.assigned(p, terrain.watershed(f, peaks), f, peaks).select("id", "region")
+    return places.region_places(p.select("id", "x", "y"), own, peaks, _BOX, _N, _N, 10)
+
+
+@query("sphere_places")
+def _(spark, d):
+    p = _unit3(spark, d)
+    own = terrain.nearest_node(p, 2000).join(_sphere(spark, d), "node").select("id", "region")
+    return places.sphere_places(p, own, 10)
+
+
+@query("label_mix")
+def _(spark, d):
+    e = _emb(spark, d)
+    cent = [r["cent"] for r in knn.centroids(e, "label", "embedding").orderBy("label").collect()]  # a row a label
+    return places.label_mix(e, "embedding", cent, 8.0)
+
+
+@query("hue_warp", "SELECT event_id, round(CASE WHEN h<10 THEN (100+(h+360-200)/170*180)%360 WHEN h<=200 THEN 280+(h-10)/190*180-CASE WHEN 280+(h-10)/190*180>=360 THEN 360 ELSE 0 END ELSE (100+(h-200)/170*180)%360 END,6) AS hue FROM (SELECT event_id, (event_id*37%360)::DOUBLE AS h FROM events)")
+def _(spark, d):
+    h = (C("event_id") * 37 % 360).cast("double")
+    return t(spark, d, "events").select("event_id", F.round(places.warp(h, [(10.0, 280.0), (200.0, 100.0)]), 6).alias("hue"))
+
+
+@query("torus_tiles", "SELECT count(*) AS n, round(sum(u),4) AS u, round(sum(v),4) AS v FROM (SELECT value+a.i*6.0 AS u, value*2+b.i*6.0 AS v FROM events, (VALUES (-1),(0),(1)) a(i), (VALUES (-1),(0),(1)) b(i))")
+def _(spark, d):
+    p = places.tiled(t(spark, d, "events").select(C("value").alias("u"), (C("value") * 2).alias("v")), 6.0)
+    return p.agg(F.count("*").alias("n"), F.round(F.sum("u"), 4).alias("u"), F.round(F.sum("v"), 4).alias("v"))
+
+
+@query("interleaved_order")
+def _(spark, d):
+    e = _emb(spark, d)
+    return places.interleaved(e, "vec_id", "label", [str(i) for i in range(10)]).groupBy("order").agg(F.count("*").alias("n"))
+
+
 # --- models -------------------------------------------------------------------------------------
 
 
