@@ -4,8 +4,9 @@ The tree is fitted on a bounded sample (SAMPLE rows of smallest id hash) by k-me
 level; every row is then assigned to a leaf. A query walks the tree with a priority queue: the most
 promising branch first, by the bound |q - centre|; leaves come out in that order. How many leaves a
 query visits is calibrated: leaf visits are widened on calibration queries, searched exactly against
-all rows, until their recall reaches TARGET. Queries are then joined with the leaves they visit; a leaf with
-many rows or queries is split into blocks, so that a hot leaf makes more tasks, not a longer one.
+all rows, until their recall reaches TARGET. Queries are then joined with the leaves they visit, by
+shards of leaves: a query goes once to each shard, which returns its k best. A shard with many rows or
+queries is split into blocks, so that a hot leaf makes more tasks, not a longer one.
 Within a block, equal vectors are scored once. Scores are inner products in double precision of the
 original vectors; ties go to the smaller id.
 
@@ -33,9 +34,9 @@ from lexiscape.llm import text as T
 from lexiscape.session import Scratch
 
 K, EVERY = 20, 20
-SAMPLE, FAN, LEAF_ROWS, ITERATIONS = 20_000, 16, 400, 8
-CALIBRATION, TARGET = 100, 0.96
-BLOCK_ROWS, BLOCK_QUERIES = 4000, 500
+SAMPLE, FAN, LEAF_ROWS, ITERATIONS = 20_000, 16, 100, 8
+CALIBRATION, TARGET = 200, 0.95
+SHARD_ROWS, BLOCK_QUERIES = 12_000, 1000
 #: Leaves at most; the tree is sent to all tasks, 8 bytes a component of each centre.
 MAX_LEAVES = 4096
 
@@ -125,33 +126,69 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def nearest(q_ids, q, ids, x, k: int) -> pd.DataFrame:
-    """Each query's k best of a block, by score and then id."""
+def nearest(q_ids, q, ids, x, k: int, leaf=None, visits=None) -> pd.DataFrame:
+    """Each query's k best of a block, by score and then id; with leaves, of the leaves that it visits."""
     if not len(q) or not len(x):
         return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    leaf = leaf[order] if leaf is not None else None
     same, where = np.unique(x, axis=0, return_inverse=True)
     where = where.ravel()
     by = np.argsort(where, kind="stable")
     first = np.searchsorted(where[by], np.arange(len(same) + 1))
+    if leaf is not None:  # equal vectors share a leaf; distinct ones are put in order of leaves
+        home = leaf[by[first[:-1]]]
+        order = np.argsort(home, kind="stable")
+        same, home = same[order], home[order]
+        by = np.concatenate([by[first[c] : first[c + 1]] for c in order])
+        first = np.concatenate([[0], np.cumsum(np.diff(first)[order])])
+    count = np.diff(first)
+    q_ids, m = np.asarray(q_ids), min(len(same), k + 1)
     out = []
-    for i in range(len(q)):
-        rough = same @ q[i]
-        # every distinct vector gives at least one candidate besides the query's own id
-        m = min(len(same), k + 1)
-        cut = np.partition(rough, len(same) - m)[len(same) - m]
-        near = np.flatnonzero(rough >= cut - 1e-9 * max(1.0, abs(cut)))
-        score = (same[near] * q[i]).sum(axis=1)
-        cand = np.concatenate([by[first[c] : first[c + 1]][: k + 1 + _own(ids, by[first[c] : first[c + 1]], q_ids[i])] for c in near])
-        value = np.repeat(score, [min(first[c + 1] - first[c], k + 1 + _own(ids, by[first[c] : first[c + 1]], q_ids[i])) for c in near])
-        keep = ids[cand] != q_ids[i]
-        cand, value = cand[keep], value[keep]
-        best = np.lexsort((ids[cand], -value))[:k]
-        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[cand[best]], "score": value[best]}))
+    for at in range(0, len(q), 256):
+        part, names = q[at : at + 256], q_ids[at : at + 256]
+        if leaf is None:
+            rough = part @ same.T
+        else:
+            rough = np.full((len(part), len(same)), -np.inf)
+            goes, asks = np.concatenate(visits[at : at + 256]), np.repeat(np.arange(len(part)), [len(v) for v in visits[at : at + 256]])
+            by_leaf = np.argsort(goes, kind="stable")
+            goes, asks = goes[by_leaf], asks[by_leaf]
+            for c in np.unique(goes):
+                lo, hi = np.searchsorted(home, (c, c + 1))
+                if hi > lo:
+                    own = asks[np.searchsorted(goes, c) : np.searchsorted(goes, c, "right")]
+                    rough[own, lo:hi] = part[own] @ same[lo:hi].T
+        near = np.argpartition(-rough, m - 1, axis=1)[:, :m]
+        value = np.take_along_axis(rough, near, 1)
+        cut = value.min(axis=1)
+        # several vectors at the cut, or copies of a vector among the best: one query at a time
+        plain = ~np.isfinite(cut) & (count == 1).all() | ((rough >= (cut - 1e-9 * np.maximum(1.0, np.abs(cut)))[:, None]).sum(axis=1) == m) & (count[near] == 1).all(axis=1)
+        rows, score = by[first[near[plain]]], (same[near[plain]] * part[plain][:, None]).sum(axis=2)
+        score = np.where((ids[rows] == names[plain][:, None]) | ~np.isfinite(value[plain]), -np.inf, score)
+        order = np.lexsort((ids[rows], -score), axis=1)[:, :k]
+        found, best = np.take_along_axis(ids[rows], order, 1), np.take_along_axis(score, order, 1)
+        real = np.isfinite(best)
+        out.append(pd.DataFrame({"query_id": np.repeat(names[plain], real.sum(axis=1)), "vec_id": found[real], "score": best[real]}))
+        out += [_one(names[i], part[i], rough[i], cut[i], ids, same, by, first, k) for i in np.flatnonzero(~plain).tolist()]
     return pd.concat(out, ignore_index=True)
 
 
+def _one(name, q, rough, cut, ids, same, by, first, k: int) -> pd.DataFrame:
+    """A query where ties or copies matter: of equal vectors the smallest ids that can count are taken."""
+    near = np.flatnonzero(np.isfinite(rough) & (rough >= (cut - 1e-9 * max(1.0, abs(cut)) if np.isfinite(cut) else -np.inf)))
+    if not len(near):
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    score = (same[near] * q).sum(axis=1)
+    took = [by[first[c] : first[c + 1]][: k + 1 + _own(ids, by[first[c] : first[c + 1]], name)] for c in near]
+    cand, value = np.concatenate(took), np.repeat(score, [len(x) for x in took])
+    keep = ids[cand] != name
+    cand, value = cand[keep], value[keep]
+    best = np.lexsort((ids[cand], -value))[:k]
+    return pd.DataFrame({"query_id": name, "vec_id": ids[cand[best]], "score": value[best]})
+
+
 def _own(ids, rows, q) -> int:
     """How often a query's own id stands among rows."""
     own = ids[rows]
@@ -206,30 +243,43 @@ def search(rows: DataFrame, every: int = EVERY, k: int = K, target: float = TARG
         place = {i: {leaf: p for p, leaf in enumerate(tree.visits(lifted_query(x), len(tree.leaf)))} for i, x in zip(q_ids.tolist(), q)}
         met = np.sort([place[a][home[b]] for a, b in zip(truth["query_id"].tolist(), truth["vec_id"].tolist())])
         visits = int(met[min(len(met) - 1, int(np.ceil(target * len(met))) - 1)]) + 1 if len(met) else visits
-    blocks = {leaf: max(1, -(-c // BLOCK_ROWS)) for leaf, c in size.items()}
-    told = spark.sparkContext.broadcast((tree, visits))
+    # consecutive leaves make a shard of about SHARD_ROWS rows; a leaf that is larger is cut into row blocks
+    shard_of, shards, held = np.zeros(len(tree.leaf), np.int64), 0, 0
+    for leaf in range(len(tree.leaf)):
+        c = size.get(leaf, 0)
+        if held and held + c > SHARD_ROWS:
+            shards, held = shards + 1, 0
+        shard_of[leaf], held = shards, held + c
+    filled = np.bincount(shard_of, [size.get(leaf, 0) for leaf in range(len(tree.leaf))], shards + 1)
+    row_blocks = np.maximum(1, -(-filled // SHARD_ROWS)).astype(int)
+    told = spark.sparkContext.broadcast((tree, visits, shard_of))
 
     def route(batches):
-        tree, visits = told.value
+        tree, visits, shard_of = told.value
         for b in batches:
-            q = _matrix(b.column("v"))
-            go = [tree.visits(lifted_query(x), visits) for x in q]
-            at = np.repeat(np.arange(len(q)), [len(g) for g in go])
-            leaf = np.array([g for x in go for g in x], np.int32)
-            yield pa.record_batch([b.column("id").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(leaf)], names=["id", "v", "leaf"])
-
-    queries = scratch.table(rows.where(F.pmod("id", F.lit(every)) == 0).mapInArrow(route, "id long, v array<double>, leaf int"))
-    asked = {r["leaf"]: r["count"] for r in queries.groupBy("leaf").count().collect()}
-    split = spark.createDataFrame([(leaf, blocks.get(leaf, 1), max(1, -(-asked.get(leaf, 0) // BLOCK_QUERIES))) for leaf in range(len(tree.leaf))], "leaf int, row_blocks int, query_blocks int")
-    left = leaves.join(F.broadcast(split), "leaf").withColumn("rb", (F.pmod(F.xxhash64("id"), "row_blocks")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).select("leaf", "rb", "qb", "id", "v")
-    right = queries.join(F.broadcast(split), "leaf").withColumn("qb", (F.pmod(F.xxhash64("id", F.lit(1)), "query_blocks")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1))).select("leaf", "rb", "qb", "id", "v")
+            at, shard, go = [], [], []
+            for i, x in enumerate(_matrix(b.column("v"))):
+                leaves = np.sort(np.array(tree.visits(lifted_query(x), visits), np.int64))
+                own = shard_of[leaves]
+                for s in np.unique(own):
+                    at.append(i)
+                    shard.append(s)
+                    go.append(leaves[own == s])
+            yield pa.record_batch([b.column("id").take(pa.array(at, pa.int64())), b.column("v").take(pa.array(at, pa.int64())), pa.array(np.array(shard, np.int32)), pa.array(go, pa.list_(pa.int64()))], names=["id", "v", "shard", "go"])
+
+    queries = scratch.table(rows.where(F.pmod("id", F.lit(every)) == 0).mapInArrow(route, "id long, v array<double>, shard int, go array<long>"))
+    asked = {r["shard"]: r["count"] for r in queries.groupBy("shard").count().collect()}
+    split = spark.createDataFrame([(s, int(row_blocks[s]), max(1, -(-asked.get(s, 0) // BLOCK_QUERIES))) for s in range(shards + 1)], "shard int, row_blocks int, query_blocks int")  # at most MAX_LEAVES rows
+    homes = spark.createDataFrame([(leaf, int(s)) for leaf, s in enumerate(shard_of)], "leaf int, shard int")
+    left = leaves.join(F.broadcast(homes), "leaf").join(F.broadcast(split), "shard").withColumn("rb", F.pmod(F.xxhash64("id"), "row_blocks").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).select("shard", "rb", "qb", "id", "v", "leaf")
+    right = queries.join(F.broadcast(split), "shard").withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), "query_blocks").cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1))).select("shard", "rb", "qb", "id", "v", "go")
 
     def meet(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if x.empty or q.empty:
             return nearest([], [], [], [], k)
-        return nearest(q["id"].to_numpy(), np.stack(q["v"].to_numpy()), x["id"].to_numpy(), np.stack(x["v"].to_numpy()), k)
+        return nearest(q["id"].to_numpy(), np.stack(q["v"].to_numpy()), x["id"].to_numpy(), np.stack(x["v"].to_numpy()), k, x["leaf"].to_numpy(), list(q["go"]))
 
-    found = left.groupBy("leaf", "rb", "qb").cogroup(right.groupBy("leaf", "rb", "qb")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = left.groupBy("shard", "rb", "qb").cogroup(right.groupBy("shard", "rb", "qb")).applyInPandas(meet, "query_id long, vec_id long, score double")
     return _best(found, k)
 
 
