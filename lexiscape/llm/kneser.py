@@ -203,7 +203,7 @@ def _scored(shared, order: int):
         for b in T.slices(batches):
             raw, off = T.flat(b.column("text"))
             sums = np.concatenate([[0.0], np.cumsum(shard.log(keys(raw, off, order)))])
-            yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("lang"), b.column("trusted"), pa.array(sums[off[1:]] - sums[off[:-1]]), pa.array(np.diff(off))], names=["row", "doc_id", "lang", "trusted", "ll", "size"])
+            yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("lang"), pa.array(sums[off[1:]] - sums[off[:-1]]), pa.array(np.diff(off))], names=["row", "doc_id", "lang", "ll", "size"])
 
     return each
 
@@ -213,9 +213,11 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: fl
     spark = docs.sparkSession
     T.bounded_batches(spark)
     scratch = Scratch(spark)
-    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    table = scratch.table(counts(rows.where(F.col("trusted") & ~calibrates()).select("text"), order))
+    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # texts meet their labels once, for the counts; for thresholds only scores do
+    trusted = rows.where(~calibrates()).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")
+    table = scratch.table(counts(trusted.select("text"), order))
     plan = shard_plan(table, shard_rows)
     if len(plan) > 1:  # partial sums of a row meet again by its number
         rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -223,11 +225,13 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: fl
         rows = rows.withColumn("row", F.lit(0).cast("long"))
     found = None
     for shard in shards(table, plan, order):
-        part = rows.mapInArrow(_scored(spark.sparkContext.broadcast(shard), order), "row long, doc_id long, lang string, trusted boolean, ll double, size long")
+        part = rows.mapInArrow(_scored(spark.sparkContext.broadcast(shard), order), "row long, doc_id long, lang string, ll double, size long")
         found = part if found is None else found.unionByName(part)
     if len(plan) > 1:
-        found = found.groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "lang", "trusted", "size")), F.sum("ll").alias("ll"))
-    return _thresholded(scratch.table(found.drop("row")), quantile, slack)
+        found = found.groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "lang", "size")), F.sum("ll").alias("ll"))
+    found = scratch.table(found.drop("row"))
+    marked = found.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return _thresholded(marked, quantile, slack)
 
 
 def calibrates() -> F.Column:
