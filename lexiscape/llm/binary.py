@@ -38,8 +38,7 @@ def train(docs: DataFrame, end: int = END, vocabulary: str | None = None) -> byt
     """A dictionary from the SAMPLE_DOCS documents of smallest id hash (it affects size only, never content)."""
     import zstandard
 
-    rows = T.id_text(docs).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE_DOCS)
-    keep = rows.select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
+    keep = T.sample(T.id_text(docs), SAMPLE_DOCS, "doc_id").select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
     ids, off = K.with_end(*K.encoder(vocabulary).encode(pa.array([r["text"] for r in keep], pa.string())), end)
     samples = [ids[s:e].tobytes()[:SAMPLE_BYTES] for s, e in zip(off, off[1:])]
     try:
