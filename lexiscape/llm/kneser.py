@@ -34,6 +34,8 @@ from lexiscape.llm import text as T
 from lexiscape.session import Scratch
 
 ORDER, QUANTILE, SLACK, FOLDS, SHARD_ROWS = 5, 0.99, 1.05, 5, 1_500_000
+#: Thresholds up to this number of languages are sent to all tasks; more are joined, with scores dealt to SALTS parts a language.
+SENT_LANGS, SALTS = 10_000, 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -238,13 +240,19 @@ def calibrates() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def _thresholded(scored: DataFrame, quantile: float, slack: float) -> DataFrame:
+def _thresholded(scored: DataFrame, quantile: float, slack: float, sent: int = SENT_LANGS) -> DataFrame:
     scored = scored.withColumn("perplexity", F.when(F.col("size") > 0, F.exp(-F.col("ll") / F.col("size"))))
     trusted = scored.where("trusted and perplexity is not null")
     at = lambda which: F.percentile_approx(F.when(which, F.col("perplexity")), quantile, 10_000)
     cut = (F.coalesce(at(calibrates()), at(F.lit(True))) * slack).alias("own")
-    own = trusted.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(cut)  # a row a language
+    own = Scratch(scored.sparkSession).table(trusted.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(cut))  # a row a language
     every = trusted.agg(cut).first()["own"]
-    out = scored.join(own, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
+    same = F.coalesce("lang", F.lit("")) == F.col("_lang")
+    if own.count() <= sent:
+        out = scored.join(F.broadcast(own), same, "left")
+    else:  # a language with most rows is dealt over parts
+        own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        scored = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "ll"), F.lit(SALTS)).cast("int"))
+        out = scored.join(own, same & (F.col("salt") == F.col("_salt")), "left")
     threshold = F.coalesce("own", F.lit(every).cast("double"))
     return out.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), (F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))).alias("keep"))
