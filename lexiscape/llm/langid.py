@@ -142,6 +142,34 @@ def train(docs: DataFrame, chars: int = CHARS, sample_docs: int = DOCS) -> Model
     return Model(texts)
 
 
+def parse(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name, score and rate of each text."""
+    text, n = pc.fill_null(column, ""), len(column)
+    letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
+    text = pc.utf8_lower(text)
+    size = pc.utf8_length(text).to_numpy().astype(np.int64)
+    raw, _ = T.flat(text)
+    codes = m.encode(raw.tobytes().decode())
+    first = np.cumsum(size) - size
+    keep = m.kept(codes, first[size > 0])
+    codes, kept = codes[keep], np.concatenate([[0], np.cumsum(keep)])
+    size = kept[first + size] - kept[first]
+    pieces = np.maximum(-(-size // PIECE), 0)
+    doc = np.repeat(np.arange(n), pieces)
+    at = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+    first = np.cumsum(size) - size
+    if not m.languages:
+        return np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
+    per = m.phrases(codes, first[doc] + at, np.minimum(size[doc] - at, PIECE))
+    total = np.zeros((n, len(m.languages)))
+    np.add.at(total, doc, per)
+    best = total.argmin(axis=1)
+    low = total[np.arange(n), best]
+    total[np.arange(n), best] = np.inf
+    score = np.where(letters, np.clip(1 - low / np.maximum(total.min(axis=1), 1), 0, 1), 0.0)
+    return np.where(letters, np.array(m.languages, object)[best], UNKNOWN), score, low / np.maximum(size, 1)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rate (phrases a character of the winner)."""
     spark = docs.sparkSession
@@ -151,32 +179,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for b in T.slices(batches):
-            text = pc.fill_null(b.column("text"), "")
-            letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
-            text = pc.utf8_lower(text)
-            size = pc.utf8_length(text).to_numpy().astype(np.int64)
-            raw, _ = T.flat(text)
-            codes = m.encode(raw.tobytes().decode())
-            first = np.cumsum(size) - size
-            keep = m.kept(codes, first[size > 0])
-            codes, kept = codes[keep], np.concatenate([[0], np.cumsum(keep)])
-            size = kept[first + size] - kept[first]
-            pieces = np.maximum(-(-size // PIECE), 0)
-            doc = np.repeat(np.arange(b.num_rows), pieces)
-            at = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-            first = np.cumsum(size) - size
-            if m.languages:
-                per = m.phrases(codes, first[doc] + at, np.minimum(size[doc] - at, PIECE))
-                total = np.zeros((b.num_rows, len(m.languages)))
-                np.add.at(total, doc, per)
-                best = total.argmin(axis=1)
-                low = total[np.arange(b.num_rows), best]
-                total[np.arange(b.num_rows), best] = np.inf
-                score = np.where(letters, np.clip(1 - low / np.maximum(total.min(axis=1), 1), 0, 1), 0.0)
-                name = np.where(letters, np.array(m.languages, object)[best], UNKNOWN)
-                rate = low / np.maximum(size, 1)
-            else:
-                score, rate, name = np.zeros(b.num_rows), np.zeros(b.num_rows), np.full(b.num_rows, UNKNOWN, object)
+            name, score, rate = parse(m, b.column("text"))
             yield pa.record_batch([b.column("doc_id"), pa.array(name, pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "rate"])
 
     return T.id_text(docs).mapInArrow(each, "doc_id long, lang_pred string, score double, rate double")

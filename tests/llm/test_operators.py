@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiscape.llm import ann, binary, decontaminate, kneser, langid, licenses, packing, pii, simhash, tokens, urls
+from lexiscape.llm import text as T
 from lexiscape.session import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, rank int, task string"
@@ -60,6 +61,21 @@ def test_encoder_is_the_library(lib, docs):
             assert [flat[s:e].tolist() for s, e in zip(off, off[1:])] == [ids(lib, x) for x in part]
 
 
+def test_cut_batches(lib, docs):
+    """A batch that is cut for its size gives what its rows give alone."""
+    texts = [r["text"] for r in docs.select("text").collect()]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([*texts[:-1], None], pa.string())], names=["doc_id", "text"])
+    enc, got = tokens.Encoder(), []
+    model = langid.Model({"x": texts[:5], "y": texts[5:10]})
+    for part in T.slices(iter([batch.slice(3)]), limit=20_000):
+        flat, off = enc.encode(part.column("text"))
+        got += [flat[s:e].tolist() for s, e in zip(off, off[1:])]
+    assert got == [ids(lib, x) for x in [*texts[3:-1], None]] and len(list(T.slices(iter([batch]), limit=20_000))) > 5
+    whole = langid.parse(model, batch.column("text"))
+    parts = [langid.parse(model, b.column("text")) for b in T.slices(iter([batch]), limit=20_000)]
+    assert all((np.concatenate(p) == w).all() for *p, w in zip(*parts, whole))
+
+
 def test_blocks_round_trip(spark, docs, odd, none, lib, monkeypatch):
     for table in (docs, odd):
         got = sorted(binary.round_trip(table).collect(), key=lambda r: r["start"])
