@@ -2,20 +2,28 @@
 
 The vocabulary's pre-tokenizer never joins what white space parts, and marks at the end of a word
 form a piece of their own. So the ids of a text are those of its words in turn, and a word's ids are
-computed once and kept. The cache holds at most CACHE_WORDS words and is emptied when full.
+computed once and kept. The cache holds at most CACHE_WORDS words and is emptied when full. New words
+of letters go to the library JOINED at a time: each has at least one id that ends a word, so where
+there are as many of those as words, they part the ids; other groups are encoded word by word.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS, JOINED = 1_000_000, 256
 #: ASCII marks that form one pre-token at the end of a word without an apostrophe.
 MARKS = ".,!?&%$*#;:"
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -33,6 +41,8 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(vocabulary or default_vocabulary())
         self.limit = cache_words
+        self.ends = np.zeros(self.lib.get_vocab_size(), bool)
+        self.ends[[i for w, i in self.lib.get_vocab().items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -43,9 +53,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         if self.words + len(words) > self.limit and self.words:
             raise OverflowError
-        got = [e.ids for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        more = np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum()))
+        words, lengths, more = self._coded(words)
         while self.n + len(more) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.words + len(words) + 1 > len(self.starts):
@@ -56,9 +64,29 @@ class Encoder:
         self.words += len(words)
         self.n += len(more)
 
+    def _coded(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, the number of ids of each, and all ids."""
+        plain, rest, done, lengths, ids = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for w in words:
+            (plain if w.isalpha() else rest).append(w)
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, e in zip(groups, self.lib.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            own = np.array(e.ids, np.int32)
+            last = np.flatnonzero(self.ends[own])
+            if len(last) == len(group):
+                done += group
+                lengths.append(np.diff(last, prepend=-1))
+                ids.append(own)
+            else:
+                rest += group
+        got = [e.ids for e in self.lib.encode_batch_fast(rest, add_special_tokens=False)]
+        lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+        ids.append(np.fromiter(chain.from_iterable(got), np.int32, int(lengths[-1].sum())))
+        return done + rest, np.concatenate(lengths), np.concatenate(ids)
+
     def _unique(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct strings, flat, with starts and lengths."""
-        words = column.to_pylist()
+        words = _strings(column)
         try:
             if new := [w for w in words if w not in self.place]:
                 self._learn(new)
@@ -81,7 +109,7 @@ class Encoder:
         cut = pc.and_(pc.not_equal(pc.binary_length(stems), pc.binary_length(distinct)), pc.match_substring_regex(stems, r"[\p{L}\p{N}]$"))
         cut = pc.and_(cut, pc.invert(pc.match_substring(distinct, "'")))
         where = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
-        tails = [w[len(s) :] for w, s in zip(distinct.take(pa.array(where)).to_pylist(), stems.take(pa.array(where)).to_pylist())]
+        tails = [w[len(s) :] for w, s in zip(_strings(distinct.take(pa.array(where))), _strings(stems.take(pa.array(where))))]
         tails = pa.array(tails, pa.large_string()).dictionary_encode()
         tail_of = np.full(len(distinct), -1, np.int64)
         tail_of[where] = tails.indices.to_numpy().astype(np.int64) + len(distinct)
