@@ -68,7 +68,7 @@ def write(docs: DataFrame, path: str, end: int = END, vocabulary: str | None = N
             index = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype("<u8").tobytes()
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc_ids": names, "before": before, "tokens": tokens, "hash": digest, "index": index, "body": b"".join(frames)}], SCHEMA)
 
-        for b in T.slices(batches):
+        for b in T.slices(batches, limit=K.SLICE_BYTES):
             ids, off = K.with_end(*enc.encode(b.column("text")), end)
             data = ids.astype("<u4", copy=False).tobytes()
             for name, s, e in zip(b.column("doc_id").to_pylist(), off.tolist(), off[1:].tolist()):

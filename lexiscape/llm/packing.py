@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end: int = END, vocabulary: str |
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = K.encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        for b in T.slices(batches):
+        for b in T.slices(batches, limit=K.SLICE_BYTES):
             ids, off = K.with_end(*enc.encode(b.column("text")), end)
             n_tokens = np.diff(off)
             count = -(-n_tokens // size)

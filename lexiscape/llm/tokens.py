@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS, JOINED = 1_000_000, 256
+CACHE_WORDS, JOINED = 300_000, 256
+#: Text that is encoded at once; a worker's arrays take some 25 times that.
+SLICE_BYTES = 4 << 20
 #: ASCII marks that form one pre-token at the end of a word without an apostrophe.
 MARKS = ".,!?&%$*#;:"
 
