@@ -412,6 +412,13 @@ def test_kneser_ney(spark, docs, odd, none, small):
     assert kneser.quality(none, labels).count() == 0 and kneser.quality(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_thresholds_are_the_same_sent_or_joined(spark):
+    rows = [(i, None if i % 7 == 0 else "ab"[i % 2], -float(i), 0 if i % 11 == 0 else 10, i % 3 > 0) for i in range(200)]
+    scored = spark.createDataFrame([*rows, (None, "c", -3.0, 5, False)], "doc_id long, lang string, ll double, size long, trusted boolean")
+    sent, joined = (rows_of(kneser._thresholded(scored, 0.9, 1.05, n), "doc_id", "lang", "perplexity", "threshold", "keep") for n in (kneser.SENT_LANGS, 0))
+    assert sent == joined and sum(sent.values()) == 201
+
+
 def test_licences(spark, docs, odd, none):
     model = licenses.train(docs)
     lines = ["First line of prose", "Released under the MIT License.", "released  under the mit license", "", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "You need a fishing license from the council", "Licensed under CC BY-NC 4.0."]
