@@ -14,10 +14,13 @@ once a shard. At most sizes there is one shard.
 
 Trusted: labelled quality 1 and not toxic (a document with several labels is trusted if one row says so).
 One in FOLDS of the trusted documents (crc32 of the id) is left out of the counts and calibrates, since a
-model finds the text it was made from too likely: the threshold of a language is the QUANTILE of the
-calibrating documents' perplexity times SLACK (of all trusted ones where none calibrates); languages
-without trusted documents (null counts as one) take the threshold of all. Empty texts have perplexity
-null and are not kept. Without trusted text there is no threshold and all with text are kept. Repeated ids keep their
+model finds the text it was made from too likely. Labelled rejects (quality 0 or toxic, and not trusted) of the same
+fold calibrate with them: a language's threshold is the perplexity (in bins of BIN of its logarithm) with the largest
+share of rejects above it less the share of trusted ones above it (ties: the largest). Where a side has fewer than
+SIDE documents it is the QUANTILE of the calibrating trusted documents times SLACK (of all trusted ones where none
+calibrates); languages without trusted documents (null counts as one) take the threshold of all. Degenerate text is
+too likely: perplexity below the 1 - QUANTILE quantile of the calibrating trusted documents (of all languages where
+one has under LOW, with no such bound where all have) isn't kept either. Empty texts have perplexity null and are not kept. Without trusted text there is no threshold and all with text are kept. Repeated ids keep their
 rows. Extra columns are ignored.
 """
 
@@ -27,13 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscape.llm import text as T
 from lexiscape.session import Scratch
 
-ORDER, QUANTILE, SLACK, FOLDS, SHARD_ROWS = 5, 0.99, 1.05, 5, 1_500_000
+ORDER, QUANTILE, SLACK, FOLDS, SHARD_ROWS = 5, 0.99, 1.0, 5, 1_500_000
+#: Bins of log-perplexity; calibrating documents of either side for a two-sided threshold, trusted ones for a lower bound.
+BIN, SIDE, LOW = 0.001, 10, 100
 #: Thresholds up to this number of languages are sent to all tasks; more are joined, with scores dealt to SALTS parts a language.
 SENT_LANGS, SALTS = 10_000, 64
 
@@ -215,7 +220,11 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: fl
     spark = docs.sparkSession
     T.bounded_batches(spark)
     scratch = Scratch(spark)
-    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    fine = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
+    poor = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    sides = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(fine).alias("trusted"), F.max(poor).alias("poor"))
+    sides = sides.select("doc_id", "trusted", (F.col("poor") & ~F.col("trusted")).alias("rejected"))
+    good = sides.where("trusted").select("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # texts meet their labels once, for the counts; for thresholds only scores do
     trusted = rows.where(~calibrates()).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")
@@ -232,7 +241,7 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: fl
     if len(plan) > 1:
         found = found.groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "lang", "size")), F.sum("ll").alias("ll"))
     found = scratch.table(found.drop("row"))
-    marked = found.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    marked = found.join(sides, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("trusted", "rejected")})
     return _thresholded(marked, quantile, slack)
 
 
@@ -240,13 +249,33 @@ def calibrates() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def _two_sided(scored: DataFrame, by: list[str]) -> DataFrame:
+    """by, cut: the log-perplexity that parts trusted from rejected calibrating documents best; null with too few of a side."""
+    sums = [F.sum(F.col(c).cast("long")).alias(c) for c in ("trusted", "rejected")]
+    bins = scored.where(calibrates() & (F.col("trusted") | F.col("rejected")) & F.col("perplexity").isNotNull())
+    bins = bins.groupBy(*by, F.floor(F.log("perplexity") / BIN).alias("bin")).agg(*sums)
+    to_here = Window.partitionBy(*by).orderBy("bin")  # a row a bin: bounded by the range of log-probabilities
+    bins = bins.withColumns({"t": F.sum("trusted").over(to_here), "r": F.sum("rejected").over(to_here)})
+    found = bins.groupBy(*by).agg(F.sum("trusted").alias("T"), F.sum("rejected").alias("R"), F.collect_list(F.struct("bin", "t", "r")).alias("bins"))
+    gain = lambda x: F.struct((F.col("T") * (F.col("R") - x["r"]) - F.col("R") * (F.col("T") - x["t"])).alias("gain"), x["bin"].alias("bin"))
+    best = F.array_max(F.transform("bins", gain))
+    enough = (F.col("T") >= SIDE) & (F.col("R") >= SIDE) & (best["gain"] > 0)
+    return found.select(*by, F.when(enough, F.exp((best["bin"] + 1) * BIN)).alias("cut"))
+
+
 def _thresholded(scored: DataFrame, quantile: float, slack: float, sent: int = SENT_LANGS) -> DataFrame:
     scored = scored.withColumn("perplexity", F.when(F.col("size") > 0, F.exp(-F.col("ll") / F.col("size"))))
+    if "rejected" not in scored.columns:
+        scored = scored.withColumn("rejected", F.lit(False))
+    scored = scored.withColumn("_lang", F.coalesce("lang", F.lit("")))
     trusted = scored.where("trusted and perplexity is not null")
-    at = lambda which: F.percentile_approx(F.when(which, F.col("perplexity")), quantile, 10_000)
-    cut = (F.coalesce(at(calibrates()), at(F.lit(True))) * slack).alias("own")
-    own = Scratch(scored.sparkSession).table(trusted.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(cut))  # a row a language
-    every = trusted.agg(cut).first()["own"]
+    at = lambda which, q: F.percentile_approx(F.when(which, F.col("perplexity")), q, 10_000)
+    sums = [(F.coalesce(at(calibrates(), quantile), at(F.lit(True), quantile)) * slack).alias("own"), F.when(F.count(F.when(calibrates(), 1)) >= LOW, at(calibrates(), 1 - quantile)).alias("low")]
+    own = trusted.groupBy("_lang").agg(*sums).join(_two_sided(scored, ["_lang"]), "_lang", "left")
+    own = Scratch(scored.sparkSession).table(own.select("_lang", F.coalesce("cut", "own").alias("own"), "low"))  # a row a language
+    every, parted = trusted.agg(*sums).first(), _two_sided(scored, []).first()
+    top, low = (parted["cut"] if parted and parted["cut"] is not None else every["own"]), every["low"]
+    scored = scored.drop("_lang", "trusted", "rejected")
     same = F.coalesce("lang", F.lit("")) == F.col("_lang")
     if own.count() <= sent:
         out = scored.join(F.broadcast(own), same, "left")
@@ -254,5 +283,6 @@ def _thresholded(scored: DataFrame, quantile: float, slack: float, sent: int = S
         own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         scored = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "ll"), F.lit(SALTS)).cast("int"))
         out = scored.join(own, same & (F.col("salt") == F.col("_salt")), "left")
-    threshold = F.coalesce("own", F.lit(every).cast("double"))
-    return out.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), (F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))).alias("keep"))
+    threshold, least = F.coalesce("own", F.lit(top).cast("double")), F.coalesce("low", F.lit(low).cast("double"), F.lit(0.0))
+    fits = (threshold.isNull() | (F.col("perplexity") <= threshold)) & (F.col("perplexity") >= least)
+    return out.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), (F.col("perplexity").isNotNull() & fits).alias("keep"))

@@ -419,6 +419,28 @@ def test_thresholds_are_the_same_sent_or_joined(spark):
     assert sent == joined and sum(sent.values()) == 201
 
 
+def test_thresholds_part_labelled_rejects(spark):
+    """Calibrating rejects set the threshold, degenerate text is too likely, and few labels leave the quantile."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "a", -10 * float(np.log(x)), 10, side == 0, side == 1) for i, (side, x) in enumerate([*((0, v) for v in rng.uniform(4.0, 5.0, 3000)), *((1, v) for v in rng.uniform(4.9, 6.0, 600)), (0, 9.0), *((1, 1.5) for _ in range(20))])]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, ll double, size long, trusted boolean, rejected boolean")
+    for sent in (kneser.SENT_LANGS, 0):
+        got = {r["doc_id"]: r["keep"] for r in kneser._thresholded(scored, kneser.QUANTILE, kneser.SLACK, sent).collect()}
+        kept = [np.mean([got[r[0]] for r in rows if r[side]]) for side in (4, 5)]
+        assert kept[0] > 0.9 and kept[1] < 0.12 and not any(got[i] for i in range(3601, 3621))
+    few = kneser._thresholded(scored.where("trusted or doc_id < 3010"), kneser.QUANTILE, kneser.SLACK)
+    assert few.where("keep").count() >= 0.97 * few.count()
+
+
+def test_quality_drops_labelled_rejects(spark):
+    """At sf0.1, of rejects that don't calibrate: most go, and most trusted documents stay."""
+    path = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    got = kneser.quality(spark.read.parquet(f"{path}/documents.parquet"), labels).join(labels, "doc_id").where(~kneser.calibrates())
+    share = {(r["quality"], r["toxic"]): r["kept"] for r in got.groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("double")).alias("kept")).collect()}
+    assert share[1, 0] > 0.9 and share[1, 1] < 0.5 and share[0, 0] < 0.2 and share[0, 1] < 0.2, share
+
+
 def test_licences(spark, docs, odd, none):
     model = licenses.train(docs)
     lines = ["First line of prose", "Released under the MIT License.", "released  under the mit license", "", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "You need a fishing license from the council", "Licensed under CC BY-NC 4.0."]
