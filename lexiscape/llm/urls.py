@@ -4,8 +4,10 @@ Two smoothed variable-order Markov models over the bytes of host and path, one o
 accept and one of those they reject, count every labelled URL. Orders 0 to ORDER are interpolated by
 Witten-Bell: p_k(c | context) = (n(context c) + t(context) p_{k-1}) / (n(context) + t(context)), where t
 counts the different continuations; an unseen context leaves the lower order as it is, so the order
-varies with what was seen. Counts are kept in SLOTS hashed slots a model (documented bound: what
-the driver gathers and sends is at most 2 * SLOTS numbers, whatever the input). The decision is the
+varies with what was seen. Counts are exact, by n-gram, and grow with the labelled URLs. Tasks sum before
+anything is shuffled. The table is cut into shards of about SHARD_ROWS n-grams by the two bytes before the last one,
+which the orders from 2 on share for a place in a URL (orders 0 and 1 go with every shard); a shard is sent to
+the tasks, URLs are read once a shard and log-ratios add up (two bytes with more are cut no further). The decision is the
 difference of log-likelihoods a character; its threshold is the one with the best balanced accuracy on
 labelled URLs of the calibration fold (crc32(host and path) mod 5 = 0), which the counted fold leaves out.
 
@@ -25,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscape.llm import text as T
+from lexiscape.llm.kneser import Lookup
+from lexiscape.session import Scratch
 
 #: The query's rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-ORDER, SLOTS, BINS, SPAN = 5, 1 << 20, 4001, 8.0
+ORDER, SHARD_ROWS, BINS, SPAN = 5, 1_500_000, 4001, 8.0
+#: Bits of a symbol (0: the end; a byte + 1; START: before the text), and where a key's order stands.
+SYMBOL, START, TAG = 9, 300, 54
 
 
 def parts(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -47,94 +53,120 @@ def parts(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.select("page_id", "host", "path", rule.alias("rule"), listed.alias("listed"))
 
 
-def grams(text: pa.Array, order: int = ORDER, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of (context, byte) and of the context, order by order, for every byte and the end; rows' offsets."""
+def grams(text: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (context, byte), order by order (rows), for every byte and the end (columns); texts' offsets.
+
+    A key is the order and the symbols themselves, SYMBOL bits each: two n-grams never share one. A key without its last
+    symbol is its context's.
+    """
     raw, off = T.flat(text)
     n = len(off) - 1
     size = np.diff(off) + 1
     ends = np.cumsum(size)
-    chars = np.zeros(int(ends[-1]) if n else 0, np.uint64)
+    chars = np.zeros(int(ends[-1]) if n else 0, np.int64)
     body = np.ones(len(chars), bool)
     body[ends - 1] = False
-    chars[body] = raw.astype(np.uint64) + np.uint64(1)
+    chars[body] = raw.astype(np.int64) + 1
     place = np.arange(len(chars)) - np.repeat(ends - size, size)
-    context, out, above = np.zeros(len(chars), np.uint64), [], []
+    window, out = chars.copy(), []
     for k in range(order + 1):
         if k:
-            back = np.zeros(len(chars), np.uint64)
+            back = np.zeros(len(chars), np.int64)
             back[k:] = chars[:-k]
-            back[place < k] = 300
-            context = T.mix(context * np.uint64(1_000_003) + back + np.uint64(k))
-        above.append((context + np.uint64(k)) % np.uint64(slots))
-        out.append(T.mix(context ^ T.mix(chars + np.uint64(7 * k + 1))) % np.uint64(slots))
-    return np.array(out, np.int64), np.array(above, np.int64), np.concatenate([[0], ends])
+            back[place < k] = START
+            window = window | back << (SYMBOL * k)
+        out.append(window | np.int64(k) << TAG)
+    return np.array(out, np.int64).reshape(order + 1, len(chars)), np.concatenate([[0], ends])
+
+
+def part_of(key, parts: int):
+    """The shard of an n-gram (NumPy or column) of order 2 or more: of the two symbols before its last, which all such orders share."""
+    pair = key.bitwiseAND(F.lit((1 << (3 * SYMBOL)) - 1)) if isinstance(key, F.Column) else key & ((1 << (3 * SYMBOL)) - 1)
+    pair = F.shiftright(pair, SYMBOL) if isinstance(pair, F.Column) else pair >> SYMBOL
+    return pair * 7919 % parts
 
 
 class Markov:
-    """Counts of (context, byte), and of contexts and their continuations, in slots."""
+    """Exact counts of n-grams, and of their contexts and these' continuations, of a class."""
 
-    def __init__(self, count: np.ndarray, total: np.ndarray, kinds: np.ndarray):
-        self.count, self.total, self.kinds = count, total, kinds
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        context, where = np.unique(key >> SYMBOL, return_inverse=True)
+        self.grams = Lookup(key, n.astype(float))
+        self.contexts = Lookup(context, np.bincount(where, n, len(context)), np.bincount(where, minlength=len(context)).astype(float))
 
-    def log(self, own: np.ndarray, above: np.ndarray) -> np.ndarray:
+    def log(self, own: np.ndarray) -> np.ndarray:
         p = np.full(own.shape[1], 1 / 257)
-        for k in range(len(own)):
-            n, t = self.total[above[k]], self.kinds[above[k]]
-            p = np.where(n > 0, (self.count[own[k]] + t * p) / np.maximum(n + t, 1e-9), p)
-        return np.log(np.maximum(p, 1e-12))
+        for key in own:
+            at = self.contexts.find(key >> SYMBOL)
+            seen = np.flatnonzero(at >= 0)
+            n, t = (v[at[seen]] for v in self.contexts.values)
+            row = self.grams.find(key[seen])
+            count = np.zeros(len(seen))
+            count[row >= 0] = self.grams.values[0][row[row >= 0]]
+            p[seen] = (count + t * p[seen]) / (n + t)
+        return np.log(np.maximum(p, 1e-300))
 
 
-def _count(order: int, slots: int):
-    """Of a task's URLs: per class, slot of the n-gram and of its context, and how often."""
+def _count(order: int):
+    """Of a task's URLs: per class, n-gram and how often."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind = np.array([x == "allow" for x in b.column("listed").to_pylist()], np.int64)
-            own, above, off = grams(b.column("s"), order, slots)
+            kind = np.array([x == "allow" for x in b.column("listed").to_pylist()], bool)
+            own, off = grams(b.column("s"), order)
             cls = np.repeat(kind, np.diff(off))
-            key = ((cls[None] * slots + above) * slots + own).ravel()
-            key, n = np.unique(key, return_counts=True)
-            yield pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
+            for allow in (True, False):
+                key, n = np.unique(own[:, cls == allow], return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(key), allow)), pa.array(key), pa.array(n)], names=["allow", "key", "n"])
 
     return each
 
 
-def _scores(shared, order: int, slots: int):
+def _scores(shared, order: int):
+    """Sums of log-ratios over the places of a shard."""
+
     def each(batches):
-        allow, block = shared.value
+        allow, block, part, parts = shared.value
         for b in batches:
-            own, above, off = grams(b.column("s"), order, slots)
-            d = np.concatenate([[0.0], np.cumsum(allow.log(own, above) - block.log(own, above))])
+            own, off = grams(b.column("s"), order)
+            ratio = np.zeros(own.shape[1])
+            here = np.flatnonzero(part_of(own[-1], parts) == part)
+            ratio[here] = allow.log(own[:, here]) - block.log(own[:, here])
+            d = np.concatenate([[0.0], np.cumsum(ratio)])
             score = (d[off[1:]] - d[off[:-1]]) / np.maximum(np.diff(off), 1)
             score[np.diff(off) == 1] = 0.0
-            yield pa.record_batch([*(b.column(c) for c in ("page_id", "host", "path", "rule", "listed")), pa.array(score)], names=["page_id", "host", "path", "rule", "listed", "score"])
+            yield pa.record_batch([*(b.column(c) for c in (*CARRIED, "row")), pa.array(score)], names=[*CARRIED, "row", "score"])
 
     return each
 
 
-SCORED = "page_id long, host string, path string, rule string, listed string, score double"
+CARRIED = ("page_id", "host", "path", "rule", "listed")
+SCORED = "page_id long, host string, path string, rule string, listed string, row long, score double"
 
 
-def judge(pages: DataFrame, rules=RULES, order: int = ORDER, slots: int = SLOTS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, score."""
     spark = pages.sparkSession
     found = parts(pages, rules).withColumn("s", F.concat("host", "path"))
     calibrates = F.crc32("s") % 5 == 0
     taught = found.where(F.col("listed").isNotNull())
     classes = {r["listed"] for r in taught.select("listed").distinct().collect()}
-    keys = taught.where(~calibrates).select("s", "listed").mapInArrow(_count(order, slots), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    own = F.col("key") % slots
-    above = F.expr(f"(key div {slots}) % {slots}")
-    cls = F.expr(f"key div ({slots}L * {slots}L)")
-    models = {c: [np.zeros(slots), np.zeros(slots), np.zeros(slots)] for c in (0, 1)}
-    by_gram = keys.groupBy(cls.alias("c"), own.alias("slot")).agg(F.sum("n").alias("n"))
-    by_context = keys.groupBy(cls.alias("c"), above.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("t"))
-    for r in by_gram.toLocalIterator():  # at most 2 * SLOTS rows
-        models[r["c"]][0][r["slot"]] = r["n"]
-    for r in by_context.toLocalIterator():
-        models[r["c"]][1][r["slot"]], models[r["c"]][2][r["slot"]] = r["n"], r["t"]
-    shared = spark.sparkContext.broadcast((Markov(*models[1]), Markov(*models[0])))
-    scored = found.mapInArrow(_scores(shared, order, slots), SCORED)
+    scratch = Scratch(spark)
+    counted = taught.where(~calibrates).select("s", "listed").mapInArrow(_count(order), "allow boolean, key long, n long")
+    counted = scratch.table(counted.groupBy("allow", "key").agg(F.sum("n").alias("n")))
+    parts_n = max(1, -(-counted.count() // shard_rows))
+    everywhere = F.shiftright("key", TAG) < 2  # at most 257 and 257 * 257 n-grams
+    found = scratch.table(found.withColumn("row", F.monotonically_increasing_id())) if parts_n > 1 else found.withColumn("row", F.lit(0).cast("long"))
+    scored = None
+    for i in range(parts_n):
+        own = counted.where(everywhere | (part_of(F.col("key"), parts_n) == i)).toArrow()
+        allow, key, n = (own.column(c).to_numpy() for c in ("allow", "key", "n"))
+        models = [Markov(key[which], n[which]) for which in (allow.astype(bool), ~allow.astype(bool))]
+        shared = spark.sparkContext.broadcast((*models, i, parts_n))
+        part = found.mapInArrow(_scores(shared, order), SCORED)
+        scored = part if scored is None else scored.unionByName(part)
+    if parts_n > 1:
+        scored = scratch.table(scored.groupBy("row").agg(*(F.first(c).alias(c) for c in CARRIED), F.sum("score").alias("score")))
     if len(classes) == 2:
         width = 2 * SPAN / BINS
         bins = scored.where(F.col("listed").isNotNull() & (F.crc32(F.concat("host", "path")) % 5 == 0))

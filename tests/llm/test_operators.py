@@ -358,6 +358,41 @@ def test_urls(spark, small):
     assert {r["verdict"] for r in urls.judge(more.where("page_id in (9003, 9001)")).collect()} == {"allow"}
 
 
+def test_url_counts_are_exact(spark, small):
+    """Scores are those of a plain Witten-Bell model, in one shard or many, with more n-grams than shards hold."""
+    rows = [(i, f"http://{'org' if i % 2 else 'com'}/{'fr' if i % 2 else 'de'}/{i * 7919 % 1000}/p{i}") for i in range(300)] + [(1000 + i, f"http://a.net/{i}é") for i in range(20)]
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    taught = {c: [u[7:] for i, u in rows if i < 1000 and (i % 2 == 1) == c and zlib.crc32(u[7:].encode()) % 5] for c in (True, False)}
+
+    def chain(text):
+        b = [300] * 5 + [x + 1 for x in text.encode()] + [0]
+        return [tuple(b[i - k : i + 1]) for i in range(5, len(b)) for k in range(6)]
+
+    grams = {c: Counter(g for u in own for g in chain(u)) for c, own in taught.items()}
+    contexts = {c: (Counter(), Counter()) for c in grams}
+    for c, own in grams.items():
+        for g, n in own.items():
+            contexts[c][0][g[:-1]] += n
+            contexts[c][1][g[:-1]] += 1
+
+    def log(c, text):
+        out, p = 0.0, 0.0
+        for g in chain(text):
+            p = 1 / 257 if len(g) == 1 else p
+            n, t = contexts[c][0][g[:-1]], contexts[c][1][g[:-1]]
+            p = (grams[c][g] + t * p) / (n + t) if n else p
+            out += np.log(p) if len(g) == 6 else 0
+        return out
+
+    by = {i: u[7:] for i, u in rows}
+    for shard_rows in (urls.SHARD_ROWS, 500):
+        got = urls.judge(table, shard_rows=shard_rows).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            text = by[r["page_id"]]
+            assert abs(r["score"] - (log(True, text) - log(False, text)) / (len(text.encode()) + 1)) < 1e-9
+
+
 # --- op7, op9 -----------------------------------------------------------------------------------
 
 
