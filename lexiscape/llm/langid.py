@@ -5,7 +5,8 @@ into longest phrases that occur in a language's text; the language that needs th
 character wins (ties: the smaller name). The automata are tables of transitions in one array; where a
 phrase ends, the table already leads to the state after the first character of the next one and
 marks it, so many texts and all languages are walked at once. Texts are parsed in pieces of PIECE
-characters, so that a long one has many lanes; every piece of the whole text counts.
+characters, so that a long one has many lanes; every piece of the whole text counts. Every letter of the training
+texts is a symbol: transitions of the DENSE most frequent ones are a table, those of all others are hashed.
 
 Training reads, for each language, at most CHARS characters of the labelled texts of smallest id
 hash, among those whose crc32(doc_id as text) mod 3 is not 1 (documented bound of the sample). The
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscape.llm import text as T
+from lexiscape.llm.kneser import Lookup
 
-CHARS, DOCS, PIECE, ALPHABET = 40_000, 100, 1024, 63
+CHARS, DOCS, PIECE, DENSE = 40_000, 100, 1024, 63
 UNKNOWN = "und"
 
 
@@ -37,8 +39,8 @@ def held_out(doc_id="doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def automaton(s: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence of symbols; -1 where there is none."""
+def automaton(s: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton of a sequence of symbols: a table of those under width, -1 where there is none; others as (state, symbol, state)."""
     to, link, length, last = [{}], [-1], [0], 0
     for c in s.tolist():
         cur = len(to)
@@ -64,10 +66,14 @@ def automaton(s: np.ndarray, width: int) -> np.ndarray:
                 link[q] = link[cur] = clone
         last = cur
     out = np.full((len(to), width), -1, np.int32)
+    rare = []
     for i, t in enumerate(to):
         for c, x in t.items():
-            out[i, c] = x
-    return out
+            if c < width:
+                out[i, c] = x
+            else:
+                rare.append((i, c, x))
+    return out, np.array(rare, np.int64).reshape(-1, 3)
 
 
 class Model:
@@ -79,23 +85,28 @@ class Model:
         counts = Counter()
         for x in own.values():
             counts.update({c: n / len(x) for c, n in Counter(x).items()})
-        known = sorted(sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))[:ALPHABET])
-        # 0: a letter that isn't known; 1: what is no letter
-        self.symbols = np.fromiter((not chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+        known = sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))
+        known = sorted(known[:DENSE]) + known[DENSE:]
+        # 0: a letter of no training text; 1: what is no letter
+        self.symbols = np.fromiter((not chr(i).isalpha() for i in range(0x110000)), np.int32, 0x110000)
         self.symbols[[ord(c) for c in known]] = np.arange(2, len(known) + 2)
-        self.width = len(known) + 2
-        tables, self.roots, at = [], [], 0
+        self.width = min(len(known), DENSE) + 2
+        tables, rare, self.firsts, self.roots, at = [], [np.zeros((0, 3), np.int64)], [], [], 0
         for k in self.languages:
             codes = self.encode(own[k])
-            t = automaton(codes[self.kept(codes)], self.width)
+            t, more = automaton(codes[self.kept(codes)], self.width)
+            rare.append(more + [at, 0, at])
             t[:, 0] = -1
             t = np.concatenate([t, np.full((1, self.width), -1, np.int32)])  # the last state: before a first phrase, or after a character that no phrase holds
             again = np.where(t[0] >= 0, t[0], len(t) - 1)
             table = np.where(t >= 0, (t + at) << 1, ((again + at) << 1 | 1)[None])
             tables.append(table.astype(np.int32))
+            self.firsts.append(at)
             self.roots.append(at + len(t) - 1)
             at += len(t)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        rare = np.concatenate(rare)
+        self.rare = Lookup(rare[:, 0] << 21 | rare[:, 1], rare[:, 2])
 
     def encode(self, text: str) -> np.ndarray:
         return self.symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -109,6 +120,16 @@ class Model:
             keep[starts[starts < len(codes)]] = True
         return keep
 
+    def follow(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Entries of rarer letters, as in the table: states are rows of languages."""
+        key = lambda s: (s.astype(np.int64) << 21 | c).ravel()
+        at = self.rare.find(key(state))
+        first, last = (np.repeat(np.array(x, np.int64)[:, None], state.shape[1], 1) for x in (self.firsts, self.roots))
+        again = self.rare.find(key(first))
+        to = self.rare.values[0] if len(self.rare.values[0]) else np.full(1, -1)
+        anew = np.where(again >= 0, to[again], last.ravel()) << 1 | 1
+        return np.where(at >= 0, to[at] << 1, anew).reshape(state.shape).astype(np.int32)
+
     def phrases(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each piece (rows) in each language (columns)."""
         order = np.argsort(-lengths, kind="stable")
@@ -119,7 +140,10 @@ class Model:
         alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right") if n else []
         for step, a in enumerate(alive):
             c = codes[starts[:a] + step]
-            got = self.table[state[:, :a] * np.int32(self.width) + c]
+            got = self.table[state[:, :a] * np.int32(self.width) + np.where(c < self.width, c, 0)]
+            odd = np.flatnonzero(c >= self.width)
+            if len(odd):
+                got[:, odd] = self.follow(state[:, odd], c[odd])
             count[:, :a] += got & 1
             state[:, :a] = got >> 1
         out = np.empty((n, m), np.int64)

@@ -293,6 +293,17 @@ def test_cross_parsing():
         assert m.phrases(codes, np.array([0]), np.array([len(t)]))[0].tolist() == [slow_phrases("banana band", t), slow_phrases("cabbage", t)]
 
 
+def test_every_letter_is_a_symbol():
+    """Letters beyond the dense ones are followed as a naive parser does, and tell languages apart."""
+    train = {"el": ["η γλώσσα είναι παλιά και ωραία"], "en": ["the quick brown fox jumps over a lazy dog"], "ru": ["съешь ещё этих мягких французских булок да выпей чаю"], "uk": ["чуєш їх доцю га кумедна ж ти прощайся без ґольфів"], "zh": ["天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"], "ja": ["色は匂へど散りぬるを我が世誰ぞ常ならむ有為の奥山今日越えて"]}
+    m = langid.Model(train)
+    texts = ["γλώσσα ωραία", "brown dog", "мягких булок", "їх ґольфів", "寒来暑往秋收", "奥山今日越え", "天xяω地", "한국어"]
+    for t in texts:
+        want = [slow_phrases("\0".join(train[k]), t) for k in m.languages]
+        assert m.phrases(m.encode(t), np.array([0]), np.array([len(t)]))[0].tolist() == want, t
+    assert langid.parse(m, pa.array(texts[:6]))[0].tolist() == ["el", "en", "ru", "uk", "zh", "ja"]
+
+
 def test_languages(spark, docs, odd, none):
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id")
     held = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a")).first()["a"]
