@@ -4,7 +4,10 @@ Base spans are plain matches of four kinds (see the patterns). The method adds d
 transducers rewrite the text and keep, for each character they write, the span of source characters
 it stands for: (1) homoglyphs and widths become ASCII, invisible characters go; (2) "(at)", "[dot]",
 " at ", " dot " and the like become @ and .; (3) runs of spelled digits become digits. Identifiers of
-the rewritten text are mapped back through the composed spans. A mapped span is added if the
+the rewritten text are mapped back through the composed spans. An " at " without brackets counts before a domain with
+a listed top-level label (country codes and common ones), or whose last dot was spelled out and is followed by any two
+letters or more that don't start like a sentence; after " at " that last dot isn't the word "point" and the domain doesn't
+start with an article or the like ("look at the dot and"). A mapped span is added if the
 rewriting changed it and no base span holds all of it; base spans always stay.
 
 Offsets count code points, ends are exclusive. Null text is empty and has no spans; a null doc_id is
@@ -103,15 +106,21 @@ def _glyphs() -> dict[int, str]:
 _GLYPH = _glyphs()
 _ODD = frozenset(map(chr, _GLYPH)) | frozenset(_HIDDEN)
 _TOP = "com|org|net|edu|gov|info|io|co|de|fr|es|eu|uk|us|ch|it|nl|example|test|invalid|local"
+#: Country codes and other top-level labels that count in any case of letters but a sentence's start.
+_MORE_TOP = frozenset(
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ci ck cl cm cn cr cu cv cw cx cy cz dj dk dm do dz ec ee eg er et fi fj fk fm fo ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw "
+    "dev app biz mil mobi name pro xyz online site shop tech cloud blog email web int museum jobs travel aero coop asia cat club live news world page link agency media studio digital".split()
+)
+_NO_DOMAIN = frozenset("the a an this that these those each every any some no one it its his her my your our their which what all both".split())
 _OPEN, _SHUT = r"[\(\[\{<]", r"[\)\]\}>]"
-_AT = re.compile(rf"(?i)(?<=[a-z0-9._%+-])\x20*{_OPEN}\x20*(?:at|@|ät|arroba|arobase)\x20*{_SHUT}\x20*(?=[a-z0-9-])|(?<=[a-z0-9._%+-])\x20+(?:at|arroba|arobase)\x20+(?=[a-z0-9-]+(?:\.|\x20*{_OPEN}?\x20*(?:dot|punkt|punto|point)\x20*{_SHUT}?\x20*)+(?:[a-z0-9-]+(?:\.|\x20+dot\x20+))*(?:{_TOP})\b)")
+_AT = re.compile(rf"(?i)(?<=[a-z0-9._%+-])\x20*{_OPEN}\x20*(?:at|@|ät|arroba|arobase)\x20*{_SHUT}\x20*(?=[a-z0-9-])|(?<=[a-z0-9._%+-])\x20+(at|arroba|arobase)\x20+(?=([a-z0-9-]++(?:\.[a-z0-9-]++)+))")
 _DOT = re.compile(rf"(?i)(?<=[a-z0-9])\x20*{_OPEN}\x20*(?:dot|\.|punkt|punto|point)\x20*{_SHUT}\x20*(?=[a-z0-9])|(?<=[a-z0-9])\x20+(?:dot|punkt|punto|point)\x20+(?=[a-z0-9])")
 _SPACED = re.compile(r"(?<=[A-Za-z0-9])\x20+@\x20*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\x20+(?=[A-Za-z0-9])")
 _WORDS = "|".join(sorted(_NUMBERS, key=lambda w: (-len(w), w)))
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus\x20)?(?:{_WORDS})(?:[\x20,.()+-]+(?:{_WORDS}|dot|[0-9])(?![^\W\d_])){{2,}}")
 _TWO = re.compile(rf"(?:{_WORDS})[\x20,.()+-]+(?:{_WORDS}|dot|[0-9])")
 _ONE = re.compile(rf"(?i)(?:(?<![^\W_])({_WORDS})(?![^\W_]))|\x20*,\x20*|(plus)\x20|\x20*\b(dot)\b\x20*|(?<=[a-z])\x20+(?=[a-z])|(?<=[a-z])[-](?=[a-z])")
-_MAY_DISGUISE = re.compile(rf"{_OPEN}\x20*(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\x20*{_SHUT}|\x20(?:dot|punkt|punto|point)\x20|\x20@|@\x20|\x20(?:at|arroba|arobase)\x20+[a-z0-9-]+(?:\.(?:{_TOP})\b|\x20*{_OPEN})")
+_MAY_DISGUISE = re.compile(rf"{_OPEN}\x20*(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\x20*{_SHUT}|\x20(?:dot|punkt|punto|point)\x20|\x20@|@\x20|\x20(?:at|arroba|arobase)\x20+[a-z0-9-]++(?:\.[a-z0-9-]|\x20*{_OPEN})")
 
 
 class Tape:
@@ -144,6 +153,23 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _address(tape: Tape, source: str, m: re.Match) -> bool:
+    """Whether an " at " stands before a domain (dots are rewritten by then); a bracketed one always does."""
+    if not m[2]:
+        return True
+    labels = m[2].split(".")
+    if any(re.fullmatch(_TOP, x.split("-")[0].lower()) for x in labels[1:]):
+        return True
+    last, dot = labels[-1], m.end(2) - len(labels[-1]) - 1
+    if len(last) < 2 or not last.isalpha() or not (last.islower() or last.isupper()):
+        return False
+    if not tape.changed[dot]:
+        return last.lower() in _MORE_TOP
+    english = m[1].lower() == "at"
+    word = source[tape.starts[dot] : tape.ends[dot]].lower()
+    return not (english and (labels[0].lower() in _NO_DOMAIN or "point" in word))
+
+
 def disguised(text: str, plain: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Added spans."""
     lower = text.lower()
@@ -154,7 +180,7 @@ def disguised(text: str, plain: list[tuple[int, int, str]]) -> list[tuple[int, i
     tape.rewrite([(i, i + 1, _GLYPH.get(ord(c), "")) for i, c in enumerate(text) if c in _ODD] if odd else [])
     if odd or maybe:
         for pattern, new in ((_DOT, "."), (_AT, "@"), (_SPACED, "@")):
-            tape.rewrite([(m.start(), m.end(), new) for m in pattern.finditer(tape.text)])
+            tape.rewrite([(m.start(), m.end(), new) for m in pattern.finditer(tape.text) if pattern is not _AT or _address(tape, text, m)])
     tape.rewrite(_spelled(tape.text))
     if tape.text == text:
         return []

@@ -250,6 +250,15 @@ def test_base_spans():
         ("call plus one two zero two five five five zero one nine nine ok", "plus one two zero two five five five zero one nine nine"),
         ("card ４１１１ １１１１ １１１１ １１１１", "４１１１ １１１１ １１１１ １１１１"),
         ("ip 192 dot 168 dot 1 dot 10 x", "192 dot 168 dot 1 dot 10"),
+        ("mail john at mail dot pl now", "john at mail dot pl"),
+        ("mail john at mail dot corp dot ca now", "john at mail dot corp dot ca"),
+        ("mail juan arroba correo punto mx ya", "juan arroba correo punto mx"),
+        ("mail ann at firma (dot) berlin now", "ann at firma (dot) berlin"),
+        ("mail joe at corp.ca or so", "joe at corp.ca"),
+        ("mail j at mail.dev now", "j at mail.dev"),
+        ("look at the dot and wait", None),
+        ("we are at this point in time", None),
+        ("we met at noon.then we left", None),
         ("he is at home dot Then", None),
         ("We met at the dot. com and one two three", None),
     ],
