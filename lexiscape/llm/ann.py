@@ -15,8 +15,8 @@ row of norm r is given the extra component sqrt(R^2 - r^2), R the largest norm,
 inner product the smallest distance.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part, as queries or candidates; so do rows with null id. Repeated ids are separate candidates, and no query
-meets a row of its own id. Fewer candidates than k give fewer rows. Extra columns are ignored.
+no part, as queries or candidates; so do rows with null id. Repeated ids are separate candidates, but ask once: a
+query id with several vectors asks by the smallest of them (as arrays). No query meets a row of its own id. Fewer candidates than k give fewer rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -233,7 +233,8 @@ def search(rows: DataFrame, every: int = EVERY, k: int = K, target: float = TARG
     leaves = scratch.table(rows.mapInArrow(assign, "id long, v array<double>, leaf int"))
     size = {r["leaf"]: r["count"] for r in leaves.groupBy("leaf").count().collect()}  # a row a leaf
     # calibration: exact neighbours of a bounded set of queries, and the leaf visit at which each is met
-    probe = T.sample(rows.where(F.pmod("id", F.lit(every)) == 0), CALIBRATION, "id").toPandas().drop_duplicates("id")
+    asking = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
+    probe = T.sample(asking, CALIBRATION, "id").toPandas()
     visits = len(tree.leaf)
     if len(probe):
         q_ids, q = probe["id"].to_numpy(), np.stack(probe["v"].to_numpy())
@@ -267,7 +268,7 @@ def search(rows: DataFrame, every: int = EVERY, k: int = K, target: float = TARG
                     go.append(leaves[own == s])
             yield pa.record_batch([b.column("id").take(pa.array(at, pa.int64())), b.column("v").take(pa.array(at, pa.int64())), pa.array(np.array(shard, np.int32)), pa.array(go, pa.list_(pa.int64()))], names=["id", "v", "shard", "go"])
 
-    queries = scratch.table(rows.where(F.pmod("id", F.lit(every)) == 0).mapInArrow(route, "id long, v array<double>, shard int, go array<long>"))
+    queries = scratch.table(asking.mapInArrow(route, "id long, v array<double>, shard int, go array<long>"))
     asked = {r["shard"]: r["count"] for r in queries.groupBy("shard").count().collect()}
     split = spark.createDataFrame([(s, int(row_blocks[s]), max(1, -(-asked.get(s, 0) // BLOCK_QUERIES))) for s in range(shards + 1)], "shard int, row_blocks int, query_blocks int")  # at most MAX_LEAVES rows
     homes = spark.createDataFrame([(leaf, int(s)) for leaf, s in enumerate(shard_of)], "leaf int, shard int")

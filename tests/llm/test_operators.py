@@ -352,6 +352,22 @@ def test_nearest(spark, small):
     assert ann.search(table.limit(0)).count() == 0
 
 
+def test_repeated_query_asks_once(spark):
+    """Copies of a query row, and other vectors under its id, leave it one ranking of different rows."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 200)]
+    twice = [(20, rows[19][1]), (40, [9.0] * 8), (40, [9.0] * 8), (60, rows[59][1])] + [(60, rows[59][1])] * 20
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows + twice, "vec_id long, embedding array<double>"), target=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q, own in got.items():
+        named = [i for _, i in sorted(own)]
+        asks = np.array(min(v for i, v in rows + twice if i == q))
+        want = [i for _, i in sorted((-float((np.array(v) * asks).sum()), i) for i, v in rows + twice if i != q)[:20]]
+        assert [k for k, _ in sorted(own)] == list(range(1, 21)) and named == want
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+
+
 def test_urls(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url")
     more = spark.createDataFrame([(9001, None), (9002, "abc"), (9003, "http://ORG/"), (9004, "x://a.example.org/en/12?q#z"), (9005, "x://org#/"), (9006, "x://b.com?d=/fr/"), (9007, ""), (None, "q://com/de/"), (9008, "h://xorg/a")], "page_id long, url string")
