@@ -1,27 +1,33 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-n-grams are of ORDER bytes (A-Z lower-cased), so that a key holds the n-gram itself and the model grows
-with what the corpus says, not with its size. Every trusted document is counted; tasks sum before
-anything is shuffled. Lower orders take continuation counts, the number of different n-grams one longer
-that end in them, which follow from the highest order's table. Discounts are the modified ones, from
-counts of counts of each order over the whole table.
-
-Sharded joins: the count table is cut by the byte before the predicted one, which all orders from 2 on
-share for a place in a text, contexts included. So a shard holds all that its places need, places are
-joined with their shard by key lookups, and log-likelihoods add up over shards. A shard has at most
-SHARD_ROWS n-grams (a byte with more is cut no further); it is sent to the tasks and texts are read
-once a shard. At most sizes there is one shard.
-
-Trusted: labelled quality 1 and not toxic (a document with several labels is trusted if one row says so).
+"""Quality by perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
+
+Units are the tokens of a public vocabulary (a parameter), so that everything of order 1 has at most VOCABULARY rows,
+and a bigram is an exact 32-bit key. Every trusted document outside the calibrating fold is counted; tasks sum before
+anything is shuffled, and the table of bigrams grows with the trusted text. Order 1 has continuation counts (the number
+of different tokens before a token); discounts are the modified ones, from counts of counts over the whole tables.
+
+With p(w|v) = (c(vw) - d) / c(v) + g(v) p(w), the log-likelihood of a text is a sum over its places of log g(v) + log p(w),
+which are of order 1, and of bonus(vw) = log p(w|v) - log g(v) - log p(w), which is zero for a bigram that wasn't seen. So
+scoring is a sharded count join: a task encodes a slice of texts, adds up what is of order 1, sorts the slice's bigrams
+and sends each shard its own ones once, with the documents that they stand in (a block: sorted keys and documents in
+compressed byte planes). A shard looks the keys up in its part of the table and returns sums by document. Shards are
+hash classes of bigrams, as many as the table needs at SHARD_ROWS each, and a shard's blocks are dealt to buckets of
+BUCKET_BYTES of text, so that no task has more than a part of the table and a bucket's blocks, whatever the size; a
+bigram that stands in most documents is one key and a list of documents in each slice's block.
+
+Trusted: labelled quality 1 and not toxic (a document with several labels is trusted if one row says so). Ids of trusted
+documents are sent to the tasks while there are at most SENT_IDS; more are joined by a sort.
 One in FOLDS of the trusted documents (crc32 of the id) is left out of the counts and calibrates, since a
 model finds the text it was made from too likely. Labelled rejects (quality 0 or toxic, and not trusted) of the same
 fold calibrate with them: a language's threshold is the perplexity (in bins of BIN of its logarithm) with the largest
 share of rejects above it less the share of trusted ones above it (ties: the largest). Where a side has fewer than
-SIDE documents it is the QUANTILE of the calibrating trusted documents times SLACK (of all trusted ones where none
+SIDE documents it is the QUANTILE of the calibrating trusted documents (of all trusted ones where none
 calibrates); languages without trusted documents (null counts as one) take the threshold of all. Degenerate text is
 too likely: perplexity below the 1 - QUANTILE quantile of the calibrating trusted documents (of all languages where
-one has under LOW, with no such bound where all have) isn't kept either. Empty texts have perplexity null and are not kept. Without trusted text there is no threshold and all with text are kept. Repeated ids keep their
-rows. Extra columns are ignored.
+one has under LOW, with no such bound where all have) isn't kept either. Texts without tokens (null, empty, white space)
+have perplexity null and are not kept. Without trusted text every token is equally likely, there is no threshold and all
+with tokens are kept. Very long texts make slices of their own. Repeated rows and ids keep their rows, an empty table
+gives none. Extra columns are ignored. docs must give the same rows in the same order when a task is repeated, as
+scans and written tables do.
 """
 
 from __future__ import annotations
@@ -30,40 +36,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscape.llm import text as T
+from lexiscape.llm import tokens as K
 from lexiscape.session import Scratch
 
-ORDER, QUANTILE, SLACK, FOLDS, SHARD_ROWS = 5, 0.99, 1.0, 5, 1_500_000
+QUANTILE, FOLDS, SHARD_ROWS, BUCKET_BYTES = 0.99, 5, 2_000_000, 64 << 20
+#: Largest vocabulary: a bigram is two 16-bit numbers, the last of which stands for a text's start.
+VOCABULARY = (1 << 16) - 1
 #: Bins of log-perplexity; calibrating documents of either side for a two-sided threshold, trusted ones for a lower bound.
 BIN, SIDE, LOW = 0.001, 10, 100
+#: Ids of trusted documents that may be sent to the tasks.
+SENT_IDS = 2_000_000
 #: Thresholds up to this number of languages are sent to all tasks; more are joined, with scores dealt to SALTS parts a language.
 SENT_LANGS, SALTS = 10_000, 64
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
-
-def keys(raw: np.ndarray, off: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each byte, as an integer; places before a text are zero."""
-    raw = _LOWER[raw].astype(np.int64)
-    out = raw.copy()
-    place = np.arange(len(raw)) - np.repeat(off[:-1], np.diff(off))
-    for k in range(1, order):
-        back = np.zeros(len(raw), np.int64)
-        back[k:] = raw[:-k]
-        back[place < k] = 0
-        out |= back << (8 * k)
-    return out
+def grams(column: pa.Array, vocabulary: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token of all texts the bigram that ends in it (token before << 16 | token), and texts' offsets."""
+    enc = K.encoder(vocabulary)
+    start = len(enc.ends)
+    if start > VOCABULARY:
+        raise ValueError(f"the vocabulary has more than {VOCABULARY} tokens")
+    ids, off = enc.encode(column)
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[off[:-1][np.diff(off) > 0]] = start
+    return before << 16 | ids, off
 
 
-def _counted(order: int):
+def _counted(vocabulary: str | None):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in T.slices(batches):
-            k, n = np.unique(keys(*T.flat(b.column("text")), order), return_counts=True)
+        for b in T.slices(batches, limit=K.SLICE_BYTES):
+            k, n = np.unique(grams(b.column("text"), vocabulary)[0], return_counts=True)
             have, where = np.unique(np.concatenate([have, k]), return_inverse=True)
             total = np.bincount(where, np.concatenate([total, n]), len(have)).astype(np.int64)
             if len(have) > 2_000_000:
@@ -74,175 +83,181 @@ def _counted(order: int):
     return each
 
 
-def counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
+def counts(trusted: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """gram, n over all trusted texts."""
     T.bounded_batches(trusted.sparkSession)
-    return trusted.mapInArrow(_counted(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(table: DataFrame, order: int) -> list[np.ndarray]:
-    """For each order from 1: the discounts of counts 0, 1, 2 and 3 or more."""
-    out = []
-    for k in range(1, order + 1):
-        t = table if k == order else suffixes(table, order, k)
-        n = np.zeros(6)
-        for r in t.groupBy(F.least("n", F.lit(5)).alias("c")).count().collect():
-            n[r["c"]] = r["count"]
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        d = [0.0] + [min(max(c - (c + 1) * y * n[c + 1] / n[c], 0.1), c - 0.05) if n[c] and n[c + 1] else 0.5 for c in (1, 2, 3)]
-        out.append(np.array(d))
+    return trusted.mapInArrow(_counted(vocabulary), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def discount(of: np.ndarray) -> np.ndarray:
+    """The modified discounts of counts 0, 1, 2 and 3 or more, from the numbers of n-grams with counts 1 to 4 (at 1 to 4)."""
+    y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+    return np.array([0.0] + [min(max(c - (c + 1) * y * of[c + 1] / of[c], 0.1), c - 0.05) if of[c] and of[c + 1] else 0.5 for c in (1, 2, 3)])
+
+
+class Low:
+    """What is of order 1, in arrays by token: p(w), and of a token as context c(v) and g(v)."""
+
+    def __init__(self, table: DataFrame, vocabulary: str | None = None):
+        size = len(K.encoder(vocabulary).ends)
+        once = [F.count(F.when(F.col("n") == c, 1)).alias(f"n{c}") for c in (1, 2, 3, 4)]
+        before = table.groupBy(F.shiftright("gram", 16).alias("v")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), *once).collect()  # at most VOCABULARY + 1 rows
+        after = table.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("w")).count().collect()  # at most VOCABULARY rows
+        self.discount = discount(np.array([0.0] + [sum(r[f"n{c}"] for r in before) for c in (1, 2, 3, 4)]))
+        self.context, self.back = np.zeros(size + 1), np.ones(size + 1)
+        for r in before:
+            d = self.discount[1] * r["n1"] + self.discount[2] * r["n2"] + self.discount[3] * (r["kinds"] - r["n1"] - r["n2"])
+            self.context[r["v"]], self.back[r["v"]] = r["n"], d / r["n"]
+        one = np.zeros(size)
+        for r in after:
+            one[r["w"]] = r["count"]
+        d = discount(np.bincount(np.minimum(one, 5).astype(int), minlength=6).astype(float))[np.minimum(one, 3).astype(int)]
+        total = max(one.sum(), 1.0)
+        self.p = (one - d) / total + max(d.sum() / total, 1e-6) / size
+        self.p /= self.p.sum()
+
+    def places(self, gram: np.ndarray) -> np.ndarray:
+        """log g(v) + log p(w)."""
+        return np.log(self.back)[gram >> 16] + np.log(self.p)[gram & 0xFFFF]
+
+    def bonus(self, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What a seen bigram adds."""
+        v, low = gram >> 16, self.back[gram >> 16] * self.p[gram & 0xFFFF]
+        return np.log(((n - self.discount[np.minimum(n, 3)]) / self.context[v] + low) / low)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Unsigned arrays as compressed byte planes, with what it takes to read them."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    planes = [press.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in arrays]
+    head = np.array([len(arrays), *(x for a, p in zip(arrays, planes) for x in (a.itemsize, len(a), len(p)))], "<u4")
+    return head.tobytes() + b"".join(planes)
+
+
+def unpacked(body: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor()
+    k = int(np.frombuffer(body, "<u4", 1)[0])
+    head, at, out = np.frombuffer(body, "<u4", 3 * k, 4).reshape(k, 3).tolist(), 4 + 12 * k, []
+    for item, n, size in head:
+        raw = open_.decompress(body[at : at + size], max_output_size=max(1, item * n)) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(item, n).T).view(f"<u{item}").ravel())
+        at += size
     return out
 
 
-def suffixes(table: DataFrame, order: int, k: int) -> DataFrame:
-    """Continuation counts of order k < order."""
-    mask = (1 << (8 * (k + 1))) - 1
-    longer = table.select(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).distinct() if k + 1 < order else table
-    return longer.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-
-
-class Lookup:
-    """Values by integer key: open addressing in arrays."""
-
-    def __init__(self, key: np.ndarray, *values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(len(key), 1) * 2.5))))
-        self.keys, self.at = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
-        self.values = values
-        slot, left, self.probes = self._slot(key), np.arange(len(key)), 0
-        while len(left):
-            self.probes += 1
-            free = self.keys[slot[left]] < 0
-            go = left[free]
-            self.keys[slot[go]] = key[go]  # of those that meet in a slot, the last one stays
-            self.at[slot[go]] = go
-            left = left[self.keys[slot[left]] != key[left]]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Rows of keys; -1 where there is none."""
-        slot, out, left = self._slot(key), np.full(len(key), -1, np.int64), np.arange(len(key))
-        for _ in range(self.probes):
-            there = self.keys[slot[left]]
-            hit = there == key[left]
-            out[left[hit]] = self.at[slot[left[hit]]]
-            left = left[(there >= 0) & ~hit]
-            if not len(left):
-                break
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-        return out
-
-
-class Shard:
-    """Log-probabilities of seen n-grams and log-weights of contexts, for the places of a shard."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray, unigram: np.ndarray, discount: list[np.ndarray], order: int, before: set[int]):
-        self.order, self.unigram, self.before = order, unigram, np.isin(np.arange(256), list(before))
-        level = {order: (gram, n)}
-        for k in range(order - 1, 1, -1):
-            longer = np.unique(level[k + 1][0] & ((1 << (8 * (k + 1))) - 1))
-            level[k] = np.unique(longer & ((1 << (8 * k)) - 1), return_counts=True)
-        self.grams: dict[int, Lookup] = {}
-        self.contexts: dict[int, Lookup] = {}
-        prob = unigram
-        for k in range(2, order + 1):
-            g, c = level[k]
-            ctx, where = np.unique(g >> 8, return_inverse=True)
-            total = np.bincount(where, c)
-            d = discount[k - 1][np.minimum(c, 3)]
-            gamma = np.bincount(where, d) / total
-            low = prob[g & 255] if k == 2 else prob[self.grams[k - 1].find(g & ((1 << (8 * (k - 1))) - 1))]
-            prob = (c - d) / total[where] + gamma[where] * low
-            self.grams[k] = Lookup(g, np.log(prob))
-            self.contexts[k] = Lookup(ctx, np.log(np.maximum(gamma, 1e-12)))
-
-    def log(self, key: np.ndarray) -> np.ndarray:
-        """Log-probability of each place; zero where it belongs to another shard."""
-        out = np.zeros(len(key))
-        left = np.flatnonzero(self.before[(key >> 8) & 255])
-        for k in range(self.order, 1, -1):
-            g = key[left] & ((1 << (8 * k)) - 1)
-            row = self.grams[k].find(g)
-            hit = row >= 0
-            out[left[hit]] += self.grams[k].values[0][row[hit]]
-            left, g = left[~hit], g[~hit]
-            row = self.contexts[k].find(g >> 8)
-            out[left[row >= 0]] += self.contexts[k].values[0][row[row >= 0]]
-        out[left] += np.log(self.unigram[key[left] & 255])
-        return out
-
-
-def shard_plan(table: DataFrame, rows: int = SHARD_ROWS) -> list[list[int]]:
-    """Bytes before the predicted one, grouped so that a shard has at most `rows` n-grams."""
-    byte = F.shiftright("gram", 8).bitwiseAND(F.lit(255)).alias("byte")
-    groups: list[tuple[int, list[int]]] = []
-    for n, b in sorted(((r["count"], r["byte"]) for r in table.groupBy(byte).count().collect()), reverse=True):  # at most 256 rows
-        at = next((i for i, (m, _) in enumerate(groups) if m + n <= rows), None)
-        if at is None:
-            groups.append((n, [b]))
+def shard_of(gram, shards: int):
+    """The shard of a bigram (NumPy or column)."""
+    if isinstance(gram, np.ndarray):
+        return (gram * 1640531527 >> 16) % shards
+    return (F.shiftright(gram * F.lit(1640531527), 16) % F.lit(shards)).cast("int")
+
+
+BLOCK = "shard int, bucket int, slice long, body binary, docs array<struct<doc_id:long,lang:string,ll:double,size:long>>"
+_DOC = pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("ll", pa.float64()), ("size", pa.int64())])
+_BLOCK = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("slice", pa.int64()), ("body", pa.binary()), ("docs", pa.list_(_DOC))])
+
+
+def _asked(low, shards: int, buckets: int, vocabulary: str | None):
+    """Blocks of a task's slices; shard 0's carry the slice's documents with what is of order 1."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, task = low.value, TaskContext.get().partitionId()
+        for i, b in enumerate(T.slices(batches, limit=K.SLICE_BYTES)):
+            gram, off = grams(b.column("text"), vocabulary)
+            sums = np.concatenate([[0.0], np.cumsum(model.places(gram))])
+            docs = pa.StructArray.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(sums[off[1:]] - sums[off[:-1]]), pa.array(np.diff(off))], fields=list(_DOC))
+            doc = np.repeat(np.arange(b.num_rows), np.diff(off))
+            key = np.sort(gram << 24 | doc)
+            gram, doc = key >> 24, (key & 0xFFFFFF).astype(np.uint16 if b.num_rows <= 1 << 16 else np.uint32)
+            shard = shard_of(gram, shards)
+            rows = []
+            for s in range(shards):
+                g, d = (gram, doc) if shards == 1 else (gram[shard == s], doc[shard == s])
+                first = np.flatnonzero(np.diff(g, prepend=-1))
+                body = packed(np.diff(g[first], prepend=0).astype(np.uint32), np.diff(first, append=len(g)).astype(np.uint32), d)
+                if len(g) or not s:
+                    rows.append((s, (task * 7919 + i) % buckets, task << 32 | i, body))
+            head = [pa.array(x, f.type) for x, f in zip(zip(*rows), _BLOCK)]
+            ends = pa.array([0] + [b.num_rows] * len(rows), pa.int32())
+            yield pa.record_batch([*head, pa.ListArray.from_arrays(ends, docs)], schema=_BLOCK)
+
+    return each
+
+
+ANSWER = "slice long, at int, doc_id long, lang string, ll double, size long"
+_ANSWER = pa.schema([("slice", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("ll", pa.float64()), ("size", pa.int64())])
+
+
+def _answered(blocks: pa.Table, table: pa.Table) -> pa.Table:
+    """Sums by document of a bucket's blocks, from the shard's part of the table."""
+    out, bonus = [], T.Lookup(np.zeros(0, np.int64), np.zeros(0))
+    for body in table.column("body").to_pylist():
+        step, value = unpacked(body)
+        bonus = T.Lookup(np.cumsum(step.astype(np.int64)), value.view(np.float64))
+    for i in range(blocks.num_rows):
+        step, times, doc = unpacked(blocks.column("body")[i].as_py())
+        row = bonus.find(np.cumsum(step.astype(np.int64)))
+        gain = np.where(row >= 0, bonus.values[0][row] if len(bonus.values[0]) else 0.0, 0.0)
+        sums = np.bincount(doc, np.repeat(gain, times))
+        name = blocks.column("slice")[i].as_py()
+        docs = blocks.column("docs")[i].values
+        if blocks.column("shard")[i].as_py() == 0:
+            sums = np.concatenate([sums, np.zeros(len(docs) - len(sums))])
+            own = docs.flatten()
+            cols = [pa.array(np.full(len(docs), name)), pa.array(np.arange(len(docs), dtype=np.int32)), own[0], own[1], pa.array(own[2].to_numpy() + sums), own[3]]
         else:
-            groups[at] = (groups[at][0] + n, [*groups[at][1], b])
-    return [own for _, own in groups] or [[]]
-
-
-def shards(table: DataFrame, plan: list[list[int]], order: int = ORDER) -> Iterator[Shard]:
-    discount = discounts(table, order)
-    one = np.zeros(256)
-    for r in suffixes(table, order, 1).collect():  # at most 256 rows
-        one[r["gram"]] = r["n"]
-    d = discount[0][np.minimum(one, 3).astype(int)]
-    total = max(one.sum(), 1)
-    unigram = (one - np.where(one > 0, d, 0)) / total + max(d[one > 0].sum() / total, 1e-6) / 256
-    unigram = unigram / unigram.sum()
-    byte = F.shiftright("gram", 8).bitwiseAND(F.lit(255)).alias("byte")
-    unseen = set(range(256)).difference(*plan)
-    for i, own in enumerate(plan):
-        part = table.where(byte.isin(own)).toArrow() if own else None
-        gram, n = (part.column(c).to_numpy() for c in ("gram", "n")) if part else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        yield Shard(gram, n, unigram, discount, order, set(own) | (unseen if i == 0 else set()))
-
-
-def _scored(shared, order: int):
-    def each(batches):
-        shard = shared.value
-        for b in T.slices(batches):
-            raw, off = T.flat(b.column("text"))
-            sums = np.concatenate([[0.0], np.cumsum(shard.log(keys(raw, off, order)))])
-            yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("lang"), pa.array(sums[off[1:]] - sums[off[:-1]]), pa.array(np.diff(off))], names=["row", "doc_id", "lang", "ll", "size"])
+            at = np.flatnonzero(sums)
+            cols = [pa.array(np.full(len(at), name)), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string()), pa.array(sums[at]), pa.nulls(len(at), pa.int64())]
+        out.append(pa.table(cols, schema=_ANSWER))
+    return pa.concat_tables(out) if out else _ANSWER.empty_table()
+
+
+def _parts(low):
+    def each(own: pa.Table) -> pa.Table:
+        gram, n = (own.column(c).to_numpy() for c in ("gram", "n"))
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+        body = packed(np.diff(gram, prepend=0).astype(np.uint32), low.value.bonus(gram, n).view(np.uint64))
+        return pa.table({"shard": pa.array([own.column("shard")[0].as_py()], pa.int32()), "body": pa.array([body], pa.binary())})
 
     return each
 
 
-def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, lang, perplexity, threshold, keep, per row of docs."""
-    spark = docs.sparkSession
+def scores(rows: DataFrame, table: DataFrame, vocabulary: str | None = None, shard_rows: int = SHARD_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, lang, ll, size of each of rows (doc_id, text, lang), by the counts of table (gram, n), which must be a written one."""
+    spark = rows.sparkSession
     T.bounded_batches(spark)
-    scratch = Scratch(spark)
+    low = spark.sparkContext.broadcast(Low(table, vocabulary))  # by token: bounded by VOCABULARY
+    shards = max(1, -(-table.count() // shard_rows))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // (shards * bucket_bytes)))
+    asked = rows.mapInArrow(_asked(low, shards, buckets, vocabulary), BLOCK)
+    parts = table.withColumn("shard", shard_of(F.col("gram"), shards)).groupBy("shard").applyInArrow(_parts(low), "shard int, body binary")
+    parts = parts.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    found = asked.groupBy("shard", "bucket").cogroup(parts.groupBy("shard", "bucket")).applyInArrow(_answered, ANSWER)
+    whole = F.first(F.when(F.col("size").isNotNull(), F.struct("doc_id", "lang", "size")), ignorenulls=True).alias("doc")
+    return found.groupBy("slice", "at").agg(whole, F.sum("ll").alias("ll")).select("doc.doc_id", "doc.lang", "ll", "doc.size")
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, vocabulary: str | None = None, shard_rows: int = SHARD_ROWS, bucket_bytes: int = BUCKET_BYTES, sent_ids: int = SENT_IDS) -> DataFrame:
+    """doc_id, lang, perplexity, threshold, keep, per row of docs."""
+    scratch = Scratch(docs.sparkSession)
     fine = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
     poor = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
     sides = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(fine).alias("trusted"), F.max(poor).alias("poor"))
-    sides = sides.select("doc_id", "trusted", (F.col("poor") & ~F.col("trusted")).alias("rejected"))
-    good = sides.where("trusted").select("doc_id")
+    sides = scratch.table(sides.select("doc_id", "trusted", (F.col("poor") & ~F.col("trusted")).alias("rejected")))
+    good = sides.where("trusted and doc_id is not null").select("doc_id")
+    good = F.broadcast(good) if good.count() <= sent_ids else good.hint("merge")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    # texts meet their labels once, for the counts; for thresholds only scores do
-    trusted = rows.where(~calibrates()).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")
-    table = scratch.table(counts(trusted.select("text"), order))
-    plan = shard_plan(table, shard_rows)
-    if len(plan) > 1:  # partial sums of a row meet again by its number
-        rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()))
-    else:
-        rows = rows.withColumn("row", F.lit(0).cast("long"))
-    found = None
-    for shard in shards(table, plan, order):
-        part = rows.mapInArrow(_scored(spark.sparkContext.broadcast(shard), order), "row long, doc_id long, lang string, ll double, size long")
-        found = part if found is None else found.unionByName(part)
-    if len(plan) > 1:
-        found = found.groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "lang", "size")), F.sum("ll").alias("ll"))
-    found = scratch.table(found.drop("row"))
+    trusted = rows.where(~calibrates()).select("doc_id", "text").join(good, "doc_id", "left_semi")
+    table = scratch.table(counts(trusted.select("text"), vocabulary))
+    found = scratch.table(scores(rows, table, vocabulary, shard_rows, bucket_bytes))
     marked = found.join(sides, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("trusted", "rejected")})
-    return _thresholded(marked, quantile, slack)
+    return _thresholded(marked, quantile)
 
 
 def calibrates() -> F.Column:
@@ -263,14 +278,14 @@ def _two_sided(scored: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*by, F.when(enough, F.exp((best["bin"] + 1) * BIN)).alias("cut"))
 
 
-def _thresholded(scored: DataFrame, quantile: float, slack: float, sent: int = SENT_LANGS) -> DataFrame:
+def _thresholded(scored: DataFrame, quantile: float, sent: int = SENT_LANGS) -> DataFrame:
     scored = scored.withColumn("perplexity", F.when(F.col("size") > 0, F.exp(-F.col("ll") / F.col("size"))))
     if "rejected" not in scored.columns:
         scored = scored.withColumn("rejected", F.lit(False))
     scored = scored.withColumn("_lang", F.coalesce("lang", F.lit("")))
     trusted = scored.where("trusted and perplexity is not null")
     at = lambda which, q: F.percentile_approx(F.when(which, F.col("perplexity")), q, 10_000)
-    sums = [(F.coalesce(at(calibrates(), quantile), at(F.lit(True), quantile)) * slack).alias("own"), F.when(F.count(F.when(calibrates(), 1)) >= LOW, at(calibrates(), 1 - quantile)).alias("low")]
+    sums = [F.coalesce(at(calibrates(), quantile), at(F.lit(True), quantile)).alias("own"), F.when(F.count(F.when(calibrates(), 1)) >= LOW, at(calibrates(), 1 - quantile)).alias("low")]
     own = trusted.groupBy("_lang").agg(*sums).join(_two_sided(scored, ["_lang"]), "_lang", "left")
     own = Scratch(scored.sparkSession).table(own.select("_lang", F.coalesce("cut", "own").alias("own"), "low"))  # a row a language
     every, parted = trusted.agg(*sums).first(), _two_sided(scored, []).first()

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscape.llm import text as T
-from lexiscape.llm.kneser import Lookup
 
 CHARS, DOCS, PIECE, DENSE = 40_000, 100, 1024, 63
 UNKNOWN = "und"
@@ -106,7 +105,7 @@ class Model:
             at += len(t)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         rare = np.concatenate(rare)
-        self.rare = Lookup(rare[:, 0] << 21 | rare[:, 1], rare[:, 2])
+        self.rare = T.Lookup(rare[:, 0] << 21 | rare[:, 1], rare[:, 2])
 
     def encode(self, text: str) -> np.ndarray:
         return self.symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]

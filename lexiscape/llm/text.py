@@ -114,3 +114,37 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out += words[j : j + n] * p[j + 1]
     return mix(out)
+
+
+class Lookup:
+    """Values by integer key: open addressing in arrays."""
+
+    def __init__(self, key: np.ndarray, *values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(len(key), 1) * 2.5))))
+        self.keys, self.at = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        self.values = values
+        slot, left, self.probes = self._slot(key), np.arange(len(key)), 0
+        while len(left):
+            self.probes += 1
+            free = self.keys[slot[left]] < 0
+            go = left[free]
+            self.keys[slot[go]] = key[go]  # of those that meet in a slot, the last one stays
+            self.at[slot[go]] = go
+            left = left[self.keys[slot[left]] != key[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Rows of keys; -1 where there is none."""
+        slot, out, left = self._slot(key), np.full(len(key), -1, np.int64), np.arange(len(key))
+        for _ in range(self.probes):
+            there = self.keys[slot[left]]
+            hit = there == key[left]
+            out[left[hit]] = self.at[slot[left[hit]]]
+            left = left[(there >= 0) & ~hit]
+            if not len(left):
+                break
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        return out

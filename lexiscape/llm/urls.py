@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscape.llm import text as T
-from lexiscape.llm.kneser import Lookup
 from lexiscape.session import Scratch
 
 #: The query's rules.
@@ -91,8 +90,8 @@ class Markov:
 
     def __init__(self, key: np.ndarray, n: np.ndarray):
         context, where = np.unique(key >> SYMBOL, return_inverse=True)
-        self.grams = Lookup(key, n.astype(float))
-        self.contexts = Lookup(context, np.bincount(where, n, len(context)), np.bincount(where, minlength=len(context)).astype(float))
+        self.grams = T.Lookup(key, n.astype(float))
+        self.contexts = T.Lookup(context, np.bincount(where, n, len(context)), np.bincount(where, minlength=len(context)).astype(float))
 
     def log(self, own: np.ndarray) -> np.ndarray:
         p = np.full(own.shape[1], 1 / 257)
