@@ -3,7 +3,8 @@
 Units are the tokens of a public vocabulary (a parameter), so that everything of order 1 has at most VOCABULARY rows,
 and a bigram is an exact 32-bit key. Every trusted document outside the calibrating fold is counted; tasks sum before
 anything is shuffled, and the table of bigrams grows with the trusted text. Order 1 has continuation counts (the number
-of different tokens before a token); discounts are the modified ones, from counts of counts over the whole tables.
+of different tokens before a token), interpolated with equal shares of the mass that Good and Turing give to tokens that
+were never seen (the share of tokens that stand once); discounts are the modified ones, from counts of counts over the whole tables.
 
 With p(w|v) = (c(vw) - d) / c(v) + g(v) p(w), the log-likelihood of a text is a sum over its places of log g(v) + log p(w),
 which are of order 1, and of bonus(vw) = log p(w|v) - log g(v) - log p(w), which is zero for a bigram that wasn't seen. So
@@ -102,19 +103,18 @@ class Low:
         size = len(K.encoder(vocabulary).ends)
         once = [F.count(F.when(F.col("n") == c, 1)).alias(f"n{c}") for c in (1, 2, 3, 4)]
         before = table.groupBy(F.shiftright("gram", 16).alias("v")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), *once).collect()  # at most VOCABULARY + 1 rows
-        after = table.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("w")).count().collect()  # at most VOCABULARY rows
+        after = table.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("w")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()  # at most VOCABULARY rows
         self.discount = discount(np.array([0.0] + [sum(r[f"n{c}"] for r in before) for c in (1, 2, 3, 4)]))
         self.context, self.back = np.zeros(size + 1), np.ones(size + 1)
         for r in before:
             d = self.discount[1] * r["n1"] + self.discount[2] * r["n2"] + self.discount[3] * (r["kinds"] - r["n1"] - r["n2"])
             self.context[r["v"]], self.back[r["v"]] = r["n"], d / r["n"]
-        one = np.zeros(size)
+        one, own = np.zeros(size), np.zeros(size)
         for r in after:
-            one[r["w"]] = r["count"]
-        d = discount(np.bincount(np.minimum(one, 5).astype(int), minlength=6).astype(float))[np.minimum(one, 3).astype(int)]
-        total = max(one.sum(), 1.0)
-        self.p = (one - d) / total + max(d.sum() / total, 1e-6) / size
-        self.p /= self.p.sum()
+            one[r["w"]], own[r["w"]] = r["kinds"], r["n"]
+        kept = one - discount(np.bincount(np.minimum(one, 5).astype(int), minlength=6).astype(float))[np.minimum(one, 3).astype(int)]
+        new = max(1.0, (own == 1).sum()) / max(1.0, own.sum())
+        self.p = (1 - new) * kept / kept.sum() + new / size if len(after) else np.full(size, 1 / size)
 
     def places(self, gram: np.ndarray) -> np.ndarray:
         """log g(v) + log p(w)."""

@@ -443,10 +443,10 @@ def slow_kneser(texts, start, size):
         return [0.0] + [min(max(c - (c + 1) * y * n[c + 1] / n[c], 0.1), c - 0.05) if n[c] and n[c + 1] else 0.5 for c in (1, 2, 3)]
 
     d1, d2 = discounts(after.values()), discounts(pairs.values())
-    total = sum(after.values())
-    spread = max(sum(d1[min(c, 3)] for c in after.values()) / total, 1e-6) / size
-    norm = sum(c - d1[min(c, 3)] for c in after.values()) / total + spread * size
-    low = lambda w: ((after[w] - d1[min(after[w], 3)]) / total + spread) / norm
+    own = Counter(w for x in texts for w in x)
+    new = max(1, sum(c == 1 for c in own.values())) / sum(own.values())
+    kept = sum(c - d1[min(c, 3)] for c in after.values())
+    low = lambda w: (1 - new) * (after[w] - d1[min(after[w], 3)]) / kept + new / size
 
     def log(v, w):
         own = [c for (a, _), c in pairs.items() if a == v]
