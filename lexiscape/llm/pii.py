@@ -16,11 +16,13 @@ carried; repeated ids are handled row by row; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +68,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), by start and then kind as listed."""
     out = [(s, e, "email") for s, e in _emails(text)]
-    out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups())]
+    out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(d := x.lstrip("0")) <= 3 and int(d or 0) <= 255 for x in m.groups())]
     for m in _CARD.finditer(text):
         if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append((m.start(), m.end(), "card"))
@@ -184,11 +186,14 @@ def disguised(text: str, plain: list[tuple[int, int, str]]) -> list[tuple[int, i
     tape.rewrite(_spelled(tape.text))
     if tape.text == text:
         return []
-    out = []
+    out, reach = [], np.maximum.accumulate([y for _, y, _ in plain]) if plain else []  # how far base spans up to each one go
+    firsts = [x for x, _, _ in plain]
     for s, e, kind in base(tape.text):
         a, b = tape.starts[s], tape.ends[e - 1]
         gone = b - a != e - s  # characters that were dropped inside
-        if (gone or any(tape.changed[s:e])) and not any(x <= a and b <= y for x, y, _ in plain) and (kind != "email" or _likely(tape.text[s:e])):
+        before = bisect.bisect_right(firsts, a)
+        held = before and reach[before - 1] >= b
+        if (gone or any(tape.changed[s:e])) and not held and (kind != "email" or _likely(tape.text[s:e])):
             out.append((a, b, kind))
     return out
 

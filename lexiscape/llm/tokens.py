@@ -1,7 +1,7 @@
 """Token ids of whole texts, with the tokenizers library behind a bounded cache of words.
 
 The vocabulary's pre-tokenizer never joins what white space parts, and marks at the end of a word
-form a piece of their own. So the ids of a text are those of its words in turn, and a word's ids are
+form a piece of their own, if the word ends in a letter or digit once it is normalised. So the ids of a text are those of its words in turn, and a word's ids are
 computed once and kept. The cache holds at most CACHE_WORDS words and is emptied when full. New words
 of letters go to the library JOINED at a time: each has at least one id that ends a word, so where
 there are as many of those as words, they part the ids; other groups are encoded word by word.
@@ -9,6 +9,9 @@ there are as many of those as words, they part the ids; other groups are encoded
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 from itertools import chain
 
 import numpy as np
@@ -18,6 +21,8 @@ import pyarrow.compute as pc
 CACHE_WORDS, JOINED = 300_000, 256
 #: Text that is encoded at once; a worker's arrays take some 25 times that.
 SLICE_BYTES = 4 << 20
+#: Fixed value: the only way to part text that the cache of words is right for.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: ASCII marks that form one pre-token at the end of a word without an apostrophe.
 MARKS = ".,!?&%$*#;:"
 
@@ -36,12 +41,15 @@ class Encoder:
     """Ids of many texts. vocabulary: path of a word-end BPE file whose pre-tokenizer drops white space and lower-cases."""
 
     def __init__(self, vocabulary: str | None = None, cache_words: int = CACHE_WORDS):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(vocabulary or default_vocabulary())
+        form = json.loads(self.lib.to_str())
+        steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        splits = [(x["type"], x.get("pattern", {}).get("Regex")) for x in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if form["model"].get("end_of_word_suffix") != "</w>" or steps != ["NFC", "Replace", "Lowercase"] or splits != [("Split", SPLIT), ("ByteLevel", None)]:
+            raise ValueError("only a word-end BPE file that lower-cases and splits by SPLIT can be read here")
         self.limit = cache_words
         self.ends = np.zeros(self.lib.get_vocab_size(), bool)
         self.ends[[i for w, i in self.lib.get_vocab().items() if w.endswith("</w>")]] = True
@@ -98,6 +106,10 @@ class Encoder:
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         return self.ids, self.starts[at], self.starts[at + 1] - self.starts[at]
 
+    def _ends_in_letter(self, stem: str) -> bool:
+        """Whether marks after a stem are parted from it: not where its last letter is rewritten to a letter and a mark."""
+        return unicodedata.category(self.lib.normalizer.normalize_str(stem)[-1:] or " ")[0] in "LN"
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and their n + 1 offsets; null counts as empty."""
         if not len(column):
@@ -109,13 +121,15 @@ class Encoder:
         code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_string())
         stems = pc.ascii_rtrim(distinct, characters=MARKS)
         cut = pc.and_(pc.not_equal(pc.binary_length(stems), pc.binary_length(distinct)), pc.match_substring_regex(stems, r"[\p{L}\p{N}]$"))
-        cut = pc.and_(cut, pc.invert(pc.match_substring(distinct, "'")))
-        where = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        cut = pc.and_(cut, pc.invert(pc.match_substring(distinct, "'"))).to_numpy(zero_copy_only=False).copy()
+        odd = np.flatnonzero(cut & ~pc.match_substring_regex(stems, "[0-9A-Za-z]$").to_numpy(zero_copy_only=False))
+        cut[odd] = [self._ends_in_letter(x) for x in _strings(stems.take(pa.array(odd)))]
+        where = np.flatnonzero(cut)
         tails = [w[len(s) :] for w, s in zip(_strings(distinct.take(pa.array(where))), _strings(stems.take(pa.array(where))))]
         tails = pa.array(tails, pa.large_string()).dictionary_encode()
         tail_of = np.full(len(distinct), -1, np.int64)
         tail_of[where] = tails.indices.to_numpy().astype(np.int64) + len(distinct)
-        vocabulary = pa.concat_arrays([pc.if_else(cut, stems, distinct), tails.dictionary.cast(pa.large_string())])
+        vocabulary = pa.concat_arrays([pc.if_else(pa.array(cut), stems, distinct), tails.dictionary.cast(pa.large_string())])
         tail_code = tail_of[code]
         ids, starts, lengths = self._unique(vocabulary)
         pieces = np.empty(2 * len(words), np.int64)

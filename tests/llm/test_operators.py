@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -61,6 +63,27 @@ def test_encoder_is_the_library(lib, docs):
             assert [flat[s:e].tolist() for s, e in zip(off, off[1:])] == [ids(lib, x) for x in part]
 
 
+def test_every_code_point(lib):
+    """Ids of every code point with marks before and behind, alone and in words, are the library's."""
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    points = [c for c in points if unicodedata.category(c) not in ("Cn", "Co")]
+    wide = [c for c in points if not ("\u3400" <= c <= "\ud7ff" or c >= "\U00017000")] + points[::97]
+    texts = [f"{c}! .{c} a{c}?! {c}a. ({c}), {c}{c}; '{c}. {c}1.," for c in wide] + ["b\u00fcy\u00fck \u0130! a\u0130. \u0915\u093c."]
+    enc = tokens.Encoder()
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        flat, off = enc.encode(pa.array(part, pa.string()))
+        want = [e.ids for e in lib.encode_batch_fast(part, add_special_tokens=False)]
+        assert off.tolist() == np.cumsum([0] + [len(x) for x in want]).tolist() and flat.tolist() == [i for x in want for i in x]
+
+
+def test_other_vocabularies_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_cut_batches(lib, docs):
     """A batch that is cut for its size gives what its rows give alone."""
     texts = [r["text"] for r in docs.select("text").collect()]
@@ -269,6 +292,14 @@ def test_disguises(text, found):
     assert added == ([found] if found else [])
 
 
+def test_long_digits_and_many_disguises():
+    assert pii.base("1.2.3." + "0" * 5000 + "1 and 1.2.3." + "9" * 5000) == [(0, 5007, "ip")]
+    many = "joe (at) mail (dot) com and bob@mail.com; " * 20_000
+    start = time.perf_counter()
+    plain, found = pii.spans(many)
+    assert len(plain) == 20_000 and len(found) == 40_000 and time.perf_counter() - start < 20
+
+
 def test_personal_data_table(docs, odd, none):
     for table in (docs, odd):
         want = Counter()
