@@ -10,7 +10,7 @@ nothing). Texts are read once: the first pass writes, per document, the postings
 benchmark items have; rarity and join work on that table.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_SHINGLES shingles; a larger benchmark takes
-several passes and the hits of all passes are united.
+several passes over rows that are numbered and written once, and the hits of all passes are united.
 
 Nulls: null or wordless documents have n_words 0 and no hits; items with null text, no words or null
 id take no part; a null doc_id is carried; repeated ids are judged row by row; equal items count each
@@ -20,14 +20,15 @@ id once. An empty benchmark hits nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscape.llm import text as T
+from lexiscape.llm.simhash import mark
 from lexiscape.session import Scratch
 
 WINDOW, SHINGLE = 13, 5
@@ -100,7 +101,6 @@ def _postings(shared):
         for k, (h, _) in w.by_size.items():
             seen[k] = np.zeros(1 << 22, bool)
             seen[k][h & np.uint64((1 << 22) - 1)] = True
-        row = TaskContext.get().partitionId() << 40
         for b in T.slices(batches):
             raw, off = T.flat(b.column("text"))
             raw = _LOWER[raw]
@@ -124,8 +124,7 @@ def _postings(shared):
             got = np.array(sorted(found), np.int64).reshape(-1, 3)
             cuts = np.searchsorted(got[:, 0], np.arange(b.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(got[:, c].astype(np.int32))) for c in (1, 2)]
-            yield pa.record_batch([pa.array(row + np.arange(b.num_rows)), b.column("doc_id"), pa.array(n_words.astype(np.int64)), *lists], names=["row", "doc_id", "n_words", "pos", "tok"])
-            row += b.num_rows
+            yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("mark"), pa.array(n_words.astype(np.int64)), *lists], names=["row", "doc_id", "mark", "n_words", "pos", "tok"])
 
     return each
 
@@ -204,20 +203,25 @@ def _items(benchmark: DataFrame, window: int, shingle: int, block: int) -> Itera
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """row, doc_id, n_words, spans (flat word bounds of hits), items, per document."""
+    """row, doc_id, mark, n_words, spans (flat word bounds of hits), items, per document."""
     spark = docs.sparkSession
     T.bounded_batches(spark)
     scratch, base, hits = Scratch(spark), None, None
-    for w in _items(benchmark, window, shingle, block):
+    blocks = _items(benchmark, window, shingle, block)
+    blocks = list(islice(blocks, 2)), blocks
+    rows = T.id_text(docs, mark(), F.monotonically_increasing_id().alias("row"))
+    if len(blocks[0]) > 1:  # the passes must agree on the rows' numbers
+        rows = scratch.table(rows)
+    for w in chain(*blocks):
         shared = spark.sparkContext.broadcast(w)
-        found = scratch.table(T.id_text(docs).mapInArrow(_postings(shared), "row long, doc_id long, n_words long, pos array<int>, tok array<int>"))
+        found = scratch.table(rows.mapInArrow(_postings(shared), "row long, doc_id long, mark long, n_words long, pos array<int>, tok array<int>"))
         counts = np.zeros(len(w.words), np.int64)
         for r in found.select(F.explode("tok").alias("tok")).groupBy("tok").count().toLocalIterator():  # a row a shingle of the block
             counts[r["tok"]] = r["count"]
         w.prefix(counts)
         now = found.where(F.size("pos") > 0).select("row", "n_words", "pos", "tok").mapInArrow(_hits(spark.sparkContext.broadcast(w)), "row long, spans array<long>, items array<string>")
         now = now.where(F.size("spans") > 0)
-        base = found.select("row", "doc_id", "n_words") if base is None else base
+        base = found.select("row", "doc_id", "mark", "n_words") if base is None else base
         hits = now if hits is None else hits.unionByName(now)
     hits = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return base.join(hits, "row", "left")
@@ -232,17 +236,18 @@ def _covered(batches):
                 total += max(0, e - max(s, at))
                 at = max(at, e)
             n.append(total)
-        yield pa.record_batch([b.column("doc_id"), b.column("n_words"), pa.array(n, pa.int64()), b.column("items")], names=["doc_id", "n_words", "n_hit", "items"])
+        yield pa.record_batch([b.column("doc_id"), b.column("mark"), b.column("n_words"), pa.array(n, pa.int64()), b.column("items")], names=["doc_id", "mark", "n_words", "n_hit", "items"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, contaminated, per row of docs."""
-    found = judge(docs, benchmark, **how).mapInArrow(_covered, "doc_id long, n_words long, n_hit long, items array<string>")
+    """doc_id, mark (a hash of the text), n_words, n_hit, n_items, items, contaminated, per row of docs."""
+    found = judge(docs, benchmark, **how).mapInArrow(_covered, "doc_id long, mark long, n_words long, n_hit long, items array<string>")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), items.alias("items"), ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return found.select("doc_id", "mark", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), items.alias("items"), ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows that aren't contaminated. Rows that share a doc_id go together if one of them is contaminated."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Rows that aren't contaminated; each row is judged by its own text, whatever rows share its doc_id."""
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    bad = T.sent(Scratch(docs.sparkSession).table(bad))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (mark() == F.col("_mark")), "left_anti")

@@ -8,13 +8,13 @@ marks it, so many texts and all languages are walked at once. Texts are parsed i
 characters, so that a long one has many lanes; every piece of the whole text counts. Every letter of the training
 texts is a symbol: transitions of the DENSE most frequent ones are a table, those of all others are hashed.
 
-Training reads, for each language, at most CHARS characters of the labelled texts of smallest id
-hash, among those whose crc32(doc_id as text) mod 3 is not 1 (documented bound of the sample). The
+Training reads, for each language, at most CHARS characters of at most DOCS labelled texts, those of smallest id
+hash, among those whose crc32(doc_id as text) mod 3 is not 1 (documented bounds of the sample). The
 automata have at most 2 * CHARS states a language. The score is 1 - phrases of the winner / phrases
 of the runner-up (1 with one language), from 0 to 1.
 
 `und`: null text, no letter, or nothing to learn from (score 0). Null lang is never learned. Null
-doc_ids hash as the empty text. Repeated ids keep their rows. Extra columns are ignored.
+doc_ids hash as the empty text. Very long texts are parsed whole, by pieces. Repeated ids keep their rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,6 +103,8 @@ class Model:
             self.firsts.append(at)
             self.roots.append(at + len(t) - 1)
             at += len(t)
+        if at * self.width >= 1 << 31:
+            raise ValueError("too many languages for this many characters each: states are 32-bit numbers")
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         rare = np.concatenate(rare)
         self.rare = T.Lookup(rare[:, 0] << 21 | rare[:, 1], rare[:, 2])
@@ -214,6 +216,14 @@ def identify(docs: DataFrame, **how) -> DataFrame:
 
 
 def known(docs: DataFrame) -> DataFrame:
-    """Rows with a language: `und` goes. Rows that share a doc_id stay if one of them has a language."""
-    good = identify(docs).where(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("_known")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_known"]), "left_semi")
+    """Rows with a language: `und` goes. Each row is judged by its own text, on its way through a task."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(train(docs))
+    T.bounded_batches(spark)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in T.slices(batches):
+            yield b.filter(pa.array(parse(shared.value, b.column("text"))[0] != UNKNOWN))
+
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(each, docs.schema)

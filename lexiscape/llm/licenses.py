@@ -1,22 +1,28 @@
 """Licence notices in paragraphs: a sparse word n-gram logistic regression with a calibrated unknown class.
 
-A paragraph is a line of text. Features are its words and word pairs, hashed to FEATURES columns and
+A paragraph is a line of text, with the lines that go on a notice: those directly behind it that are likeliest of its
+family and share word triples with its templates, without being notices of their own. Features are its words and word pairs, hashed to FEATURES columns and
 scaled to unit length; a multinomial logistic regression tells the families of TEMPLATES from `none`. It
 is trained on the templates (each whole, and with words left out) and, for `none`, on paragraphs of a
-bounded sample of documents (NEGATIVE_DOCS of smallest id hash) that share no word triple with a
-template. A paragraph is a candidate if a family is likelier than `none`; it is `unknown` if its
+bounded sample of documents (of the lines of NEGATIVE_DOCS of smallest id hash, the NEGATIVES of smallest hash) that
+share no word triple with a template. A paragraph is a candidate if a family is likelier than `none`; it is `unknown` if its
 probability lies below the family's calibrated cut (the CUT quantile of left-out variants of its own
 templates) or if the comparison fails: of the words of the best template, or of the paragraph's if it has
-fewer, a share of CONFIRM must be common to both, in order of word triples. Candidates without licence words are
+fewer, a share of CONFIRM must be common to both, in order of word triples. Of families at least CLOSE times as likely
+as the likeliest, the one with the largest share is taken (ties: the likelier),
+with the probability of all of them. Candidates without licence words are
 no notices and are dropped; other candidates stay as `unknown`.
 
 One row a notice: doc_id, paragraph (number from 0), start, end (code points), family, probability,
-template_share. Null and empty texts give none; null doc_ids are carried; repeated rows repeat their notices.
+template_share. Null and empty texts and empty tables give none; null doc_ids are carried; repeated rows repeat their notices; very long
+texts are scanned whole. 
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 from lexiscape.llm import text as T
 
 STEPS = 150
-FEATURES, NEGATIVE_DOCS, NEGATIVES, CUT, CONFIRM = 1 << 14, 400, 1500, 0.05, 0.5
+FEATURES, NEGATIVE_DOCS, NEGATIVES, CUT, CONFIRM, CLOSE = 1 << 14, 400, 1500, 0.05, 0.5, 0.01
 # Short public notices of licence families.
 TEMPLATES = {
     "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
@@ -38,6 +44,13 @@ TEMPLATES = {
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.", "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part may be reproduced without permission."],
 }
 # Words that make an unconfirmed candidate an unknown notice.
@@ -123,8 +136,8 @@ def n_grams(w: list[str], n: int = 3) -> set[tuple[str, ...]]:
 def train(docs: DataFrame, negative_docs: int = NEGATIVE_DOCS, negatives: int = NEGATIVES) -> Model:
     known = set().union(*(n_grams(words(t)) for own in TEMPLATES.values() for t in own))
     rows = T.sample(T.id_text(docs).where("text is not null"), negative_docs, "doc_id").select("text").toLocalIterator()
-    lines = [p for r in rows for p in r["text"].split("\n")[:40] if p.strip() and not (n_grams(words(p)) & known) and not (CUES & set(words(p)))]
-    return Model(lines[:negatives] or ["no licence here"])
+    lines = (p for r in rows for p in r["text"].split("\n") if p.strip() and not (n_grams(words(p)) & known) and not (CUES & set(words(p))))
+    return Model(heapq.nsmallest(negatives, lines, key=lambda p: (zlib.crc32(p.encode()), p)) or ["no licence here"])
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -143,18 +156,27 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
             out = []
             doc_of = np.searchsorted(off, line[:-1], "right") - 1
             first = np.searchsorted(line, off[:-1])
-            ids, data = b.column("doc_id"), None
+            ids, data, last = b.column("doc_id"), None, -1
+            place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
             for i in np.flatnonzero(best > 0).tolist():
                 data = data or raw.tobytes()
                 d = int(doc_of[i])
                 text = data[line[i] : line[i + 1]].decode().rstrip("\n")
                 own = set(words(text))
-                share = m.confirm(int(best[i]), text)
-                sure = share >= CONFIRM and p[i, best[i]] >= m.cut[best[i]]
+                close = np.flatnonzero(p[i, 1:] >= CLOSE * p[i, best[i]]) + 1
+                share, _, c = max((m.confirm(c, text), p[i, c], c) for c in close.tolist())
+                best[i] = c
+                chance = float(p[i, close].sum())
+                sure = share >= CONFIRM and chance >= m.cut[best[i]]
+                start = int(place[line[i]] - place[off[d]])
+                if not sure and share > 0 and last == i - 1 and i > first[d] and out[-1][4] == m.classes[best[i]]:
+                    out[-1] = (*out[-1][:3], start + len(text), *out[-1][4:])
+                    last = i
+                    continue
                 if not sure and not own & CUES:
                     continue
-                start = len(data[off[d] : line[i]].decode())
-                out.append((ids[d].as_py(), i - int(first[d]), start, start + len(text), m.classes[best[i]] if sure else "unknown", float(p[i, best[i]]), share))
+                last = i
+                out.append((ids[d].as_py(), i - int(first[d]), start, start + len(text), m.classes[best[i]] if sure else "unknown", chance, share))
             names = ["doc_id", "paragraph", "start", "end", "family", "probability", "template_share"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
             yield pa.record_batch([pa.array([x[j] for x in out], kinds[j]) for j in range(7)], names=names)

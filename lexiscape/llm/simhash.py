@@ -11,7 +11,8 @@ exceeds the radius are pruned. A group returns a spanning forest of its links, n
 
 Nulls: a null text has no words (fingerprint zero). A null doc_id keeps its row; it never is a
 component's name unless all ids of the component are null, which gives null. Repeated ids keep
-their rows. Extra columns are ignored.
+their rows; keep_one keeps one row of each class, also of equal rows. Very long texts are hashed by CHUNK shingles.
+An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def fingerprint(data: bytes, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, mark (a hash of the text), fp (the 64 bits as a signed long)."""
     T.bounded_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +63,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             raw, off = T.flat(b.column("text"))
             data, off = raw.tobytes(), off.tolist()
             fps = np.fromiter((fingerprint(data[s:e]) for s, e in zip(off, off[1:])), np.uint64, b.num_rows)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id"), b.column("mark"), pa.array(fps.view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    return T.id_text(docs).mapInArrow(each, "doc_id long, fp long")
+    return T.id_text(docs, mark()).mapInArrow(each, "doc_id long, mark long, fp long")
+
+
+def mark() -> F.Column:
+    """What tells rows of one doc_id apart: equal for equal texts only."""
+    return F.xxhash64(F.col("text").cast("string")).alias("mark")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -214,16 +220,17 @@ def links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, group_limit: i
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links)."""
+    """doc_id, mark, fp, component_id (smallest doc_id reachable over links), first_mark (the mark of that row; ties: the smallest)."""
     scratch = Scratch(docs.sparkSession)
     fps = scratch.table(fingerprints(docs))
     comp = connected_components(links(fps, scratch, radius, group_limit), scratch)
     # One row a fingerprint is joined and summed; copies never meet in one task.
-    own = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    own = fps.groupBy("fp").agg(F.min(first).alias("low"))
     own = scratch.table(own.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root")))
-    names = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = scratch.table(own.join(names, "root").select("fp", "component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    names = own.groupBy("root").agg(F.min("low").alias("first"))
+    classes = scratch.table(own.join(names, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.mark").alias("first_mark")))
+    return fps.join(classes, "fp").select("doc_id", "mark", "fp", "component_id", "first_mark")
 
 
 def hex16(fp) -> F.Column:
@@ -231,6 +238,15 @@ def hex16(fp) -> F.Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class: the one with the smallest doc_id (of equal ids, and of classes with null ids only, every row with it stays)."""
-    found = near_duplicates(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_keep"]), "left_semi")
+    """One row of each class: the one with the smallest doc_id (null ids last, then the smallest mark; of equal rows, one)."""
+    scratch = Scratch(docs.sparkSession)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("mark").eqNullSafe(F.col("first_mark"))
+    found = near_duplicates(docs).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.first(stays).alias("_stays"), F.count("*").alias("_rows"))
+    found = scratch.table(found.where(~F.col("_stays") | (F.col("_rows") > 1)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (mark() == F.col("_mark"))
+    out = docs.join(T.sent(found.drop("_stays", "_rows")), same, "left_anti")
+    twice = found.where("_stays").select("_id", "_mark")
+    if twice.isEmpty():
+        return out
+    twice = docs.withColumn("_key", mark()).join(T.sent(twice), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_mark")))
+    return out.unionByName(twice.dropDuplicates(["_id", "_mark"]).drop("_key", "_id", "_mark"))

@@ -21,6 +21,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def sent(rows: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A written table of a few narrow columns, sent to all tasks while it has at most `limit` rows, else joined by a sort."""
+    return F.broadcast(rows) if rows.count() <= limit else rows.hint("merge")
+
+
 def id_text(docs: DataFrame, *more: str, key: str = "doc_id") -> DataFrame:
     """Only the columns that an operator needs, by exact name; others, clashing names included, are left behind."""
     return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"), *more)

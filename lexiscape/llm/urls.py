@@ -14,7 +14,7 @@ labelled URLs of the calibration fold (crc32(host and path) mod 5 = 0), which th
 Rules (host, path): a rule fits its host and all subdomains if the path starts with the rule's; the
 longest wins. A null url or one without `://` has empty host and path: no rule fits, the method judges
 the empty string (score 0). A page's host is taken as written but for A-Z. With URLs of one class only, every other URL gets
-that class; with none, `allow`. Null page_id is carried; equal URLs are judged alike; extra columns are ignored.
+that class; with none, `allow`. Null page_id is carried; equal URLs are judged alike; very long URLs are scored whole; no pages give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from lexiscape.session import Scratch
 #: The query's rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 ORDER, SHARD_ROWS, BINS, SPAN = 5, 1_500_000, 4001, 8.0
+#: URL text that is worked on at once; a longer URL makes a slice of its own.
+SLICE_BYTES = 1 << 20
 #: Bits of a symbol (0: the end; a byte + 1; START: before the text), and where a key's order stands.
 SYMBOL, START, TAG = 9, 300, 54
 
@@ -110,7 +112,7 @@ def _count(order: int):
     """Of a task's URLs: per class, n-gram and how often."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.slices(batches, "s", SLICE_BYTES):
             kind = np.array([x == "allow" for x in b.column("listed").to_pylist()], bool)
             own, off = grams(b.column("s"), order)
             cls = np.repeat(kind, np.diff(off))
@@ -126,7 +128,7 @@ def _scores(shared, order: int):
 
     def each(batches):
         allow, block, part, parts = shared.value
-        for b in batches:
+        for b in T.slices(batches, "s", SLICE_BYTES):
             own, off = grams(b.column("s"), order)
             ratio = np.zeros(own.shape[1])
             here = np.flatnonzero(part_of(own[-1], parts) == part)
@@ -146,6 +148,7 @@ SCORED = "page_id long, host string, path string, rule string, listed string, ro
 def judge(pages: DataFrame, rules=RULES, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, score."""
     spark = pages.sparkSession
+    T.bounded_batches(spark)
     found = parts(pages, rules).withColumn("s", F.concat("host", "path"))
     calibrates = F.crc32("s") % 5 == 0
     taught = found.where(F.col("listed").isNotNull())

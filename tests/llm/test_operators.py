@@ -571,4 +571,9 @@ def test_licences(spark, docs, odd, none):
     real = docs.where(F.col("text").rlike("Released under the MIT License|GNU General Public License|Apache License|CC BY-NC|All rights reserved")).select("doc_id").distinct().count()
     assert licenses.scan(docs, model).where("family <> 'unknown'").select("doc_id").distinct().count() == real
     licenses.scan(odd, model).collect()
-    assert licenses.scan(none).count() == 0
+    assert licenses.scan(none).count() == 0 and licenses.scan(none, model).count() == 0
+    more = ["This library is free software; you can redistribute it and/or modify it under the", "terms of the GNU Lesser General Public License as published by the Free Software", "Foundation; either version 2.1 of the License, or any later version.", "SPDX-License-Identifier: CC0-1.0", "\u00e9t\u00e9 a\u00efe", "Licensed under the Apache License, Version 2.0."]
+    text = "\n".join(more)
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).orderBy("start").collect()
+    assert [r["family"] for r in got][-2:] == ["cc0", "apache"] and {r["family"] for r in got[:-2]} == {"lgpl"}
+    assert got[0]["start"] == 0 and got[-3]["end"] == len("\n".join(more[:3])) and text[got[-1]["start"] : got[-1]["end"]] == more[-1]
