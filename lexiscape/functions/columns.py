@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    """To unit length; the norm is bound once, not worked out for every element."""
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
@@ -31,8 +34,18 @@ def clip(x: Column, lo: float, hi: float) -> Column:
 # --- text -------------------------------------------------------------------------------------
 
 
+def nfkc(w: Column) -> Column:
+    """Compatibility composition, which no built-in function has; ASCII is left as it is."""
+
+    @F.pandas_udf("string")
+    def composed(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+    return composed(w)
+
+
 def keyword_compact(w: Column) -> Column:
-    """Trimmed, lower-cased, without ASCII and ideographic spaces; NFKC is applied by the source."""
+    """Trimmed, lower-cased, without ASCII and ideographic spaces; nfkc comes before."""
     return F.translate(F.lower(F.trim(w)), " 　", "")
 
 
@@ -101,6 +114,21 @@ def linear_rgb(light: Column, a: Column, b: Column) -> list[Column]:
     return [sum((k * x for k, x in zip(row, lms)), F.lit(0.0)) for row in _RGB]
 
 
+def from_srgb(r: Column, g: Column, b: Column) -> list[Column]:
+    """light, a, b of OKLab for sRGB channels from 0 to 1: the inverse of the matrices above, by Cramer's rule on the driver."""
+    flat = [F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4))) for c in (r, g, b)]
+    lms = [F.signum(x) * F.pow(F.abs(x), F.lit(1 / 3)) for x in (sum((k * c for k, c in zip(row, flat)), F.lit(0.0)) for row in _inverse(_RGB))]
+    mixed = _inverse(tuple((1.0, *row) for row in _LMS))
+    return [sum((k * x for k, x in zip(row, lms)), F.lit(0.0)).alias(n) for row, n in zip(mixed, ("light", "a", "b"))]
+
+
+def _inverse(m: tuple) -> list[list[float]]:
+    minor = lambda i, j: [[m[p][q] for q in range(3) if q != j] for p in range(3) if p != i]
+    cofactor = lambda i, j: (-1) ** (i + j) * (minor(i, j)[0][0] * minor(i, j)[1][1] - minor(i, j)[0][1] * minor(i, j)[1][0])
+    det = sum(m[0][j] * cofactor(0, j) for j in range(3))
+    return [[cofactor(j, i) / det for j in range(3)] for i in range(3)]
+
+
 def srgb(linear: Column) -> Column:
     return F.when(linear <= 0.0031308, 12.92 * linear).otherwise(1.055 * F.pow(F.greatest(linear, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
 

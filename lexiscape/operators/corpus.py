@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +31,20 @@ def build(awards: DataFrame) -> DataFrame:
     return rows.select(*carried, text(F.col("title"), F.col("keywords"), F.coalesce("abstract_initial", "abstract_achievement")).alias("text"))
 
 
+def token_counter(tokenizer) -> Callable[[Column], Column]:
+    """A column function that counts a tokenizer's ids; tokenizer: a function without arguments that gives, in a task, one from texts to lists of ids."""
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = tokenizer()
+        for b in batches:
+            yield pd.Series([len(x) for x in ids(b.fillna("").tolist())], dtype="int32")
+
+    return count
+
+
 def token_count(column: Column) -> Column:
-    """Words between white space; a tokenizer can be plugged in instead."""
+    """Words between white space; token_counter counts with a tokenizer instead."""
     return F.when(F.trim(column) == "", 0).otherwise(F.size(F.split(F.trim(column), r"\s+")))
 
 

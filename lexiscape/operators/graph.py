@@ -36,3 +36,11 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def component_sizes(edges: DataFrame, nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """component, n of the undirected graph on some nodes (id) only, isolated ones included."""
+    kept = edges.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
+    comp = connected_components(kept.select("a", "b"), scratch)
+    own = nodes.select(F.col("id").alias("node")).distinct().join(comp, "node", "left")
+    return own.groupBy(F.coalesce("component", "node").alias("component")).agg(F.count("*").alias("n"))

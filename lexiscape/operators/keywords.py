@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiscape.functions.columns import similar
+from lexiscape.functions.columns import nfkc, similar
 
 
-def exploded(rows: DataFrame, key: str, words: str, normal=F.trim, stop: list[str] = ()) -> DataFrame:
-    """(id, w): each document's different keywords."""
-    out = rows.select(F.col(key).alias("id"), F.explode(F.transform(words, normal)).alias("w")).where("w <> ''")
+def exploded(rows: DataFrame, key: str, words: str, normal=F.trim, stop: list[str] = (), compose: bool = False) -> DataFrame:
+    """(id, w): each document's different keywords, normalised (by compatibility composition first, if asked)."""
+    out = rows.select(F.col(key).alias("id"), F.explode(words).alias("w"))
+    out = out.withColumn("w", normal(nfkc(F.col("w")) if compose else F.col("w"))).where("w <> ''")
     return (out.where(~F.col("w").isin(list(stop))) if stop else out).dropDuplicates(["id", "w"])
 
 
@@ -72,3 +73,51 @@ def weighted_sample(rows: DataFrame, group: str, weight: str, u: Column, k: int,
 def names_or_words(places: DataFrame, names: DataFrame) -> DataFrame:
     """region, label: a given name, or else the first two feature words."""
     return places.join(names, "region", "left").select("region", F.coalesce("name", F.array_join(F.slice("words", 1, 2), " / ")).alias("label"))
+
+
+def sector_words(words: DataFrame, sectors: DataFrame, least: int = 30, smooth: float = 30.0, k: int = 4) -> DataFrame:
+    """sector, w, n_in, n_all, score, rank: words of at least `least` rows of a sector by their share there. sectors: id, sector."""
+    n_all = words.groupBy("w").agg(F.count("*").alias("n_all"))
+    own = words.join(sectors, "id").groupBy("sector", "w").agg(F.count("*").alias("n_in")).where(F.col("n_in") >= least).join(n_all, "w")
+    return top(own.withColumn("score", F.col("n_in") / (F.col("n_all") + smooth)), "sector", k)
+
+
+def selection_words(words: DataFrame, selected: DataFrame, k: int = 15) -> DataFrame:
+    """w, n, rank: the most common keywords of selected rows (id); only the best k meet in one task."""
+    n = words.join(selected.select("id"), "id", "left_semi").groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(k)
+    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "w")))
+
+
+def namer_prompt(words: list[str], titles: list[str], taken: list[str] = ()) -> str:
+    """What a namer is asked: a short name of a region, from its words and titles, unlike the names that are taken."""
+    lines = ["Give a short place name (4 to 12 characters, a noun) to a region of a map of research.", "Words: " + ", ".join(words), "Titles:", *(f"- {t}" for t in titles)]
+    return "\n".join([*lines, "Not one of: " + ", ".join(taken)] if taken else lines)
+
+
+def named(rows: DataFrame, ask, tries: int = 3) -> DataFrame:
+    """region, name, attempts for rows (region, prompt): ask(prompt) proposes, records.name_ok's rule decides, complaints go into the next try; null after the last.
+
+    Asked in the tasks, a row at a time; names that are there already are left out by the caller, so that only failures are asked again.
+    """
+    import re
+
+    from lexiscape.operators.records import NAME_CHARACTERS, NAME_LENGTH
+
+    def each(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for region, prompt in zip(b["region"], b["prompt"]):
+                name, asked = None, prompt
+                for i in range(tries):
+                    got = ask(asked) or ""
+                    bad = [m for ok, m in ((re.search(NAME_CHARACTERS, got), "it has characters that are not allowed"), (NAME_LENGTH[0] <= len(got) <= NAME_LENGTH[1], "it must have 4 to 12 characters")) if not ok]
+                    if not bad:
+                        name = got
+                        break
+                    asked = f"{prompt}\nThe last answer {got!r} will not do: {'; '.join(bad)}."
+                out.append((region, name, i + 1))
+            yield pd.DataFrame(out, columns=["region", "name", "attempts"])
+
+    return rows.select("region", "prompt").mapInPandas(each, "region int, name string, attempts int")

@@ -13,14 +13,15 @@ from lexiscape.functions.columns import dot, unit
 from lexiscape.session import Scratch
 
 #: Bytes of the matrix that may be sent to every task; beyond it, queries and candidates meet in blocks.
-SENT_BYTES, BLOCK = 256 << 20, 4096
+SENT_BYTES, BLOCK_BYTES, BLOCK = 256 << 20, 32 << 20, 65_536
 EDGES = "src long, dst long, sim double"
 
 
 def _top(q_ids, q, ids, x, k: int) -> Iterator[pa.RecordBatch]:
     """k best of a block for each query; similarity is rounded to 12 places, so that the last bit orders nothing."""
-    for at in range(0, len(q_ids), 512):
-        sim = np.round(q[at : at + 512] @ x.T, 12)
+    step = max(1, min(512, (4 << 20) // max(1, len(ids))))
+    for at in range(0, len(q_ids), step):
+        sim = np.round(q[at : at + step] @ x.T, 12)
         src, dst, val = [], [], []
         for i, row in enumerate(sim):
             own = ids == q_ids[at + i]
@@ -44,8 +45,9 @@ def _matrix(col: pa.Array) -> np.ndarray:
 def exact(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest others of every row. Equal vectors stay neighbours at distance 0; ties go to the smaller id.
 
-    A matrix of up to SENT_BYTES is sent to all tasks. A larger one is cut into blocks that meet in
-    pairs, each pair a task's group, and only k rows a query leave a pair.
+    A matrix of up to SENT_BYTES is sent to all tasks. A larger one is cut into blocks of BLOCK_BYTES (and BLOCK rows at most) that
+    meet in pairs, each pair a task's group (a row is copied once a block, so large blocks move little), and
+    only k rows a query leave a pair.
     """
     spark = rows.sparkSession
     x = rows.select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("v")).where("v is not null")
@@ -64,7 +66,7 @@ def exact(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding
         found = x.repartition(spark.sparkContext.defaultParallelism).mapInArrow(each, EDGES)
         order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     else:
-        blocks = max(1, -(-n // BLOCK))
+        blocks = max(1, -(-n // max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))))
         own = x.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         every = F.sequence(F.lit(0), F.lit(blocks - 1))
         q, c = own.select("id", "v", F.col("b").alias("qb"), F.explode(every).alias("cb")), own.select("id", "v", F.explode(every).alias("qb"), F.col("b").alias("cb"))
@@ -92,7 +94,7 @@ def gathered(edges: DataFrame, attributes: DataFrame, key: str = "id") -> DataFr
 
 def clustering(edges: DataFrame, k: int = 15) -> DataFrame:
     """1 - hits / (k (k - 1)): hits are neighbours of a neighbour that are neighbours too."""
-    e = edges.where(F.col("rank") <= k).select("src", "dst")
+    e = materialised(edges.where(F.col("rank") <= k).select("src", "dst"))  # three uses
     two = e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
     hits = two.join(e, ["src", "dst"], "inner").groupBy("src").agg(F.count("*").alias("hits"))
     return e.select("src").distinct().join(hits, "src", "left").select(F.col("src").alias("id"), (1 - F.coalesce("hits", F.lit(0)) / F.lit(float(k * (k - 1)))).alias("bridge_cc"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiscape.session import Scratch
+
 RING, ROUNDS = 198, 60
 
 
@@ -86,21 +88,34 @@ def kernel_width(rows: DataFrame, node: np.ndarray, target: float = 0.6, steps:
 
 
 def sinkhorn(cost: np.ndarray, lam: float, eps: float, rounds: int = 1000, stop: float = 1e-6) -> tuple[np.ndarray, bool]:
-    """Unbalanced transport between uniform masses: the mass that each row keeps, and whether it settled."""
+    """Unbalanced transport between uniform masses: the mass that each row sends (1: all of it), and whether it settled.
+
+    Scalings are kept as potentials plus a small factor: where a factor grows beyond LARGE it goes into the potentials
+    and the kernel is made anew, so that small eps neither underflows nor overflows.
+    """
     n, m = cost.shape
-    a, b, k, power = np.full(n, 1 / n), np.full(m, 1 / m), np.exp(-cost / eps) / (n * m), lam / (lam + eps)
-    u, v = np.ones(n), np.ones(m)
+    power = lam / (lam + eps)
+    f, g, u, v = np.zeros(n), np.zeros(m), np.ones(n), np.ones(m)
+    k = np.exp(-cost / eps) / (n * m)
     for _ in range(rounds):
-        old = u
-        u = (a / np.maximum(k @ v, 1e-300)) ** power
-        v = (b / np.maximum(k.T @ u, 1e-300)) ** power
-        if np.abs(u - old).max() / max(np.abs(u).max(), np.abs(old).max(), 1.0) < stop:
+        before = f + eps * np.log(u)
+        u = (1 / n / np.maximum(k @ v, 1e-300)) ** power * np.exp(-f / (lam + eps))
+        v = (1 / m / np.maximum(k.T @ u, 1e-300)) ** power * np.exp(-g / (lam + eps))
+        now = f + eps * np.log(u)
+        if max(u.max(), v.max(), 1 / u.min(), 1 / v.min()) > LARGE:
+            f, g = now, g + eps * np.log(v)
+            k, u, v = np.exp((f[:, None] + g - cost) / eps) / (n * m), np.ones(n), np.ones(m)
+        if np.abs(now - before).max() / max(1.0, np.abs(now).max()) < stop * eps:
             return u * (k @ v) * n, True
     return u * (k @ v) * n, False
 
 
+#: A scaling factor that goes into the potentials.
+LARGE = 1e6
+
+
 def surplus(rows: DataFrame, key: str, vector: str, year: str, least_past: int = 20_000, standards: int = 10_000, chunk: int = 10_000, draws: int = 3, grid=((0.05, 0.1, 0.2, 0.4), (0.02, 0.05, 0.1)), components: int = 50) -> DataFrame:
-    """id, uot_surplus: mass of a year's rows that standards drawn from earlier years don't take, mean over draws; null before there is a past.
+    """id, uot_surplus: mass of a year's rows that standards drawn from earlier years don't take, from 0 to 1 in each draw, mean over draws; null before there is a past.
 
     Vectors are centred, projected to `components` principal axes and renormalised. The penalty and the
     smoothing are those whose converged runs give the most even histogram of surplus on a sample.
@@ -117,7 +132,7 @@ def surplus(rows: DataFrame, key: str, vector: str, year: str, least_past: int =
         x = x - np.array(mu)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    p = p.withColumn("_h", F.xxhash64("id")).cache()
+    p = Scratch(rows.sparkSession).table(p.withColumn("_h", F.xxhash64("id")))
     sample = unit(matrix(p, "p", 2000))
     scale = float(np.maximum(0, 1 - sample @ sample.T).mean()) or 1.0
     half = len(sample) // 2
@@ -146,8 +161,8 @@ def surplus(rows: DataFrame, key: str, vector: str, year: str, least_past: int =
 
             def each(pdf: pd.DataFrame) -> pd.DataFrame:
                 x = unit(np.array(pdf.p.tolist(), float))
-                kept = np.mean([sinkhorn(cost(x, s), *pick)[0] for s in shared.value], axis=0)
-                return pd.DataFrame({"id": pdf.id, "uot_surplus": 1 - kept})
+                left = np.mean([np.clip(1 - sinkhorn(cost(x, s), *pick)[0], 0, 1) for s in shared.value], axis=0)
+                return pd.DataFrame({"id": pdf.id, "uot_surplus": left})
 
             n = max(1, -(-own.count() // chunk))
             part = own.withColumn("c", F.pmod("_h", F.lit(n))).groupBy("c").applyInPandas(each, "id long, uot_surplus double")
@@ -163,7 +178,8 @@ def pair_accuracy(rows: DataFrame, label: str, vector: str, pairs: list[tuple],
 
     spark = rows.sparkSession
     vec = rows.select(F.col(key).alias("id"), F.col(label).alias("lab"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    vec = PCA(k=components, inputCol="v", outputCol="features").fit(vec).transform(vec).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds))).cache()
+    vec = PCA(k=components, inputCol="v", outputCol="features").fit(vec).transform(vec).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
+    vec = Scratch(spark).table(vec.drop("v"))
     out = []
     for a, b in pairs:
         own = vec.where(F.col("lab").isin(a, b)).withColumn("label", (F.col("lab") == b).cast("double"))

@@ -23,9 +23,15 @@ summary array<struct<
 """
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records under a folder; source_file is each one's file."""
-    raw = spark.read.format("xml").option("rowTag", "grantAward").option("recursiveFileLookup", "true").schema(RECORD).load(path)
+def read(spark: SparkSession, path: str, limit_files: int | None = None) -> DataFrame:
+    """All records under a folder, or those of its first files by name; source_file is each one's file."""
+    paths = path
+    if limit_files is not None:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")  # names only: contents are pruned
+        paths = [r["path"] for r in names.orderBy("path").limit(limit_files).collect()]
+        if not paths:
+            return awards(spark.createDataFrame([], " ".join(RECORD.split())))
+    raw = spark.read.format("xml").option("rowTag", "grantAward").option("recursiveFileLookup", "true").schema(RECORD).load(paths)
     return awards(raw.withColumn("source_file", F.col("_metadata.file_path")))
 
 
@@ -53,7 +59,7 @@ def awards(raw: DataFrame) -> DataFrame:
     if "source_file" not in raw.columns:
         rows = rows.withColumn("source_file", F.lit(None).cast("string"))
     number = lambda x: F.nullif(x, F.lit("")).cast("int")
-    old = F.filter(s["awardNumber"], lambda a: a["_sequence"] != "1")
+    old = F.filter(s["awardNumber"], lambda a: ~a["_sequence"].eqNullSafe("1") & (F.coalesce(a["_awardNumber"], F.lit("")) != ""))
     raw_start = number(s["periodOfAward"]["_searchStartFiscalYear"])
     joined = F.transform(old, lambda a: F.nullif(F.regexp_extract(a["_participate"], r"\d{4}", 0), F.lit("")).cast("int"))
     none = F.array().cast("array<string>")
@@ -61,7 +67,8 @@ def awards(raw: DataFrame) -> DataFrame:
     codes = F.filter(F.transform(sections, lambda x: F.regexp_extract(x, r"^小区分(\d{5}):", 1)), lambda x: x != "")
     category = s["category"]
     return rows.select(
-        F.col("_awardNumber").alias("award_number"), F.col("_id").alias("kaken_id"), F.col("_projectType").alias("project_type"),
+        F.col("_awardNumber").alias("award_number"), F.col("_id").alias("kaken_id"),  # fixed value: the record format's name
+        F.col("_projectType").alias("project_type"),
         F.coalesce(_text(s["title"]), _first(F.filter(F.transform("summary", lambda x: _text(x["title"])), lambda x: x.isNotNull()))).alias("title"),
         F.trim(category["_VALUE"]).alias("category"), category["_niiCode"].alias("category_code"), sections.alias("review_sections"), codes.alias("shokubun_codes"),
         _text(_first(s["institution"])["_VALUE"]).alias("institution"), _first(F.filter(s["member"], lambda m: m["_role"] == "principal_investigator"))["_eradCode"].alias("pi_erad"),
@@ -71,11 +78,16 @@ def awards(raw: DataFrame) -> DataFrame:
         F.nullif(F.substring_index("parentAward._id", "-", -1), F.lit("")).alias("parent_award"),
         F.coalesce(_titled(F.col("parentAward.title"), "ja", "_VALUE"), _first(F.filter("parentAward.title", lambda t: _text(t["_VALUE"]).isNotNull()))["_VALUE"]).alias("parent_title"),
         _text(_first(F.filter("summary", lambda x: x["_xml:lang"] == "en"))["title"]).alias("title_en"),
-        F.coalesce(F.filter(F.transform(s["keywordList"]["keyword"], F.trim), lambda x: x != ""), none).alias("keywords"),
+        F.coalesce(F.filter(F.transform(s["keywordList"]["keyword"], lambda x: F.trim(x)), lambda x: x != ""), none).alias("keywords"),
         _paragraphs(s, "outline_of_research_initial").alias("abstract_initial"), _paragraphs(s, "outline_of_research_achievement").alias("abstract_achievement"), F.col("source_file"),
     )
 
 
+def by_status(rows: DataFrame) -> DataFrame:
+    """status_code, n: the most common first."""
+    return rows.groupBy("status_code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status_code")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """Counts of the parsed table."""
     return rows.agg(F.count("*").alias("n"), F.count("abstract_initial").alias("with_abstract"), F.count_if(F.size("shokubun_codes") > 0).alias("with_codes"), F.count_if(F.col("start_fy") < F.col("period_start_fy_raw")).alias("corrected"), F.count("parent_award").alias("with_parent"), F.count("title_en").alias("with_english"))

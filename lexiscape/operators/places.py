@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiscape.functions.columns import dot, rgb255
+from lexiscape.operators.layout import uniform
+from lexiscape.functions.columns import clamped_chroma, clip, dot, rgb255
 
 
 def region_places(points: DataFrame, regions: DataFrame, peaks: DataFrame, box: tuple[float, float, float, float], nx: int, ny: int, least: int = 150) -> DataFrame:
@@ -83,6 +84,64 @@ def warp(hue: Column, anchors: list[tuple[float, float]]) -> Column:
     return out
 
 
+def mixing_beta(rows: DataFrame, vector: str, cents: list[list[float]], target: float = 0.6, rounds: int = 4, grid: int = 16) -> float:
+    """The beta whose mean largest softmax weight is `target`: an interval is cut in `grid` parts a pass, all of them in one aggregate."""
+    sims = rows.select(F.array(*(dot(F.col(vector), F.array(*map(F.lit, c))) for c in cents)).alias("s"))
+    lo, hi = 0.0, 1000.0
+    for _ in range(rounds):
+        betas = [lo + (hi - lo) * i / grid for i in range(grid + 1)]
+        top = lambda b: F.avg(1 / F.aggregate("s", F.lit(0.0), lambda t, x: t + F.exp(b * (x - F.array_max("s")))))
+        got = sims.agg(*(top(b).alias(f"b{i}") for i, b in enumerate(betas))).first()
+        at = max((i for i in range(grid) if (got[f"b{i}"] or 0.0) <= target), default=0)
+        lo, hi = betas[at], betas[at + 1]
+    return (lo + hi) / 2
+
+
+def coordinate_colours(rows: DataFrame, key: str, light: float = 0.63, spread: float = 0.11, chroma: float = 0.13) -> DataFrame:
+    """id, r, g, b of 3-D coordinates c0, c1, c2: turned to principal axes, each scaled from its 2nd to 98th percentile to -1..1;
+    the two widest make the chroma, the third the lightness, and chroma is pressed into the gamut."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    t = rows.select(F.col(key).alias("id"), array_to_vector(F.array(*(F.col(f"c{i}").cast("double") for i in range(3)))).alias("v"))
+    t = PCA(k=3, inputCol="v", outputCol="p").fit(t).transform(t).select("id", vector_to_array("p").alias("p")).select("id", *(F.col("p")[i].alias(f"p{i}") for i in range(3)))
+    ends = t.agg(*(F.percentile_approx(f"p{i}", F.array(F.lit(0.02), F.lit(0.98)), 100_000).alias(f"p{i}") for i in range(3))).first()
+    part = [clip((F.col(f"p{i}") - (ends[f"p{i}"][0] + ends[f"p{i}"][1]) / 2) / (((ends[f"p{i}"][1] - ends[f"p{i}"][0]) / 2) or 1.0), -1.0, 1.0) for i in range(3)]
+    t = t.select("id", (light + spread * part[2]).alias("l"), F.hypot(part[0] * chroma, part[1] * chroma).alias("c"), F.atan2(part[1], part[0]).alias("h"))
+    t = t.withColumn("c", clamped_chroma(F.col("l"), F.col("c"), F.col("h")))
+    return t.select("id", *(x.alias(n) for x, n in zip(rgb255(F.col("l"), F.col("c") * F.cos("h"), F.col("c") * F.sin("h")), "rgb")))
+
+
+def hue_sector(hue: Column, sectors: int = 12) -> Column:
+    return F.pmod(F.floor(F.pmod(hue, F.lit(360.0)) / (360 / sectors)), F.lit(sectors)).cast("int")
+
+
+def legend(points: DataFrame, label: str, light: float = 0.72) -> DataFrame:
+    """label, n, a, b, chroma, r, g, b_: the mean colour of each label's points (hue_deg, chroma) at one lightness."""
+    h = F.radians("hue_deg")
+    mean = points.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.avg(F.col("chroma") * F.cos(h)).alias("ma"), F.avg(F.col("chroma") * F.sin(h)).alias("mb"))
+    c, t = F.hypot("ma", "mb"), F.atan2("mb", "ma")
+    fit = mean.withColumn("chroma", c).withColumn("fit", clamped_chroma(F.lit(light), c, t)).withColumn("t", t)
+    rgb = rgb255(F.lit(light), F.col("fit") * F.cos("t"), F.col("fit") * F.sin("t"))
+    return fit.select(label, "n", "ma", "mb", "chroma", *(x.alias(n) for x, n in zip(rgb, ("r", "g", "b"))))
+
+
+def swatches(labels: DataFrame, legend_rows: DataFrame, label: str, plain: list[str]) -> DataFrame:
+    """label, r, g, b: a label's own swatch, replaced by its members' mean; labels in `plain` stay as they are."""
+    mean = legend_rows.select(label, *(F.col(c).alias(f"m_{c}") for c in "rgb"))
+    keep = F.col(label).cast("string").isin(plain) if plain else F.lit(False)
+    return labels.join(mean, label, "left").select(label, *(F.when(keep | F.col(f"m_{c}").isNull(), F.col(c)).otherwise(F.col(f"m_{c}")).alias(c) for c in "rgb"))
+
+
+def window_centre(points: DataFrame, label: str, node: str, start: dict, nodes: int) -> DataFrame:
+    """label, centre: the median of ring nodes within a quarter turn of a label's first guess, counted from it (the guess where none are)."""
+    first = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, v in start.items() for x in (k, float(v)))), F.col(label)), F.lit(0.0))
+    off = F.pmod(F.col(node) - first + nodes / 2, F.lit(float(nodes))) - nodes / 2
+    t = points.where(F.col(label).isin(list(start))).select(label, first.alias("first"), off.alias("off"))
+    near = F.percentile(F.when(F.abs("off") < nodes / 4, F.col("off")), 0.5)
+    return t.groupBy(label).agg((F.first("first") + F.coalesce(near, F.lit(0.0))).alias("centre"))
+
+
 def tiled(points: DataFrame, size: float) -> DataFrame:
     """A periodic square repeated 3 x 3: u, v and the tile."""
     steps = F.array(*(F.struct(F.lit(i).alias("du"), F.lit(j).alias("dv")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
@@ -90,7 +149,7 @@ def tiled(points: DataFrame, size: float) -> DataFrame:
 
 
 def interleaved(rows: DataFrame, key: str, label: str, labels: list[str], parts: int = 16) -> DataFrame:
-    """Adds part (hash of the key) and order: labels rotate from part to part, so that none always lies on top."""
+    """Adds part (by a number of the integer key) and order: labels rotate from part to part, so that none always lies on top."""
     place = F.array_position(F.array(*map(F.lit, labels)), F.col(label).cast("string")) - 1
-    t = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    t = rows.withColumn("part", F.floor(uniform(F.col(key), 0) * parts).cast("int"))
     return t.withColumn("order", F.col("part") * len(labels) + F.pmod(place + F.col("part"), F.lit(len(labels))))

@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiscape.session import Scratch
 
-def places(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Adds the average rank of value, from 1, and n, the number of rows.
 
-    Rows are dealt by ranges of value, where equal values stay together; places within a range are
-    added to the rows of the ranges before (a row a range).
+#: Distinct values whose ranks may be sent to all tasks.
+SENT_VALUES = 1_000_000
+
+
+def rank_table(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """_v, rank, n of each distinct value: its average rank, from 1, and the number of rows.
+
+    Values are counted first, with partial sums, so that a value of most rows is one row; distinct values
+    are dealt by ranges, and the counts of the ranges before (a row a range) are added. Ranks go back to
+    the rows by value: sent while there are at most SENT_VALUES of them, else joined.
     """
-    t = rows.repartitionByRange(F.col(value)).withColumn("_p", F.spark_partition_id())
-    order, ties = Window.partitionBy("_p").orderBy(value), Window.partitionBy("_p", value)
-    t = t.withColumn("_r", F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0))
+    t = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c")).repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
+    upto = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    t = Scratch(rows.sparkSession).table(t.withColumn("_b", F.coalesce(F.sum("_c").over(upto), F.lit(0))))
     every = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    size = t.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = size.select("_p", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_b"), F.sum("_n").over(Window.partitionBy()).alias("n"))
-    return t.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
+    size = t.groupBy("_p").agg(F.sum("_c").alias("_n"))
+    before = size.select("_p", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_a"), F.sum("_n").over(Window.partitionBy()).alias("n"))
+    found = t.join(F.broadcast(before), "_p").select("_v", (F.col("_a") + F.col("_b") + (F.col("_c") + 1) / F.lit(2.0)).alias(name), "n")
+    found = F.broadcast(found) if t.count() <= SENT_VALUES else found
+    return found
+
+
+def places(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """Adds the average rank of value, from 1, and n, the number of rows."""
+    return rows.join(rank_table(rows, value, name), F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def quantiles(rows: DataFrame, value: str) -> DataFrame:

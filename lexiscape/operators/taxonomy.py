@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEVERAL, NONE = "複数", "区分なし"
@@ -38,3 +38,28 @@ TAXONOMY = "large array<struct<_code:string, medium:array<struct<_code:string, n
 def memberships(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, n_memberships, memberships."""
     return rows.groupBy(key).agg(F.count("*").alias("n_memberships"), F.array_sort(F.collect_list(F.struct(*fields))).alias("memberships"))
+
+
+# The revised broad divisions. Old letter to new where the middle division doesn't matter, and words that decide.
+REVISED = {"A": "A", "E": "G", "F": "H", "G": "I", "H": "J", "I": "K", "J": "L", "K": "M"}
+REVISED_BY_WORD = {"B": ((("素粒子", "天文"), "C"), ((), "B")), "C": ((("電気電子",), "E"), ((), "D")), "D": ((("材料工学",), "E"), (("原子力",), "D"), ((), "F"))}
+
+
+def revised(old: Column, middle: Column) -> Column:
+    """The new broad division of an old one and a middle division's name; `?` for others."""
+    out = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in REVISED.items() for x in kv)), old), F.lit("?"))
+    for letter, rules in REVISED_BY_WORD.items():
+        found = F.lit(rules[-1][1])
+        for words, new in reversed(rules[:-1]):
+            has = F.lit(False)
+            for w in words:
+                has = has | F.contains(F.coalesce(middle, F.lit("")), F.lit(w))
+            found = F.when(has, new).otherwise(found)
+        out = F.when(old == letter, found).otherwise(out)
+    return out
+
+
+def write_tidy(table: DataFrame, path: str, key: str, fields: list[str]) -> None:
+    """A CSV of one row a code, and JSON lines of a code with its memberships."""
+    table.orderBy(key).coalesce(1).write.mode("overwrite").csv(f"{path}/csv", header=True)  # a taxonomy: a row a code
+    memberships(table, key, fields).orderBy(key).coalesce(1).write.mode("overwrite").json(f"{path}/json")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiscape.operators.layout import uniform
+
 
 def cell(x: Column, lo: float, hi: float, n: int) -> Column:
     """Bin of x; the last bin holds its right edge."""
@@ -63,10 +65,10 @@ def shares(points: DataFrame, group: str, field: DataFrame) -> DataFrame:
 
 
 def half_split_noise(points: DataFrame, key: str, field, splits: int = 4) -> DataFrame:
-    """ix, iy, sd = sqrt(mean((a - b)^2) / 4) over `splits` halvings by hash. field: points -> ix, iy, v (shares)."""
+    """ix, iy, sd = sqrt(mean((a - b)^2) / 4) over `splits` halvings by a number of the (integer) key. field: points -> ix, iy, v (shares)."""
     out = None
     for i in range(splits):
-        half = F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(2)) == 0
+        half = uniform(F.col(key), i) < 0.5
         a, b = field(points.where(half)).withColumnRenamed("v", "a"), field(points.where(~half)).withColumnRenamed("v", "b")
         d = a.join(b, ["ix", "iy"], "full").select("ix", "iy", F.pow(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)), F.lit(2)).alias("d"))
         out = d if out is None else out.unionByName(d)
@@ -93,7 +95,7 @@ def anomaly(fields: DataFrame, year: str = "year") -> DataFrame:
     """year, ix, iy, diff: share minus its mean over years (absent cells count as zero)."""
     years = fields.select(year).distinct().count()
     mean = fields.groupBy("ix", "iy").agg((F.sum("v") / years).alias("m"))
-    grid = mean.join(fields.select(year).distinct())  # a row a year and occupied cell
+    grid = mean.withColumn(year, F.explode(F.array(*(F.lit(r[year]) for r in fields.select(year).distinct().collect()))))  # a row a year
     return grid.join(fields, [year, "ix", "iy"], "left").select(year, "ix", "iy", (F.coalesce("v", F.lit(0.0)) - F.col("m")).alias("diff"))
 
 
@@ -103,6 +105,39 @@ def change(fields: DataFrame, early: tuple[int, int], late: tuple[int, int], yea
     return fields.groupBy("ix", "iy").agg((mean(late) - mean(early)).alias("diff"))
 
 
+def blended(fields: DataFrame, hold: int = 5, blend: int = 12, year: str = "year") -> DataFrame:
+    """frame, year, next, ix, iy, v: each year stands for `hold` frames, then goes over to the next one in `blend` even steps."""
+    years = sorted(r[year] for r in fields.select(year).distinct().collect())  # a row a year
+    frames, at = [], 0
+    for i, y in enumerate(years):
+        frames += [(at + j, y, None, 0.0) for j in range(hold)]
+        at += hold
+        if i + 1 < len(years):
+            frames += [(at + j, y, years[i + 1], (j + 1) / (blend + 1)) for j in range(blend)]
+            at += blend
+    kind = fields.schema[year].dataType.simpleString()
+    plan = F.broadcast(fields.sparkSession.createDataFrame(frames, f"frame int, year {kind}, next {kind}, t double"))
+    own = fields.select(F.col(year).alias("y"), "ix", "iy", "v")
+    one = own.join(plan, F.col("y") == F.col("year")).select("frame", "year", "next", "ix", "iy", (F.col("v") * (1 - F.col("t"))).alias("v"))
+    two = own.join(plan, F.col("y") == F.col("next")).select("frame", "year", "next", "ix", "iy", (F.col("v") * F.col("t")).alias("v"))
+    return one.unionByName(two).groupBy("frame", "year", "next", "ix", "iy").agg(F.sum("v").alias("v"))
+
+
+def masked_anomaly(fields: DataFrame, noise: DataFrame, base: str = "mean", sigmas: float = 2.0, year: str = "year") -> DataFrame:
+    """year, ix, iy, diff, significant: share less its mean over years (or less the first year's), against `sigmas` standard
+    deviations of both. noise: year, ix, iy, var; the variance of a mean over n years is the sum of theirs over n * n.
+    """
+    years = sorted(r[year] for r in fields.select(year).distinct().collect())  # a row a year
+    both = fields.join(noise, [year, "ix", "iy"], "full").select(year, "ix", "iy", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("var", F.lit(0.0)).alias("var"))
+    of = F.lit(True) if base == "mean" else F.col(year) == years[0]
+    n = float(len(years)) if base == "mean" else 1.0
+    low = both.groupBy("ix", "iy").agg((F.sum(F.when(of, F.col("v")).otherwise(0.0)) / n).alias("m"), (F.sum(F.when(of, F.col("var")).otherwise(0.0)) / (n * n)).alias("mv"))
+    grid = low.withColumn(year, F.explode(F.array(*map(F.lit, years))))
+    out = grid.join(both, [year, "ix", "iy"], "left")
+    diff, var = F.coalesce("v", F.lit(0.0)) - F.col("m"), F.coalesce("var", F.lit(0.0)) + F.col("mv")
+    return out.select(year, "ix", "iy", diff.alias("diff"), (F.abs(diff) > sigmas * F.sqrt(var)).alias("significant"))
+
+
 def box_peaks(field: DataFrame, radius: int, share: float = 0.0, n: int | None = None) -> DataFrame:
     """region, ix, iy, height: positive cells that are the largest of their box (ties: first by iy, ix)."""
     best = F.struct("v", (-F.col("iy")).alias("a"), (-F.col("ix")).alias("b"))
@@ -220,8 +255,10 @@ def sphere_smooth(counts: DataFrame, edges: DataFrame, sigma: float, steps: int
     return counts
 
 
-def sphere_regions(field: DataFrame, n: int, sigma: float, share: float = 0.03, mask: float = 0.005) -> DataFrame:
-    """node, region: peaks that are at least their 8 neighbours and the largest within sigma, flooded over the 8-neighbour graph.
+def sphere_regions(field: DataFrame, n: int, sigma: float, share: float = 0.03, mask: float = 0.005, occupied: DataFrame | None = None) -> DataFrame:
+    """node, region: peaks that are at least their 8 neighbours and every node within sigma, flooded over the 8-neighbour graph.
+
+    Levels are shares of the field's 0.99 quantile over the nodes that hold rows (occupied: node; all with mass where not given).
 
     The grid has a fixed number of nodes, so one task floods it.
     """
@@ -230,16 +267,19 @@ def sphere_regions(field: DataFrame, n: int, sigma: float, share: float = 0.03,
         grid, v = nodes(n), np.zeros(n)
         v[pdf.node.to_numpy()] = pdf.v.to_numpy()
         near = np.concatenate([np.argsort(-(grid[i : i + 256] @ grid.T), axis=1, kind="stable")[:, 1:9] for i in range(0, n, 256)])
-        ref = float(np.quantile(v[v > 0], 0.99)) if (v > 0).any() else 0.0
+        held = pdf.node.to_numpy()[pdf.held.to_numpy()]
+        ref = float(np.quantile(v[held], 0.99)) if len(held) else 0.0
         top = np.flatnonzero((v >= v[near].max(axis=1)) & (v >= share * ref) & (v > 0))
         kept: list[int] = []
         for i in top[np.lexsort((top, -v[top]))].tolist():
-            if all(grid[i] @ grid[j] < math.cos(sigma) for j in kept):
+            if v[i] >= v[grid @ grid[i] >= math.cos(sigma)].max():
                 kept.append(i)
         label = flood({i: float(x) for i, x in enumerate(v)}, lambda i: near[i].tolist(), [(r + 1, i) for r, i in enumerate(kept)], mask * ref)
         return pd.DataFrame({"node": np.arange(n), "region": [label.get(i, 0) for i in range(n)]})
 
-    return field.select("node", "v").withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(lambda pdf: one(pdf), "node long, region int")
+    held = occupied.select("node").distinct().withColumn("held", F.lit(True)) if occupied is not None else field.where("v > 0").select("node", F.lit(True).alias("held"))
+    field = field.select("node", "v").join(held, "node", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    return field.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(lambda pdf: one(pdf), "node long, region int")
 
 
 def split_regions(points: DataFrame, regions: DataFrame, limit: int, key: str = "id") -> DataFrame:
@@ -258,7 +298,7 @@ def split_regions(points: DataFrame, regions: DataFrame, limit: int, key: str =
     return out
 
 
-def ocean(points: DataFrame, spark: SparkSession, probes: int = 4000, degrees: tuple[float, ...] = (1.0, 2.0, 4.0)) -> DataFrame:
+def ocean(points: DataFrame, spark: SparkSession, probes: int = 40_000, degrees: tuple[float, ...] = (1.0, 2.0, 4.0)) -> DataFrame:
     """deg, share of evenly spread probes farther than an angle from every point, through cells of a probe's angle."""
     out = None
     for d in degrees:

@@ -15,7 +15,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from lexiscape.plans import named  # noqa: F401  registers them
+    from lexiscape.plans import more, named  # noqa: F401  register them
 
     return dict(QUERIES)
 

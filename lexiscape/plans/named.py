@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscape.functions import columns as X
-from lexiscape.operators import corpus, graph, keywords, knn, mapserve, model, parse, places, ranks, taxonomy, terrain
+from lexiscape.operators import corpus, graph, keywords, knn, layout, mapserve, model, parse, places, ranks, taxonomy, terrain
 from lexiscape.plans.catalogue import query
+from lexiscape.session import Scratch
 from lexiscape.streaming import ingest
 
 C = F.col
@@ -301,7 +304,14 @@ def _(spark, d):
     return keywords.top(_scores(spark, d), "region", 4).select("region", "w", "rank")
 
 
-@query("feature_words")
+def _pairs_of(w: str) -> str:
+    return f"list_distinct(list_transform(range(1,length({w})), lambda i: {w}[i:i+1]))"
+
+
+_ALIKE = f"contains(x,w) OR contains(w,x) OR (least(len({_pairs_of('x')}),len({_pairs_of('w')}))>0 AND len(list_intersect({_pairs_of('x')},{_pairs_of('w')}))>=0.5*least(len({_pairs_of('x')}),len({_pairs_of('w')})))"
+
+
+@query("feature_words", f"WITH RECURSIVE {_KR}, tp AS (SELECT region, w, rank FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round(score,9) DESC, w) AS rank FROM sc) WHERE rank<=60), fw AS (SELECT DISTINCT region, 0 AS k, []::VARCHAR[] AS kept FROM tp UNION ALL SELECT region, k+1, CASE WHEN any_alike THEN kept ELSE list_append(kept,w) END FROM (SELECT fw.region, fw.k, fw.kept, tp.w, len(list_filter(fw.kept, lambda x: {_ALIKE.replace('w)', 'tp.w)').replace('(w', '(tp.w').replace(' w[', ' tp.w[').replace(',w', ',tp.w')}))>0 AS any_alike FROM fw JOIN tp ON tp.region=fw.region AND tp.rank=fw.k+1)) SELECT region, (max_by(kept,k))[1:8] AS words FROM fw GROUP BY region")
 def _(spark, d):
     return keywords.feature_words(_scores(spark, d))
 
@@ -391,11 +401,15 @@ def _(spark, d):
     return terrain.total_variation(terrain.contrast(a, b)).select(*r6("tv"))
 
 
-@query("group_contrast")
+_HALVES = f"pg AS (SELECT id, (label=3)::INT AS g, {_CELL.format('x')} AS ix, {_CELL.format('y')} AS iy FROM p), sf AS (SELECT g, ix, iy, count(*)::DOUBLE/any_value(t) AS v FROM pg JOIN (SELECT g, count(*) AS t FROM pg GROUP BY g) USING (g) GROUP BY ALL), hp AS (SELECT pg.*, i, {layout.SQL_UNIFORM.format('id', 'i')}<0.5 AS half FROM pg, range(4) r(i)), hs AS (SELECT g, i, half, ix, iy, count(*)::DOUBLE/any_value(t) AS v FROM hp JOIN (SELECT g, i, half, count(*) AS t FROM hp GROUP BY ALL) USING (g, i, half) GROUP BY ALL), hd AS (SELECT g, i, ix, iy, pow(coalesce(sum(v) FILTER (half),0)-coalesce(sum(v) FILTER (NOT half),0),2) AS d FROM hs GROUP BY ALL), sd AS (SELECT g, ix, iy, sqrt(sum(d)/16) AS sd FROM hd GROUP BY ALL)"
+
+
+@query("group_contrast", f"WITH {_H2}, {_HALVES}, ab AS (SELECT ix, iy, coalesce(x.v,0) AS a, coalesce(y.v,0) AS b FROM (SELECT * FROM sf WHERE g=1) x FULL JOIN (SELECT * FROM sf WHERE g=0) y USING (ix, iy)) SELECT ix, iy, round(a,6) AS a, round(b,6) AS b, round(a-b,6) AS diff, abs(a-b)>2*sqrt(pow(coalesce(s.sd,0),2)+pow(coalesce(z.sd,0),2)) AS significant FROM ab LEFT JOIN (SELECT * FROM sd WHERE g=1) s USING (ix, iy) LEFT JOIN (SELECT * FROM sd WHERE g=0) z USING (ix, iy)")
 def _(spark, d):
     a, b, p = _two(spark, d)
     field = lambda q: terrain.shares(q.withColumn("one", F.lit(1)), "one", terrain.histogram2d(q.withColumn("one", F.lit(1)), "x", "y", _BOX, _N, _N, "one")).drop("one")
-    return terrain.contrast(a, b, terrain.half_split_noise(p.where("g = 1"), "id", field), terrain.half_split_noise(p.where("g = 0"), "id", field))
+    out = terrain.contrast(a, b, terrain.half_split_noise(p.where("g = 1"), "id", field), terrain.half_split_noise(p.where("g = 0"), "id", field))
+    return out.select("ix", "iy", *r6("a", "b", "diff"), "significant")
 
 
 @query("density_gini", f"WITH {_knn(15)}, d AS (SELECT 1/(dist*dist) AS v FROM edges WHERE rank=15 AND dist>0), r AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM d) SELECT round(sum((2*r-n-1)*v)/(any_value(n)*sum(v)),6) AS gini, round(log10(quantile_cont(v,0.9)/quantile_cont(v,0.1)),6) AS spread FROM r")
@@ -433,9 +447,9 @@ def _unit3(spark, d):
 
 
 def _sphere(spark, d, n=2000, sigma=0.2):
-    at = terrain.nearest_node(_unit3(spark, d), n).groupBy("node").agg(F.count("*").cast("double").alias("v"))
+    at = Scratch(spark).table(terrain.nearest_node(_unit3(spark, d), n).groupBy("node").agg(F.count("*").cast("double").alias("v")))
     field = terrain.sphere_smooth(at, terrain.sphere_edges(spark, n, 3 * sigma), sigma)
-    return terrain.sphere_regions(field.withColumn("v", F.round("v", 9)), n, sigma)
+    return terrain.sphere_regions(field.withColumn("v", F.round("v", 9)), n, sigma, occupied=at)
 
 
 @query("sphere_regions")
@@ -450,9 +464,12 @@ def _(spark, d):
     return terrain.split_regions(p, at, 100)
 
 
-@query("ocean_share")
+_PROBES = f"pr AS (SELECT sqrt(greatest(0.0,1-z*z))*cos(i*{math.pi * (3 - 5**0.5)!r}) AS x, sqrt(greatest(0.0,1-z*z))*sin(i*{math.pi * (3 - 5**0.5)!r}) AS y, z, i FROM (SELECT i, 1-(2*i+1)/40000.0::DOUBLE AS z FROM range(40000) r(i))), pt AS (SELECT embedding[1]::DOUBLE/n AS x, embedding[2]::DOUBLE/n AS y, embedding[3]::DOUBLE/n AS z FROM (SELECT embedding, sqrt(embedding[1]::DOUBLE**2+embedding[2]::DOUBLE**2+embedding[3]::DOUBLE**2) AS n FROM embeddings)), mx AS (SELECT i, max(a.x*b.x+a.y*b.y+a.z*b.z) AS c FROM pr a, pt b GROUP BY i)"
+
+
+@query("ocean_share", f"WITH {_PROBES} SELECT deg, round(1-count(*) FILTER (c>=cos(radians(deg)))/40000.0::DOUBLE,6) AS share FROM mx, (VALUES (1.0::DOUBLE),(2.0::DOUBLE),(4.0::DOUBLE)) v(deg) GROUP BY deg")
 def _(spark, d):
-    return terrain.ocean(_unit3(spark, d), spark)
+    return terrain.ocean(_unit3(spark, d), spark).select("deg", *r6("share"))
 
 
 @query("sphere_xyz", "SELECT event_id, round(sin(value)*cos(value*2),6) AS x, round(sin(value)*sin(value*2),6) AS y, round(cos(value),6) AS z FROM events")
@@ -493,10 +510,19 @@ def _(spark, d):
     return _points(spark, d).groupBy("label").agg(F.round(F.hypot(F.sum(F.cos(h)), F.sum(F.sin(h))) / F.count("*"), 6).alias("agree"))
 
 
-@query("gamut_chroma")
+def _linear(light: str, a: str, b: str) -> list[str]:
+    lms = [f"pow({light}+({p})*({a})+({q})*({b}),3)" for p, q in X._LMS]
+    return ["(" + "+".join(f"({k})*{x}" for k, x in zip(row, lms)) + ")" for row in X._RGB]
+
+
+def _fits(chroma: str) -> str:
+    return " AND ".join(f"{c} BETWEEN -1e-6 AND 1+1e-6" for c in _linear("l", f"{chroma}*cos(h)", f"{chroma}*sin(h)"))
+
+
+@query("gamut_chroma", f"WITH RECURSIVE p AS (SELECT vec_id AS id, 0.5+embedding[1]::DOUBLE/4 AS l, atan2(embedding[2]::DOUBLE,embedding[1]::DOUBLE) AS h FROM embeddings), b AS (SELECT id, l, h, 0.0::DOUBLE AS lo, 0.4::DOUBLE AS hi, 0 AS i FROM p UNION ALL SELECT id, l, h, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END, i+1 FROM (SELECT *, {_fits('mid')} AS ok FROM (SELECT *, (lo+hi)/2 AS mid FROM b WHERE i<16))) SELECT id, round(CASE WHEN {_fits('0.4')} THEN 0.4 ELSE lo END,6) AS chroma FROM b WHERE i=16")
 def _(spark, d):
     e = _points(spark, d).select("id", (0.5 + C("x") / 4).alias("l"), F.lit(0.4).alias("c"), F.atan2("y", "x").alias("h"))
-    return e.select("id", X.clamped_chroma(C("l"), C("c"), C("h")).alias("chroma"))
+    return e.select("id", F.round(X.clamped_chroma(C("l"), C("c"), C("h")), 6).alias("chroma"))
 
 
 def _ring(spark, d):
@@ -551,7 +577,10 @@ def _(spark, d):
     return mapserve.draw_order(_emb(spark, d).select("label", (C("vec_id") % 3).alias("cat")), "label", "cat", ["9", "3"])
 
 
-@query("hexbin")
+_HEX = f"a AS (SELECT ({3**0.5 / 3!r}*embedding[1]::DOUBLE-embedding[2]::DOUBLE/3)/0.1 AS q, {2 / 3!r}*embedding[2]::DOUBLE/0.1 AS r FROM embeddings), b AS (SELECT q, r, -q-r AS s FROM a), c AS (SELECT round_even(q,0) AS rq, round_even(r,0) AS rr, round_even(s,0) AS rs, abs(round_even(q,0)-q) AS dq, abs(round_even(r,0)-r) AS dr, abs(round_even(s,0)-s) AS ds FROM b)"
+
+
+@query("hexbin", f"WITH {_HEX} SELECT (CASE WHEN dq>dr AND dq>ds THEN -rr-rs ELSE rq END)::BIGINT AS q, (CASE WHEN dq>dr AND dq>ds THEN rr WHEN dr>ds THEN -rq-rs ELSE rr END)::BIGINT AS r, count(*) AS n FROM c GROUP BY 1, 2")
 def _(spark, d):
     return mapserve.hexbin(_points(spark, d), "x", "y", 0.1)
 
@@ -598,7 +627,14 @@ def _(spark, d):
     return places.sphere_places(p, own, 10)
 
 
-@query("label_mix")
+_MIX = "m AS (SELECT lab, i, avg(w[i]) AS x FROM e, range(1,65) t(i) GROUP BY ALL), cn AS (SELECT lab, sqrt(sum(x*x)) AS n FROM m GROUP BY lab), sm AS (SELECT e.id, m.lab, sum(e.w[m.i]*m.x/cn.n) AS s FROM e, m JOIN cn ON cn.lab=m.lab GROUP BY ALL), sw AS (SELECT id, lab, exp(8*(s-max(s) OVER (PARTITION BY id))) AS w FROM sm), ab AS (SELECT id, sum(w*cos(2*pi()*lab/10))/sum(w)*0.17 AS a, sum(w*sin(2*pi()*lab/10))/sum(w)*0.17 AS b FROM sw GROUP BY id)"
+
+
+def _byte(linear: str) -> str:
+    return f"round_even(greatest(0.0,least(1.0,CASE WHEN {linear}<=0.0031308 THEN 12.92*{linear} ELSE 1.055*pow(greatest({linear},0.0),1/2.4)-0.055 END))*255,0)::SMALLINT"
+
+
+@query("label_mix", f"WITH {_VEC}, {_MIX} SELECT id, " + ", ".join(f"{_byte(c)} AS {n}" for c, n in zip(_linear("0.72", "a", "b"), "rgb")) + " FROM ab")
 def _(spark, d):
     e = _emb(spark, d)
     cent = [r["cent"] for r in knn.centroids(e, "label", "embedding").orderBy("label").collect()]  # a row a label
@@ -617,10 +653,10 @@ def _(spark, d):
     return p.agg(F.count("*").alias("n"), F.round(F.sum("u"), 4).alias("u"), F.round(F.sum("v"), 4).alias("v"))
 
 
-@query("interleaved_order")
+@query("interleaved_order", f"SELECT part*10+(label+part)%10 AS \"order\", count(*) AS n FROM (SELECT label, floor({layout.SQL_UNIFORM.format('vec_id', 0)}*16)::INT AS part FROM embeddings) GROUP BY 1")
 def _(spark, d):
     e = _emb(spark, d)
-    return places.interleaved(e, "vec_id", "label", [str(i) for i in range(10)]).groupBy("order").agg(F.count("*").alias("n"))
+    return places.interleaved(e, "vec_id", "label", [str(i) for i in range(10)]).groupBy(C("order").cast("int").alias("order")).agg(F.count("*").alias("n"))
 
 
 # --- models -------------------------------------------------------------------------------------
@@ -639,7 +675,8 @@ def _(spark, d):
 @query("uot_surplus")
 def _(spark, d):
     e = _emb(spark, d).withColumn("year", 2019 + C("vec_id") % 7)
-    return model.surplus(e, "vec_id", "embedding", "year", least_past=60, standards=200, chunk=400, draws=2, components=20)
+    n = min(10_000, max(1, e.count() // 10))  # the usual number of standards, or a tenth of a table that is too small for it
+    return model.surplus(e, "vec_id", "embedding", "year", least_past=2 * n, standards=n)
 
 
 @query("pair_accuracy")
