@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from lexiscape.llm import text as T
 
 CHARS, DOCS, PIECE, DENSE = 40_000, 100, 1024, 63
+#: Text that is parsed at once.
+SLICE_BYTES = 2 << 20
 UNKNOWN = "und"
 
 
@@ -203,7 +205,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for b in T.slices(batches):
+        for b in T.slices(batches, limit=SLICE_BYTES):
             name, score, rate = parse(m, b.column("text"))
             yield pa.record_batch([b.column("doc_id"), pa.array(name, pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "rate"])
 
@@ -222,7 +224,7 @@ def known(docs: DataFrame) -> DataFrame:
     T.bounded_batches(spark)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in T.slices(batches):
+        for b in T.slices(batches, limit=SLICE_BYTES):
             yield b.filter(pa.array(parse(shared.value, b.column("text"))[0] != UNKNOWN))
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
