@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiscape.operators.layout import uniform
 from lexiscape.functions.columns import clamped_chroma, clip, dot, rgb255
+from lexiscape.operators.layout import uniform
+from lexiscape.operators.ranks import quantile_values
 
 
 def region_places(points: DataFrame, regions: DataFrame, peaks: DataFrame, box: tuple[float, float, float, float], nx: int, ny: int, least: int = 150) -> DataFrame:
@@ -55,7 +56,7 @@ def pixel_colours(points: DataFrame, ix: Column, iy: Column) -> DataFrame:
 
 def web_chroma(points: DataFrame, value: str, top: float = 0.145) -> DataFrame:
     """Adds chroma: the 5th to 95th percentile of a value over 0.85 to 1.30 of `top`, clipped."""
-    lo, hi = points.agg(F.percentile(value, 0.05), F.percentile(value, 0.95)).first()
+    lo, hi = quantile_values(points, value, 0.05, 0.95)
     at = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - lo) / (hi - lo)))
     return points.withColumn("chroma", top * (0.85 + 0.45 * at))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +22,36 @@ def rank_table(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:
     are dealt by ranges, and the counts of the ranges before (a row a range) are added. Ranks go back to
     the rows by value: sent while there are at most SENT_VALUES of them, else joined.
     """
+    t, found = _cumulated(rows, value)
+    found = found.select("_v", (F.col("before") + (F.col("_c") + 1) / F.lit(2.0)).alias(name), "n")
+    return F.broadcast(found) if t.count() <= SENT_VALUES else found
+
+
+def _cumulated(rows: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """A written table of distinct values, and _v, _c, before, n: how often each stands, how many rows lie before it, and all rows."""
     t = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c")).repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
     upto = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     t = Scratch(rows.sparkSession).table(t.withColumn("_b", F.coalesce(F.sum("_c").over(upto), F.lit(0))))
     every = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     size = t.groupBy("_p").agg(F.sum("_c").alias("_n"))
-    before = size.select("_p", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_a"), F.sum("_n").over(Window.partitionBy()).alias("n"))
-    found = t.join(F.broadcast(before), "_p").select("_v", (F.col("_a") + F.col("_b") + (F.col("_c") + 1) / F.lit(2.0)).alias(name), "n")
-    found = F.broadcast(found) if t.count() <= SENT_VALUES else found
-    return found
+    before = size.select("_p", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_a"), F.sum("_n").over(Window.partitionBy()).alias("n"))  # a row a range
+    return t, t.join(F.broadcast(before), "_p").select("_v", "_c", (F.col("_a") + F.col("_b")).alias("before"), "n")
+
+
+def quantile_values(rows: DataFrame, value: str, *shares: float, nearest: tuple[float, ...] = ()) -> list[float | None]:
+    """Exact quantiles of all rows that have the value, without one task for all of them: linear ones of `shares`, then, of
+    `nearest`, the smallest values that cover the share. At most two rows a quantile come back."""
+    t, found = _cumulated(rows.where(F.col(value).isNotNull()).select(value), value)
+    n = t.agg(F.sum("_c")).first()[0]
+    if not n:
+        return [None] * (len(shares) + len(nearest))
+    spots = [q * (n - 1) for q in shares]
+    last = [max(0, math.ceil(q * n - 1e-9) - 1) for q in nearest]
+    wanted = sorted({k for h in spots for k in (math.floor(h), math.ceil(h))} | set(last))
+    holds = reduce(lambda a, b: a | b, [(F.col("before") <= k) & (F.col("before") + F.col("_c") > k) for k in wanted])
+    got = found.where(holds).collect()
+    at = {k: float(r["_v"]) for r in got for k in wanted if r["before"] <= k < r["before"] + r["_c"]}
+    return [at[math.floor(h)] + (at[math.ceil(h)] - at[math.floor(h)]) * (h - math.floor(h)) for h in spots] + [at[k] for k in last]
 
 
 def places(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:
@@ -50,7 +74,9 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 def gini(rows: DataFrame, value: str) -> DataFrame:
     """Gini coefficient and log10(p90 / p10); tied rows share their mean rank, which changes no sum."""
     r = places(rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v")), "v")
-    return r.agg((F.sum((2 * F.col("rank") - F.col("n") - 1) * F.col("v")) / (F.max("n") * F.sum("v"))).alias("gini"), F.log10(F.percentile("v", 0.9) / F.percentile("v", 0.1)).alias("spread"))
+    lo, hi = quantile_values(rows, value, 0.1, 0.9)
+    spread = F.lit(math.log10(hi / lo) if lo and hi and hi / lo > 0 else None).cast("double")
+    return r.agg((F.sum((2 * F.col("rank") - F.col("n") - 1) * F.col("v")) / (F.max("n") * F.sum("v"))).alias("gini"), spread.alias("spread"))
 
 
 def top_share_overlap(rows: DataFrame, a: str, b: str, share: float = 0.05) -> DataFrame:
@@ -63,6 +89,6 @@ def top_share_overlap(rows: DataFrame, a: str, b: str, share: float = 0.05) -> D
 
 def described(rows: DataFrame, *values: str) -> DataFrame:
     """metric, n, median (linear), p5 and p95 (nearest) of each value."""
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("v")) for v in values))).alias("s")).select("s.*").where("v is not null")
-    near = lambda q: F.expr(f"percentile_disc({q}) within group (order by v)")
-    return long.groupBy("metric").agg(F.count("*").alias("n"), F.percentile("v", 0.5).alias("median"), near(0.05).alias("p5"), near(0.95).alias("p95"))
+    n = rows.agg(*(F.count(v).alias(v) for v in values)).first()
+    out = [(v, n[v], *quantile_values(rows.select(F.col(v).cast("double").alias("v")), "v", 0.5, nearest=(0.05, 0.95))) for v in values if n[v]]
+    return rows.sparkSession.createDataFrame(out, "metric string, n long, median double, p5 double, p95 double")  # a row a metric

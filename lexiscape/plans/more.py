@@ -135,7 +135,7 @@ def _(spark, d):
     from lexiscape.operators import graph
 
     own = _emb(spark, d).where("label < 3").select(C("vec_id").alias("id"))
-    return graph.component_sizes(_edges(spark, d, 2).select(C("src").alias("a"), C("dst").alias("b")), own).agg(F.count("*").alias("n_components"), F.max("n").alias("largest"), F.count_if(C("n") == 1).alias("isolated"))
+    return graph.component_sizes(_edges(spark, d, 2).select(C("src").alias("a"), C("dst").alias("b")), own, whole=graph.WHOLE).agg(F.count("*").alias("n_components"), F.max("n").alias("largest"), F.count_if(C("n") == 1).alias("isolated"))
 
 
 @query("ring_node", f"WITH {_VEC}, p AS (SELECT id AS p, w AS pv FROM e WHERE id<12), z AS (SELECT e.id, p.p, round(list_dot_product(w,pv),12) AS s FROM e, p), b AS (SELECT id, p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, p) AS r FROM z) WHERE r=1), o AS (SELECT e.lab, ((b.p-lab-0.5+6.0)%12.0+12.0)%12.0-6.0 AS off FROM b JOIN e USING (id)) SELECT lab AS label, round(lab+0.5+coalesce(median(off) FILTER (abs(off)<3),0),6) AS centre FROM o GROUP BY lab")

@@ -267,7 +267,7 @@ def _(spark, d):
 
 @query("components", f"WITH RECURSIVE {_knn(2)}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT id, id AS c FROM e UNION SELECT b.b, r.c FROM r JOIN b ON b.a=r.id AND b.b>r.c) SELECT id AS node, min(c) AS component FROM r GROUP BY id")
 def _(spark, d):
-    return graph.connected_components(_edges(spark, d, 2).select(C("src").alias("a"), C("dst").alias("b")))
+    return graph.connected_components(_edges(spark, d, 2).select(C("src").alias("a"), C("dst").alias("b")), whole=graph.WHOLE)
 
 
 # --- keywords -----------------------------------------------------------------------------------
@@ -486,7 +486,7 @@ def _(spark, d):
 @query("robust_scale", "WITH q AS (SELECT quantile_cont(l_extendedprice,0.02) AS a, quantile_cont(l_extendedprice,0.98) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(greatest(-1.0,least(1.0,(l_extendedprice-a)/(b-a)*2-1)),6) AS s FROM lineitem, q")
 def _(spark, d):
     rows = t(spark, d, "lineitem")
-    a, b = rows.agg(F.percentile("l_extendedprice", 0.02), F.percentile("l_extendedprice", 0.98)).first()
+    a, b = ranks.quantile_values(rows, "l_extendedprice", 0.02, 0.98)
     return rows.select("l_orderkey", "l_linenumber", F.round(X.clip((C("l_extendedprice") - a) / (b - a) * 2 - 1, -1.0, 1.0), 6).alias("s"))
 
 

@@ -48,11 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_roots: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every scratch folder that this driver has made; results that weren't read yet are lost."""
+    while _roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_roots.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+        _roots.append(self.root)
 
     def path(self) -> str:
         self.n += 1

@@ -265,3 +265,29 @@ def test_card_and_sizes(spark):
     sizes = graph.component_sizes(spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "a long, b long"), spark.createDataFrame([(i,) for i in (1, 3, 4, 5, 6)], "id long"))
     assert {tuple(r) for r in sizes.collect()} == {(1, 1), (3, 1), (4, 2), (6, 1)}
     assert abs(report.independent_overlap() - 0.05 / 1.95) < 1e-12
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(8)
+    for v in (rng.normal(size=501), np.repeat([1.0, 2.0, 9.0], [3, 400, 2]), np.array([4.0])):
+        rows = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+        got = ranks.quantile_values(rows, "v", 0.02, 0.5, 0.98, nearest=(0.05, 0.95, 1.0))
+        assert np.allclose(got, [*np.quantile(v, [0.02, 0.5, 0.98]), *np.quantile(v, [0.05, 0.95, 1.0], method="inverted_cdf")])
+    assert ranks.quantile_values(rows.limit(0), "v", 0.5, nearest=(0.1,)) == [None, None]
+
+
+def test_components_in_one_task_or_many(spark):
+    rng = np.random.default_rng(9)
+    edges = spark.createDataFrame([tuple(map(int, x)) for x in rng.integers(0, 300, (200, 2))], "a long, b long")
+    one, many = (sorted(tuple(r) for r in graph.connected_components(edges, whole=w).collect()) for w in (1000, 0))
+    assert one == many and len(one) > 100
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from lexiscape import session
+
+    t = session.Scratch(spark).table(spark.range(3))
+    path = t._scratch.removeprefix("file://")
+    assert os.path.exists(path)
+    session.clear(spark)
+    assert not os.path.exists(path)
