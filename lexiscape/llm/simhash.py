@@ -32,6 +32,8 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 FAN = 8
 GROUP_LIMIT = 20_000
 CHUNK = 1 << 16
+#: Nodes that a search opens at once (about 60 bytes each).
+FRONTIER = 1 << 20
 
 
 def fingerprint(data: bytes, k: int = SHINGLE) -> int:
@@ -124,33 +126,45 @@ class Index:
         self.root = np.searchsorted(g_here, group)
 
     def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i, j), i < j, of one group within the radius."""
+        """Pairs (i, j), i < j, of one group within the radius.
+
+        A search that would open more than FRONTIER nodes at once goes on in two halves, so that a dense
+        cluster takes more steps, not more memory.
+        """
         for at in range(0, len(self.fp), CHUNK >> 2):
             q = np.arange(at, min(at + (CHUNK >> 2), len(self.fp)))
             node = self.root[q]
             _, _, mask, value, _ = self.levels[-1]
-            got, fixed = np.bitwise_count((self.fp[q] ^ value[node]) & mask[node]).astype(np.int64), mask[node]
-            for level in range(len(self.levels) - 1, -1, -1):
-                first, count = self.levels[level][:2]
+            got = np.bitwise_count((self.fp[q] ^ value[node]) & mask[node])
+            work = [(len(self.levels) - 1, q, node, got)]
+            while work:
+                level, q, node, got = work.pop()
+                first, count, mask = self.levels[level][:3]
                 c = count[node]
-                step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                child = np.repeat(first[node], c) + step
-                q, got, fixed = np.repeat(q, c), np.repeat(got, c), np.repeat(fixed, c)
+                total = int(c.sum())
+                if total > FRONTIER and len(q) > 1:
+                    half = len(q) >> 1
+                    work += [(level, q[half:], node[half:], got[half:]), (level, q[:half], node[:half], got[:half])]
+                    continue
+                child = np.repeat(first[node] - np.cumsum(c) + c, c) + np.arange(total)
+                q, got, fixed = np.repeat(q, c), np.repeat(got, c), np.repeat(mask[node], c)
                 if level:
                     _, _, mask, value, last = self.levels[level - 1]
                     keep = last[child] > q
-                    q, got, fixed, node = q[keep], got[keep], fixed[keep], child[keep]
-                    m, v = mask[node], value[node]
+                    q, got, fixed, child = q[keep], got[keep], fixed[keep], child[keep]
+                    m, v = mask[child], value[child]
                 else:
                     keep = child > q
-                    q, got, fixed, node = q[keep], got[keep], fixed[keep], child[keep]
-                    m, v = ~np.uint64(0), self.fp[node]
+                    q, got, fixed, child = q[keep], got[keep], fixed[keep], child[keep]
+                    m, v = ~np.uint64(0), self.fp[child]
                 got = got + np.bitwise_count((self.fp[q] ^ v) & (m & ~fixed))
                 keep = got <= radius
-                q, got, node = q[keep], got[keep], node[keep]
-                fixed = self.levels[level - 1][2][node] if level else fixed
-            if len(q):
-                yield q, node
+                q, child, got = q[keep], child[keep], got[keep]
+                if len(q):
+                    if level:
+                        work.append((level - 1, q, child, got))
+                    else:
+                        yield q, child
 
 
 def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

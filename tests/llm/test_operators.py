@@ -118,8 +118,9 @@ def test_blocks_round_trip(spark, docs, odd, none, lib, monkeypatch):
     assert few == {k: whole[k] for k in (3, 77)}
 
 
-@pytest.mark.parametrize("sent", [packing.SENT_MOVES, 0])
-def test_packing(docs, odd, none, lib, sent):
+@pytest.mark.parametrize("sent, block", [(packing.SENT_MOVES, packing.BLOCK_RANKS), (0, packing.BLOCK_RANKS), (0, 3)])
+def test_packing(docs, odd, none, lib, sent, block, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_RANKS", block)
     for table in (docs, odd):
         got = packing.pack(table, sent_moves=sent).collect()
         want = Counter()
@@ -193,7 +194,9 @@ def test_near_duplicates(docs, odd, none, limit):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_index_finds_every_pair():
+@pytest.mark.parametrize("frontier", [simhash.FRONTIER, 40])
+def test_index_finds_every_pair(frontier, monkeypatch):
+    monkeypatch.setattr(simhash, "FRONTIER", frontier)
     rng = np.random.default_rng(5)
     x = rng.integers(0, 2**64, 200, dtype=np.uint64)
     near = [x ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) for _ in range(6)]
@@ -203,6 +206,18 @@ def test_index_finds_every_pair():
     assert got == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if group[i] == group[j] and int(x[i] ^ x[j]).bit_count() <= 4}
 
 
+def test_dense_cluster_takes_bounded_steps():
+    """20,000 fingerprints within three bits of one: millions of links, one component."""
+    rng = np.random.default_rng(8)
+    bits = np.uint64(1) << rng.integers(0, 64, (26_000, 3)).astype(np.uint64)
+    x = np.unique(np.bitwise_xor.reduce(bits, axis=1) ^ np.uint64(0x0123456789ABCDEF))[:20_000]
+    group = np.zeros(len(x), np.uint64)
+    sizes = [len(a) for a, _ in simhash.Index(np.sort(x), group).pairs(4)]
+    assert max(sizes) <= simhash.FRONTIER < sum(sizes)
+    a, b = simhash.forest(x, group, 4)
+    assert len(a) == len(x) - 1 and len(set(b.tolist())) == 1
+
+
 # --- op6 ----------------------------------------------------------------------------------------
 
 
