@@ -7,7 +7,8 @@ ranks global. One superstep takes all pieces of the longest length left: the suc
 the smallest gap that holds them, the pieces' ranks settle who goes to which of its sequences, the
 gaps are updated, and the sweep repeats until none is left. This gives exactly best-fit decreasing.
 The sweeps work on runs, not on rows: only the histogram of lengths (at most `size` rows) reaches the
-driver, and what goes back is a list of moves (length, ranks, sequences), joined by length and rank.
+driver, and what goes back is a list of moves (length, ranks, sequences), joined by length and rank
+(beyond SENT_MOVES in blocks of BLOCK_RANKS ranks, so that no length is one key).
 
 Nulls: a null text is an empty one (the end id alone); a null doc_id is carried. Repeated ids are
 packed row by row. No rows give no pieces. Extra columns are ignored.
@@ -30,8 +31,10 @@ from lexiscape.llm import tokens as K
 from lexiscape.session import Scratch
 
 SIZE, END = 4096, 1
-#: Moves up to this number are sent to all tasks (40 bytes each); more are joined by length.
+#: Moves up to this number are sent to all tasks (40 bytes each); more are joined by length and block of ranks.
 SENT_MOVES = 200_000
+#: Ranks of one length that meet their moves under one key.
+BLOCK_RANKS = 1 << 16
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, local long"
 
 
@@ -116,7 +119,10 @@ def _placed(rows: DataFrame, plan: np.ndarray, sent: int) -> DataFrame:
     spark = rows.sparkSession
     if len(plan) > sent:
         table = spark.createDataFrame([tuple(map(int, x)) for x in plan], "length int, first_rank long, ranks long, first long, per long, base long")
-        found = rows.join(table, "length").where("rank >= first_rank and rank < first_rank + ranks")
+        # A hot length's ranks are joined by blocks; a move is sent to each block that it reaches into.
+        table = table.withColumn("block", F.explode(F.expr(f"sequence(first_rank div {BLOCK_RANKS}, (first_rank + ranks - 1) div {BLOCK_RANKS})")))
+        rows = rows.withColumn("block", F.expr(f"rank div {BLOCK_RANKS}"))
+        found = rows.join(table, ["length", "block"]).where("rank >= first_rank and rank < first_rank + ranks")
         at = F.col("rank") - F.col("first_rank")
         return found.withColumn("sequence_id", F.expr("first + (rank - first_rank) div per")).withColumn("offset", F.col("base") + at % F.col("per") * F.col("length")).select(*OUT)
     order = np.lexsort((plan[:, 1], plan[:, 0]))
