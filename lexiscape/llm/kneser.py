@@ -18,13 +18,16 @@ bigram that stands in most documents is one key and a list of documents in each
 Trusted: labelled quality 1 and not toxic (a document with several labels is trusted if one row says so). Ids of trusted
 documents are sent to the tasks while there are at most SENT_IDS; more are joined by a sort.
 One in FOLDS of the trusted documents (crc32 of the id) is left out of the counts and calibrates, since a
-model finds the text it was made from too likely. Labelled rejects (quality 0 or toxic, and not trusted) of the same
-fold calibrate with them: a language's threshold is the perplexity (in bins of BIN of its logarithm) with the largest
-share of rejects above it less the share of trusted ones above it (ties: the largest). Where a side has fewer than
+model finds the text it was made from too likely. A few words that trusted text never has hardly move the perplexity of
+a long text, so the share of its tokens that the model has not seen is judged too: above the QUANTILE quantile of the
+calibrating trusted documents it isn't kept. Labelled rejects (quality 0 or toxic, and not trusted) of the same
+fold calibrate the perplexity of the rest: a language's threshold is the perplexity (in bins of BIN of its logarithm) with the largest
+share of rejects above it less COST times the share of trusted ones above it (ties: the largest). Where a side has fewer than
 SIDE documents it is the QUANTILE of the calibrating trusted documents (of all trusted ones where none
 calibrates); languages without trusted documents (null counts as one) take the threshold of all. Degenerate text is
-too likely: perplexity below the 1 - QUANTILE quantile of the calibrating trusted documents (of all languages where
-one has under LOW, with no such bound where all have) isn't kept either. Texts without tokens (null, empty, white space)
+too likely: perplexity below the 1 - QUANTILE quantile of the calibrating trusted documents isn't kept either. A language
+with fewer than LOW calibrating trusted documents takes this bound and that of unseen tokens from those of all languages;
+where all have fewer, there is neither. Texts without tokens (null, empty, white space)
 have perplexity null and are not kept. Without trusted text every token is equally likely, there is no threshold and all
 with tokens are kept. Very long texts make slices of their own. Repeated rows and ids keep their rows, an empty table
 gives none. Extra columns are ignored. docs must give the same rows in the same order when a task is repeated, as
@@ -50,6 +53,8 @@ QUANTILE, FOLDS, SHARD_ROWS, BUCKET_BYTES = 0.99, 5, 2_000_000, 64 << 20
 VOCABULARY = (1 << 16) - 1
 #: Bins of log-perplexity; calibrating documents of either side for a two-sided threshold, trusted ones for a lower bound.
 BIN, SIDE, LOW = 0.001, 10, 100
+#: What the loss of a share of trusted documents weighs against the same share of rejects kept.
+COST = 4
 #: Ids of trusted documents that may be sent to the tasks.
 SENT_IDS = 2_000_000
 #: Thresholds up to this number of languages are sent to all tasks; more are joined, with scores dealt to SALTS parts a language.
@@ -112,6 +117,7 @@ class Low:
         one, own = np.zeros(size), np.zeros(size)
         for r in after:
             one[r["w"]], own[r["w"]] = r["kinds"], r["n"]
+        self.unseen = own == 0
         kept = one - discount(np.bincount(np.minimum(one, 5).astype(int), minlength=6).astype(float))[np.minimum(one, 3).astype(int)]
         new = max(1.0, (own == 1).sum()) / max(1.0, own.sum())
         self.p = (1 - new) * kept / kept.sum() + new / size if len(after) else np.full(size, 1 / size)
@@ -156,8 +162,8 @@ def shard_of(gram, shards: int):
     return (F.shiftright(gram * F.lit(1640531527), 16) % F.lit(shards)).cast("int")
 
 
-BLOCK = "shard int, bucket int, slice long, body binary, docs array<struct<doc_id:long,lang:string,ll:double,size:long>>"
-_DOC = pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("ll", pa.float64()), ("size", pa.int64())])
+BLOCK = "shard int, bucket int, slice long, body binary, docs array<struct<doc_id:long,lang:string,ll:double,size:long,unseen:long>>"
+_DOC = pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("ll", pa.float64()), ("size", pa.int64()), ("unseen", pa.int64())])
 _BLOCK = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("slice", pa.int64()), ("body", pa.binary()), ("docs", pa.list_(_DOC))])
 
 
@@ -169,7 +175,8 @@ def _asked(low, shards: int, buckets: int, vocabulary: str | None):
         for i, b in enumerate(T.slices(batches, limit=K.SLICE_BYTES)):
             gram, off = grams(b.column("text"), vocabulary)
             sums = np.concatenate([[0.0], np.cumsum(model.places(gram))])
-            docs = pa.StructArray.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(sums[off[1:]] - sums[off[:-1]]), pa.array(np.diff(off))], fields=list(_DOC))
+            new = np.concatenate([[0], np.cumsum(model.unseen[gram & 0xFFFF])])
+            docs = pa.StructArray.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(sums[off[1:]] - sums[off[:-1]]), pa.array(np.diff(off)), pa.array(new[off[1:]] - new[off[:-1]])], fields=list(_DOC))
             doc = np.repeat(np.arange(b.num_rows), np.diff(off))
             key = np.sort(gram << 24 | doc)
             gram, doc = key >> 24, (key & 0xFFFFFF).astype(np.uint16 if b.num_rows <= 1 << 16 else np.uint32)
@@ -188,8 +195,8 @@ def _asked(low, shards: int, buckets: int, vocabulary: str | None):
     return each
 
 
-ANSWER = "slice long, at int, doc_id long, lang string, ll double, size long"
-_ANSWER = pa.schema([("slice", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("ll", pa.float64()), ("size", pa.int64())])
+ANSWER = "slice long, at int, doc_id long, lang string, ll double, size long, unseen long"
+_ANSWER = pa.schema([("slice", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("ll", pa.float64()), ("size", pa.int64()), ("unseen", pa.int64())])
 
 
 def _answered(blocks: pa.Table, table: pa.Table) -> pa.Table:
@@ -208,10 +215,10 @@ def _answered(blocks: pa.Table, table: pa.Table) -> pa.Table:
         if blocks.column("shard")[i].as_py() == 0:
             sums = np.concatenate([sums, np.zeros(len(docs) - len(sums))])
             own = docs.flatten()
-            cols = [pa.array(np.full(len(docs), name)), pa.array(np.arange(len(docs), dtype=np.int32)), own[0], own[1], pa.array(own[2].to_numpy() + sums), own[3]]
+            cols = [pa.array(np.full(len(docs), name)), pa.array(np.arange(len(docs), dtype=np.int32)), own[0], own[1], pa.array(own[2].to_numpy() + sums), own[3], own[4]]
         else:
             at = np.flatnonzero(sums)
-            cols = [pa.array(np.full(len(at), name)), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string()), pa.array(sums[at]), pa.nulls(len(at), pa.int64())]
+            cols = [pa.array(np.full(len(at), name)), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string()), pa.array(sums[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64())]
         out.append(pa.table(cols, schema=_ANSWER))
     return pa.concat_tables(out) if out else _ANSWER.empty_table()
 
@@ -228,7 +235,7 @@ def _parts(low):
 
 
 def scores(rows: DataFrame, table: DataFrame, vocabulary: str | None = None, shard_rows: int = SHARD_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, lang, ll, size of each of rows (doc_id, text, lang), by the counts of table (gram, n), which must be a written one."""
+    """doc_id, lang, ll, size, unseen (tokens that trusted text has not) of each of rows (doc_id, text, lang), by the counts of table (gram, n), which must be a written one."""
     spark = rows.sparkSession
     T.bounded_batches(spark)
     low = spark.sparkContext.broadcast(Low(table, vocabulary))  # by token: bounded by VOCABULARY
@@ -239,12 +246,12 @@ def scores(rows: DataFrame, table: DataFrame, vocabulary: str | None = None, sha
     parts = table.withColumn("shard", shard_of(F.col("gram"), shards)).groupBy("shard").applyInArrow(_parts(low), "shard int, body binary")
     parts = parts.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     found = asked.groupBy("shard", "bucket").cogroup(parts.groupBy("shard", "bucket")).applyInArrow(_answered, ANSWER)
-    whole = F.first(F.when(F.col("size").isNotNull(), F.struct("doc_id", "lang", "size")), ignorenulls=True).alias("doc")
-    return found.groupBy("slice", "at").agg(whole, F.sum("ll").alias("ll")).select("doc.doc_id", "doc.lang", "ll", "doc.size")
+    whole = F.first(F.when(F.col("size").isNotNull(), F.struct("doc_id", "lang", "size", "unseen")), ignorenulls=True).alias("doc")
+    return found.groupBy("slice", "at").agg(whole, F.sum("ll").alias("ll")).select("doc.doc_id", "doc.lang", "ll", "doc.size", "doc.unseen")
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, vocabulary: str | None = None, shard_rows: int = SHARD_ROWS, bucket_bytes: int = BUCKET_BYTES, sent_ids: int = SENT_IDS) -> DataFrame:
-    """doc_id, lang, perplexity, threshold, keep, per row of docs."""
+    """doc_id, lang, perplexity, threshold, unseen (a share of the tokens), unseen_threshold, keep, per row of docs."""
     scratch = Scratch(docs.sparkSession)
     fine = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
     poor = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
@@ -272,32 +279,40 @@ def _two_sided(scored: DataFrame, by: list[str]) -> DataFrame:
     to_here = Window.partitionBy(*by).orderBy("bin")  # a row a bin: bounded by the range of log-probabilities
     bins = bins.withColumns({"t": F.sum("trusted").over(to_here), "r": F.sum("rejected").over(to_here)})
     found = bins.groupBy(*by).agg(F.sum("trusted").alias("T"), F.sum("rejected").alias("R"), F.collect_list(F.struct("bin", "t", "r")).alias("bins"))
-    gain = lambda x: F.struct((F.col("T") * (F.col("R") - x["r"]) - F.col("R") * (F.col("T") - x["t"])).alias("gain"), x["bin"].alias("bin"))
+    gain = lambda x: F.struct((F.col("T") * (F.col("R") - x["r"]) - F.lit(COST) * F.col("R") * (F.col("T") - x["t"])).alias("gain"), x["bin"].alias("bin"))
     best = F.array_max(F.transform("bins", gain))
     enough = (F.col("T") >= SIDE) & (F.col("R") >= SIDE) & (best["gain"] > 0)
     return found.select(*by, F.when(enough, F.exp((best["bin"] + 1) * BIN)).alias("cut"))
 
 
+def _by_language(scored: DataFrame, own: DataFrame, sent: int) -> DataFrame:
+    """Joins own (a row a language) to scored by _lang."""
+    if own.count() <= sent:
+        return scored.join(F.broadcast(own), "_lang", "left")
+    own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a language with most rows is dealt over parts
+    scored = scored.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "ll"), F.lit(SALTS)).cast("int"))
+    return scored.join(own, ["_lang", "_salt"], "left").drop("_salt")
+
+
 def _thresholded(scored: DataFrame, quantile: float, sent: int = SENT_LANGS) -> DataFrame:
-    scored = scored.withColumn("perplexity", F.when(F.col("size") > 0, F.exp(-F.col("ll") / F.col("size"))))
-    if "rejected" not in scored.columns:
-        scored = scored.withColumn("rejected", F.lit(False))
+    scratch = Scratch(scored.sparkSession)
+    scored = scored.withColumns({c: F.lit(x) for c, x in (("rejected", False), ("unseen", 0)) if c not in scored.columns})
+    some = F.col("size") > 0
+    scored = scored.withColumns({"perplexity": F.when(some, F.exp(-F.col("ll") / F.col("size"))), "unseen": F.when(some, F.col("unseen") / F.col("size"))})
     scored = scored.withColumn("_lang", F.coalesce("lang", F.lit("")))
+    at = lambda which, column, q: F.percentile_approx(F.when(which, F.col(column)), q, 10_000)
+    many = F.count(F.when(calibrates(), 1)) >= LOW
+    top = F.coalesce(at(calibrates(), "perplexity", quantile), at(F.lit(True), "perplexity", quantile))
+    sums = [top.alias("top"), F.when(many, at(calibrates(), "perplexity", 1 - quantile)).alias("low"), F.when(many, at(calibrates(), "unseen", quantile)).alias("odd")]
     trusted = scored.where("trusted and perplexity is not null")
-    at = lambda which, q: F.percentile_approx(F.when(which, F.col("perplexity")), q, 10_000)
-    sums = [F.coalesce(at(calibrates(), quantile), at(F.lit(True), quantile)).alias("own"), F.when(F.count(F.when(calibrates(), 1)) >= LOW, at(calibrates(), 1 - quantile)).alias("low")]
-    own = trusted.groupBy("_lang").agg(*sums).join(_two_sided(scored, ["_lang"]), "_lang", "left")
-    own = Scratch(scored.sparkSession).table(own.select("_lang", F.coalesce("cut", "own").alias("own"), "low"))  # a row a language
-    every, parted = trusted.agg(*sums).first(), _two_sided(scored, []).first()
-    top, low = (parted["cut"] if parted and parted["cut"] is not None else every["own"]), every["low"]
-    scored = scored.drop("_lang", "trusted", "rejected")
-    same = F.coalesce("lang", F.lit("")) == F.col("_lang")
-    if own.count() <= sent:
-        out = scored.join(F.broadcast(own), same, "left")
-    else:  # a language with most rows is dealt over parts
-        own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        scored = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "ll"), F.lit(SALTS)).cast("int"))
-        out = scored.join(own, same & (F.col("salt") == F.col("_salt")), "left")
-    threshold, least = F.coalesce("own", F.lit(top).cast("double")), F.coalesce("low", F.lit(low).cast("double"), F.lit(0.0))
-    fits = (threshold.isNull() | (F.col("perplexity") <= threshold)) & (F.col("perplexity") >= least)
-    return out.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), (F.col("perplexity").isNotNull() & fits).alias("keep"))
+    own, every = scratch.table(trusted.groupBy("_lang").agg(*sums)), trusted.agg(*sums).first()
+    limit = lambda column, whole: F.coalesce(column, F.lit(whole).cast("double"))
+    scored = _by_language(scored, own.select("_lang", "low", "odd"), sent)
+    scored = scored.withColumns({"low": limit("low", every["low"]), "odd": limit("odd", every["odd"])})
+    usual = F.col("odd").isNull() | (F.col("unseen") <= F.col("odd"))
+    cuts = scratch.table(own.select("_lang", "top").join(_two_sided(scored.where(usual), ["_lang"]), "_lang", "left").select("_lang", F.coalesce("cut", "top").alias("threshold")))
+    parted = _two_sided(scored.where(usual), []).first()
+    out = _by_language(scored, cuts, sent).withColumn("threshold", limit("threshold", parted["cut"] if parted and parted["cut"] is not None else every["top"]))
+    fits = F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))
+    keep = F.col("perplexity").isNotNull() & fits & usual & (F.col("low").isNull() | (F.col("perplexity") >= F.col("low")))
+    return out.select("doc_id", "lang", "perplexity", "threshold", "unseen", F.col("odd").alias("unseen_threshold"), keep.alias("keep"))

@@ -515,7 +515,10 @@ def test_kneser_ney(spark, docs, odd, none, small, lib):
     assert {r["gram"]: r["n"] for r in counted.collect()} == {v << 16 | w: n for (v, w), n in pairs.items()}
     rows = table.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
     for how in ({}, {"shard_rows": 50, "bucket_bytes": 1000}):  # one shard, or many of shards and buckets
-        got = {r["doc_id"]: (r["ll"], r["size"]) for r in kneser.scores(rows, counted, **how).collect()}
+        out = kneser.scores(rows, counted, **how).collect()
+        got = {r["doc_id"]: (r["ll"], r["size"]) for r in out}
+        known = {x for own in taught for x in own}
+        assert all(r["unseen"] == sum(x not in known for x in ids(lib, texts[r["doc_id"]])) for r in out)
         for i, x in enumerate(texts):
             own = ids(lib, x)
             want = sum(log(v, w) for v, w in zip([size, *own], own))
@@ -560,6 +563,11 @@ def test_thresholds_part_labelled_rejects(spark):
         got = {r["doc_id"]: r["keep"] for r in kneser._thresholded(scored, kneser.QUANTILE, sent).collect()}
         kept = [np.mean([got[r[0]] for r in rows if r[side]]) for side in (4, 5)]
         assert kept[0] > 0.9 and kept[1] < 0.12 and not any(got[i] for i in range(3601, 3621))
+    strange = scored.withColumn("unseen", F.expr("CASE WHEN trusted THEN int(doc_id % 50 = 0) WHEN doc_id < 3300 THEN 3 ELSE 0 END"))
+    for sent in (kneser.SENT_LANGS, 0):
+        rows_ = kneser._thresholded(strange, kneser.QUANTILE, sent).where("unseen_threshold is not null").collect()
+        got = {r["doc_id"]: r["keep"] for r in rows_}
+        assert len(got) == len(rows) and not any(got[i] for i in range(3000, 3300)) and np.mean([got[r[0]] for r in rows if r[4]]) > 0.9
     few = kneser._thresholded(scored.where("trusted or doc_id < 3010"), kneser.QUANTILE)
     assert few.where("keep").count() >= 0.97 * few.count()
 
