@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscape.functions.columns import inside
+from lexiscape.session import Scratch
 
 
 def dense_id(rows: DataFrame, key: str, name: str = "uid") -> DataFrame:
-    """0-based place in key order, without one task for all rows: places within ranges, plus the ranges before."""
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    size = local.groupBy("_p").agg(F.count("*").alias("_n"))
+    """0-based place in key order, without one task for all rows.
+
+    Rows are dealt by ranges, sorted and written once, each with its range and place there; the sizes of the ranges
+    before (a row a range) are added when the table is read. Nulls come first; rows of one key are in no fixed order.
+    """
+    ranged = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    t = Scratch(rows.sparkSession).table(ranged)  # once: a second shuffle might deal other ranges
+    split = F.shiftright("_m", 33)
+    size = t.groupBy(split.alias("_p")).agg(F.count("*").alias("_n"))
     before = size.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a range
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") - 1 + F.col("_b")).drop("_p", "_r", "_b")
+    own = t.withColumn("_p", split).join(F.broadcast(before), "_p")
+    return own.withColumn(name, F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_b")).drop("_p", "_m", "_b")
 
 
 def quantised(x: Column, lo: Column, hi: Column) -> Column:
@@ -35,9 +44,16 @@ def pages(rows: DataFrame, key: str, fields: list[str], size: int = 2048) -> Dat
     return out.withColumn("hash", F.sha1("payload"))
 
 
-def version(page_rows: DataFrame) -> str:
-    """Content-addressed version: a hash over page hashes in order (a row a page)."""
-    return page_rows.agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "hash"))), lambda s: s["hash"]), ""))).first()[0]
+def version(page_rows: DataFrame, group: int = 4096) -> str:
+    """Content-addressed version: a hash over the hashes in order of page, by groups until one is left."""
+    t = page_rows.select("page", "hash")
+    left = (t.agg(F.max("page")).first()[0] or 0) + 1
+    while True:
+        own = F.transform(F.array_sort(F.collect_list(F.struct("page", "hash"))), lambda s: s["hash"])
+        t, left = t.groupBy(F.floor(F.col("page") / group).cast("long").alias("page")).agg(F.sha1(F.array_join(own, "")).alias("hash")), -(-left // group)
+        if left <= 1:
+            found = t.first()
+            return found["hash"] if found else hashlib.sha1(b"").hexdigest()
 
 
 def lookup(rows: DataFrame, key: str, value, size: int = 2048) -> DataFrame:
@@ -60,7 +76,7 @@ def selection(rows: DataFrame, x: str, y: str, polygon: list[tuple[float, float]
     out = own.agg(F.count("*").alias("n")).select(F.lit("all").alias("kind"), F.lit("").alias("value"), "n", F.lit(1).alias("rank"))
     for f, k in facets.items():
         n = own.groupBy(F.col(f).cast("string").alias("value")).agg(F.count("*").alias("n"))
-        n = n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value"))).where(F.col("rank") <= k)
+        n = n.orderBy(F.desc("n"), "value").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))  # k rows
         out = out.unionByName(n.select(F.lit(f).alias("kind"), "value", "n", "rank"))
     return out
 

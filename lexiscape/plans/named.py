@@ -552,9 +552,9 @@ def _(spark, d):
     return mapserve.dense_id(t(spark, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query("shard_pages", "WITH u AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey)-1 AS uid FROM orders) SELECT (uid//2048)::BIGINT AS page, min(o_orderkey) AS first_key, count(*) AS n FROM u GROUP BY ALL")
+@query("shard_pages", "WITH u AS (SELECT *, row_number() OVER (ORDER BY o_orderkey)-1 AS uid FROM orders), p AS (SELECT (uid//2048)::BIGINT AS page, min(o_orderkey) AS first_key, count(*) AS n, '['||string_agg('{\"uid\":'||uid||',\"o_orderstatus\":\"'||o_orderstatus||'\",\"o_orderpriority\":\"'||o_orderpriority||'\"}', ',' ORDER BY uid)||']' AS payload FROM u GROUP BY ALL) SELECT *, sha1(payload) AS hash FROM p")
 def _(spark, d):
-    return mapserve.pages(t(spark, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority"]).select("page", "first_key", "n")
+    return mapserve.pages(t(spark, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
 @query("deeplink_lookup", "SELECT ((SELECT count(*) FROM orders WHERE o_orderkey<1001)//2048)::BIGINT AS page, (SELECT count(*) FROM orders WHERE o_orderkey<1001)%2048 AS row WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey=1001)")

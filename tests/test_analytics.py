@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiscape.functions import columns as X
 from lexiscape.operators import graph, keywords, knn, mapserve, model, ranks, terrain
+from lexiscape.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +126,30 @@ def test_models(spark, emb):
 def test_torus_and_polygon(spark):
     r = spark.range(1).select(X.torus_distance([F.lit(0.1)], [F.lit(2 * math.pi - 0.1)]).alias("d"), X.inside(F.lit(0.2), F.lit(0.2), [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]).alias("a"), X.inside(F.lit(0.9), F.lit(0.9), [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]).alias("b")).first()
     assert r["d"] == pytest.approx(0.2) and r["a"] and not r["b"]
+
+
+@pytest.mark.parametrize("partitions", [8, 64, 200])
+def test_dense_ids_lose_no_row(spark, tmp_path, partitions):
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        n, whole = orders.count(), mapserve.dense_id(orders, "o_orderkey")
+        whole.write.parquet(str(tmp_path / "ids"))
+        got = spark.read.parquet(str(tmp_path / "ids")).orderBy("uid").toPandas()
+        assert got.uid.tolist() == list(range(n)) and got.o_orderkey.is_monotonic_increasing
+        assert got.drop(columns="uid").equals(orders.orderBy("o_orderkey").toPandas()[got.columns[:-1]])
+        files.write_ranges(orders, "o_orderkey", str(tmp_path / "ranges"), 4)
+        parts = spark.read.parquet(str(tmp_path / "ranges")).groupBy("part").count().orderBy("part").collect()
+        assert [r["count"] for r in parts] == [min(-(-n // 4), n - i * -(-n // 4)) for i in range(4)]
+        mapserve.pages(orders, "o_orderkey", [c for c in orders.columns if c != "o_orderkey"]).write.parquet(str(tmp_path / "pages"))
+        assert spark.read.parquet(str(tmp_path / "pages")).agg({"n": "sum"}).first()[0] == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_version_by_groups(spark):
+    rows = spark.createDataFrame([(i, f"h{i}") for i in range(50)], "page long, hash string")
+    assert mapserve.version(rows, 4) != mapserve.version(rows.withColumn("hash", F.when(F.col("page") == 7, "x").otherwise(F.col("hash"))), 4)
+    assert mapserve.version(rows, 4) == mapserve.version(rows.repartition(7), 4)
+    assert mapserve.version(rows, 50) == mapserve.version(rows, 4096)
