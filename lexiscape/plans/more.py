@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiscape.functions import columns as X
-from lexiscape.operators import keywords, knn, layout, model, parse, places, ranks, records, report, taxonomy, terrain
+from lexiscape.operators import embed, keywords, knn, layout, model, parse, places, ranks, records, report, taxonomy, terrain
 from lexiscape.plans.catalogue import query
 from lexiscape.plans.named import _CENT, _KW, _RANK, _VEC, _dist, _edges, _emb, _knn, _points, _words, r6, t
 
@@ -146,6 +146,33 @@ def _(spark, d):
     return places.window_centre(rows, "label", "prototype", {i: i + 0.5 for i in range(10)}, 12).select("label", *r6("centre"))
 
 
+@query("layout_plane")
+def _(spark, d):
+    return embed.embedded(knn.materialised(_edges(spark, d, 15)))
+
+
+@query("layout_sphere")
+def _(spark, d):
+    return embed.embedded(knn.materialised(_edges(spark, d, 15)), "sphere", min_dist=0.0, spread=0.3)
+
+
+@query("layout_torus")
+def _(spark, d):
+    return embed.embedded(knn.materialised(_edges(spark, d, 15)), "torus", min_dist=0.0, spread=0.5)
+
+
+_PERIODIC = "p AS (SELECT event_id AS id, value - 10 * floor(value / 10) AS u, (event_id * 7 % 1000) / 100.0::DOUBLE AS v FROM events), q AS (SELECT a.id, a.u - b.u AS x, a.v - b.v AS y FROM p a JOIN p b ON b.id = a.id + 1), g AS (SELECT id, CASE WHEN 2 * abs(x) < 10 THEN x ELSE x * (abs(x) - 10) / abs(x) END AS gx, CASE WHEN 2 * abs(y) < 10 THEN y ELSE y * (abs(y) - 10) / abs(y) END AS gy FROM q)"
+
+
+@query("torus_metric", f"WITH {_PERIODIC} SELECT id, round(sqrt(gx * gx + gy * gy), 6) AS d, round(gx / (sqrt(gx * gx + gy * gy) + 1e-6), 6) AS gu, round(gy / (sqrt(gx * gx + gy * gy) + 1e-6), 6) AS gv FROM g")
+def _(spark, d):
+    p = t(spark, d, "events").select(C("event_id").alias("id"), (C("value") - 10 * F.floor(C("value") / 10)).alias("u"), (C("event_id") * 7 % 1000 / 100.0).alias("v"))
+    q = p.join(p.select((C("id") - 1).alias("id"), C("u").alias("u2"), C("v").alias("v2")), "id")
+    a, b = [C("u"), C("v")], [C("u2"), C("v2")]
+    gu, gv = embed.torus_gradient(a, b)
+    return q.select("id", F.round(X.torus_distance(a, b, 10.0), 6).alias("d"), F.round(gu, 6).alias("gu"), F.round(gv, 6).alias("gv"))
+
+
 @query("graph_layout")
 def _(spark, d):
     return layout.graph_layout(_edges(spark, d, 15))
