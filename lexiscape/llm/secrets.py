@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscape.llm import text as T
+from lexiscape.session import Scratch
 
 KINDS = ("assign", "access", "hex", "novel")
 LEAST, NEAR, AFTER, WINDOW = 16, 64, 32, 400
@@ -84,8 +85,17 @@ def pieces(docs: DataFrame, n: int = PIECES) -> list[str]:
                     count.update(w for w in set(_PIECE.findall(x)) if len(w) <= 24 and (w[1:].islower() or w.isupper()))
             yield pa.record_batch([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["piece", "n"])
 
-    found = T.id_text(docs).select("text").mapInArrow(each, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r["piece"] for r in found.orderBy(F.desc("n"), "piece").limit(n).collect()]  # n short rows
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.table(T.id_text(docs).select("text").mapInArrow(each, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    size = F.floor(8 * F.log2("n")).cast("int")
+    left, least = n, 0
+    for r in sorted(found.groupBy(size.alias("size")).count().collect(), reverse=True):  # a row an eighth of a doubling
+        left, least = left - r["count"], r["size"]
+        if left <= 0:
+            break
+    few = found.where(size >= least).orderBy(F.desc("n"), "piece").limit(n).collect()  # else each task would send n rows
+    scratch.drop(found)
+    return [r["piece"] for r in few]
 
 
 def dictionary(own: list[str]) -> bytes:
