@@ -1,4 +1,4 @@
-"""Iterative models: ring SOM, unbalanced transport, pair accuracy, density clustering, encoders."""
+"""Iterative models: ring SOM, unbalanced transport, pair accuracy, encoders."""
 
 from __future__ import annotations
 
@@ -195,86 +195,6 @@ def pair_accuracy(rows: DataFrame, label: str, vector: str, pairs: list[tuple],
     return spark.createDataFrame(out, f"a {vec.schema['lab'].dataType.simpleString()}, b {vec.schema['lab'].dataType.simpleString()}, bal_acc double")
 
 
-def density_clusters(edges: DataFrame, min_cluster: int = 25, min_samples: int = 5) -> DataFrame:
-    """id, cluster (-1: noise): hierarchy of mutual reachability over the neighbour graph.
-
-    Core distances and edge weights are joins; the spanning forest and its condensed tree, one number a
-    row, are made in one task. For larger inputs, cut the graph by components first.
-    """
-    core = edges.where(F.col("rank") == min_samples).select(F.col("src").alias("id"), F.col("dist").alias("core"))
-    w = edges.join(core.withColumnRenamed("id", "src").withColumnRenamed("core", "c1"), "src").join(core.withColumnRenamed("id", "dst").withColumnRenamed("core", "c2"), "dst")
-    w = w.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.greatest("dist", "c1", "c2").alias("w")).distinct()
-    return w.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(lambda pdf: _condensed(pdf, min_cluster), "id long, cluster int")
-
-
-def _condensed(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Excess of mass over the single-linkage tree."""
-    ids = np.unique(np.concatenate([pdf.a, pdf.b]))
-    at = {int(x): i for i, x in enumerate(ids)}
-    n = len(ids)
-    parent, node = list(range(n)), list(range(n))
-    size, kids, level = [1] * n, [()] * n, [0.0] * n
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b, w in pdf.sort_values(["w", "a", "b"])[["a", "b", "w"]].itertuples(index=False):
-        x, y = find(at[int(a)]), find(at[int(b)])
-        if x != y:
-            parent[y] = x
-            size.append(size[node[x]] + size[node[y]])
-            kids.append((node[x], node[y]))
-            level.append(float(w))
-            node[x] = len(size) - 1
-    stability: dict[int, float] = {}
-    below: dict[int, list[int]] = {}
-
-    def members(t):
-        stack, out = [t], []
-        while stack:
-            u = stack.pop()
-            stack += kids[u]
-            if u < n:
-                out.append(u)
-        return out
-
-    chosen: list[int] = []
-    order, stack = [], [(node[r], 0.0) for r in {find(i) for i in range(n)} if size[node[r]] >= least]
-    while stack:
-        top, birth = stack.pop()
-        order.append(top)
-        score, t = 0.0, top
-        while True:
-            lam = 1 / max(level[t], 1e-12)
-            big = [k for k in kids[t] if size[k] >= least]
-            if len(big) == 1:
-                score += (lam - birth) * (size[t] - size[big[0]])
-                t = big[0]
-                continue
-            score += (lam - birth) * size[t]
-            below[top] = big if len(big) == 2 else []
-            stack += [(k, lam) for k in below[top]]
-            break
-        stability[top] = score
-    best: dict[int, float] = {}
-    picked: dict[int, list[int]] = {}
-    for top in reversed(order):
-        lower = sum(best[k] for k in below[top])
-        if below[top] and lower > stability[top]:
-            best[top], picked[top] = lower, [x for k in below[top] for x in picked[k]]
-        else:
-            best[top], picked[top] = stability[top], [top]
-    roots = [t for t in order if not any(t in b for b in below.values())]
-    chosen = sorted((x for r in roots for x in picked[r]), key=lambda t: min(members(t)))
-    out = np.full(n, -1)
-    for c, t in enumerate(chosen):
-        out[members(t)] = c
-    return pd.DataFrame({"id": ids, "cluster": out})
-
-
 def encode(rows: DataFrame, text: str, key: str, dimension: int = 256) -> DataFrame:
     """id, emb: hashed words weighted by rarity, to unit length; an encoder of one's own can stand in."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer

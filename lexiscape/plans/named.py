@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscape.functions import columns as X
-from lexiscape.operators import corpus, graph, keywords, knn, layout, mapserve, model, parse, places, ranks, taxonomy, terrain
+from lexiscape.operators import corpus, density, graph, keywords, knn, layout, mapserve, model, parse, places, ranks, taxonomy, terrain
 from lexiscape.plans.catalogue import query
 from lexiscape.session import Scratch
 from lexiscape.streaming import ingest
@@ -686,7 +686,7 @@ def _(spark, d):
 
 @query("hdbscan")
 def _(spark, d):
-    return model.density_clusters(_edges(spark, d, 15), 10)
+    return density.density_clusters(knn.materialised(_edges(spark, d, 15)), 10)
 
 
 _XML = '<grantAward id="P-{0}" projectType="project" awardNumber="{0}"><summary xml:lang="ja"><title>t{0}</title><keywordList><keyword> a </keyword><keyword>b</keyword></keywordList><periodOfAward searchStartFiscalYear="20{1}" searchEndFiscalYear="2025"/></summary></grantAward>'

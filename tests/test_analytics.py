@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiscape.functions import columns as X
-from lexiscape.operators import graph, keywords, knn, mapserve, model, ranks, terrain
+from lexiscape.operators import density, graph, keywords, knn, mapserve, model, ranks, terrain
 from lexiscape.sources import files
 
 
@@ -113,7 +113,7 @@ def test_models(spark, emb):
     rng = np.random.default_rng(2)
     pts = np.concatenate([rng.normal(0, 0.05, (40, 3)) + c for c in ([1, 0, 0], [0, 1, 0])])
     rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "vec_id long, embedding array<double>")
-    found = {r["id"]: r["cluster"] for r in model.density_clusters(knn.exact(rows, 15), 10).collect()}
+    found = {r["id"]: r["cluster"] for r in density.density_clusters(knn.materialised(knn.exact(rows, 15)), 10).collect()}
     assert len({found[i] for i in range(40)} - {-1}) == 1 and len({found[i] for i in range(40, 80)} - {-1}) == 1
     ring = model.ring_som(rows, np.eye(3), rounds=4, ring=12, wide=3.0)
     assert np.allclose(np.linalg.norm(ring, axis=1), 1)
