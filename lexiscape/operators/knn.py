@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiscape.functions.columns import dot, unit
+from lexiscape.functions.columns import dot, norm, unit
 from lexiscape.session import Scratch
 
-#: Bytes of the matrix that may be sent to every task; beyond it, queries and candidates meet in blocks.
+#: Bytes of the matrix that may be sent to every task; beyond it, rows are dealt to cells, in blocks of so many bytes and rows at most.
 SENT_BYTES, BLOCK_BYTES, BLOCK = 256 << 20, 32 << 20, 65_536
+#: Bytes of pivots that every task is sent.
+PIVOT_BYTES = 64 << 20
 EDGES = "src long, dst long, sim double"
 
 
@@ -43,14 +47,13 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def exact(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest others of every row. Equal vectors stay neighbours at distance 0; ties go to the smaller id.
+    """The k nearest others of every row. Equal vectors stay neighbours at distance 0; ties go to the smaller id; null and zero vectors take no part.
 
-    A matrix of up to SENT_BYTES is sent to all tasks. A larger one is cut into blocks of BLOCK_BYTES (and BLOCK rows at most) that
-    meet in pairs, each pair a task's group (a row is copied once a block, so large blocks move little), and
-    only k rows a query leave a pair.
+    A matrix of up to SENT_BYTES is sent to all tasks. Rows of a larger one are dealt to cells by their nearest pivot, and meet
+    only those blocks that can hold a neighbour of theirs (see `visits`).
     """
     spark = rows.sparkSession
-    x = rows.select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("v")).where("v is not null")
+    x = rows.select(F.col(key).cast("long").alias("id"), F.when(norm(F.col(vector)) > 0, unit(F.col(vector))).alias("v")).where("v is not null")
     n, width = x.agg(F.count("*"), F.max(F.size("v"))).first()
     if n * (width or 0) * 8 <= SENT_BYTES:
         table = x.orderBy("id").toArrow()
@@ -64,22 +67,125 @@ def exact(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding
                     yield from _top(b.column("id").to_numpy(), _matrix(b.column("v")), ids, m, k)
 
         found = x.repartition(spark.sparkContext.defaultParallelism).mapInArrow(each, EDGES)
-        order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     else:
-        blocks = max(1, -(-n // max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))))
-        own = x.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        every = F.sequence(F.lit(0), F.lit(blocks - 1))
-        q, c = own.select("id", "v", F.col("b").alias("qb"), F.explode(every).alias("cb")), own.select("id", "v", F.explode(every).alias("qb"), F.col("b").alias("cb"))
+        own, cells = celled(x, n, width)
+        met = within(own, k)
+        away = Scratch(spark).table(visits(met, cells, k))
+        pairs = away.select(F.col("home").alias("to"), F.col("target").alias("block")).distinct()
+        there = own.select("id", "v", "block").join(pairs, "block")
+
+        def meet(q: pa.Table, c: pa.Table) -> pa.Table:
+            got = list(_top(q["id"].to_numpy(), _matrix(q["v"].combine_chunks()), c["id"].to_numpy(), _matrix(c["v"].combine_chunks()), k)) if len(q) and len(c) else []
+            return pa.Table.from_batches(got) if got else pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+
+        found = away.groupBy("home", "target").cogroup(there.groupBy("to", "block")).applyInArrow(meet, EDGES)
+        near = met.select(F.col("id").alias("src"), F.explode(F.arrays_zip("dst", "sim")).alias("x")).select("src", "x.dst", "x.sim")
+        found = near.unionByName(found)
+    order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "rank", "dst", (1 - F.col("sim")).alias("dist"))
 
-        def meet(a, b):
-            import pandas as pd
 
-            got = list(_top(a["id"].to_numpy(), np.stack(a["v"].to_numpy()), b["id"].to_numpy(), np.stack(b["v"].to_numpy()), k)) if len(a) and len(b) else []
-            return pa.Table.from_batches(got).to_pandas() if got else pd.DataFrame({"src": [], "dst": [], "sim": []}).astype({"src": "int64", "dst": "int64", "sim": "float64"})
+@dataclass
+class Cells:
+    """Pivots, and of each cell the number of rows, the greatest distance to its pivot and the number of its blocks."""
 
-        found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, EDGES)
-        order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "rank", "dst", (1 - F.col("sim")).alias("dist"))
+    pivot: np.ndarray
+    rows: np.ndarray
+    radius: np.ndarray
+    blocks: np.ndarray
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of unit vectors, which the triangle inequality holds for."""
+    return np.sqrt(np.maximum(0, 2 - 2 * (x @ y.T)))
+
+
+def celled(x: DataFrame, n: int, width: int) -> tuple[DataFrame, Cells]:
+    """Rows (id, v) with cell and block: the cell of the nearest pivot, cut by hash into blocks of bounded size.
+
+    Pivots are different vectors of a hashed sample, one for each block that the rows fill; tasks return a row a cell.
+    """
+    spark = x.sparkSession
+    most = max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))
+    wanted = max(1, min(-(-n // most), PIVOT_BYTES // (8 * width)))
+    share = max(1, n // (2 * wanted))
+    sample = x.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(wanted).toArrow()  # PIVOT_BYTES at most
+    sample = sample if len(sample) else x.limit(wanted).toArrow()
+    pivot = np.unique(_matrix(sample.column("v").combine_chunks()), axis=0)
+    sent = spark.sparkContext.broadcast(pivot)
+
+    def assign(batches):
+        for b in batches:
+            if b.num_rows:
+                d = _apart(_matrix(b.column("v")), sent.value)
+                at = d.argmin(axis=1)
+                yield pa.record_batch([b.column("id"), b.column("v"), pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at])], names=["id", "v", "cell", "away"])
+
+    t = Scratch(spark).table(x.mapInArrow(assign, "id long, v array<double>, cell int, away double"))
+    cells = Cells(pivot, *(np.zeros(len(pivot)) for _ in range(2)), np.ones(len(pivot), np.int64))
+    for r in t.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).toLocalIterator():  # a row a pivot
+        cells.rows[r["cell"]], cells.radius[r["cell"]], cells.blocks[r["cell"]] = r["n"], r["r"], -(-r["n"] // most)
+    first = np.cumsum(cells.blocks) - cells.blocks
+    many, start = spark.sparkContext.broadcast(cells.blocks), spark.sparkContext.broadcast(first)
+
+    @F.pandas_udf("int")
+    def block(cell: pd.Series, h: pd.Series) -> pd.Series:
+        c = cell.to_numpy()
+        return pd.Series((start.value[c] + h.to_numpy() % many.value[c]).astype(np.int32))
+
+    return t.withColumn("block", block("cell", F.xxhash64("id"))).drop("away"), cells
+
+
+def within(own: DataFrame, k: int) -> DataFrame:
+    """id, v, cell, block, dst, sim: the k nearest in a row's own block, written once."""
+
+    def each(t: pa.Table) -> pa.Table:
+        ids, v = t["id"].to_numpy(), _matrix(t["v"].combine_chunks())
+        order = np.argsort(ids, kind="stable")
+        dst, sim = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
+        for got in _top(ids, v, ids[order], v[order], k):
+            src, d, s = (got.column(c).to_numpy() for c in range(3))
+            for part in np.split(np.arange(len(src)), np.flatnonzero(np.diff(src)) + 1):
+                for i in order[slice(*np.searchsorted(ids[order], [src[part[0]], src[part[0]] + 1]))]:
+                    dst[i], sim[i] = d[part], s[part]
+        return t.append_column("dst", pa.array(dst, pa.list_(pa.int64()))).append_column("sim", pa.array(sim, pa.list_(pa.float64())))
+
+    return Scratch(own.sparkSession).table(own.groupBy("block").applyInArrow(each, "id long, v array<double>, cell int, block int, dst array<long>, sim array<double>"))
+
+
+def visits(met: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """id, v, home, target: the other blocks that may hold one of a row's k nearest.
+
+    At most as far as its k-th nearest lies the k-th of the row's own block, and the far side of any cell with k + 1 rows. A cell
+    whose rows all lie farther is passed over: they are no nearer than the distance to its pivot less its radius, nor, since they are
+    nearer to its pivot than to the row's, than the row is to the plane between the two pivots.
+    """
+    sent = met.sparkSession.sparkContext.broadcast((cells, _apart(cells.pivot, cells.pivot)))
+
+    def each(batches):
+        c, between = sent.value
+        first = np.cumsum(c.blocks) - c.blocks
+        for whole in batches:
+            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                ids, cell, home = b.column("id").to_numpy(), b.column("cell").to_numpy(), b.column("block").to_numpy()
+                d = _apart(_matrix(b.column("v")), c.pivot)
+                reach = np.array([np.sqrt(max(0.0, 2 - 2 * s[k - 1])) if len(s) >= k else np.inf for s in b.column("sim").to_pylist()])
+                full = c.rows > k
+                if full.any():
+                    reach = np.minimum(reach, (d + c.radius)[:, full].min(axis=1))
+                own = d[np.arange(len(ids)), cell][:, None]
+                plane = (d * d - own * own) / np.maximum(2 * between[cell], 1e-12)
+                least = np.maximum(d - c.radius, np.where(np.arange(len(c.pivot)) == cell[:, None], 0, plane))
+                row, to = np.nonzero((least <= reach[:, None] + 1e-6) & (c.rows > 0))
+                many = c.blocks[to]
+                row, target = np.repeat(row, many), np.repeat(first[to], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                go = target != home[row]
+                row, target = row[go], target[go]
+                for i in range(0, len(row), 4096):
+                    at = pa.array(row[i : i + 4096])
+                    yield pa.record_batch([b.column("id").take(at), b.column("v").take(at), pa.array(home[row[i : i + 4096]]), pa.array(target[i : i + 4096].astype(np.int32))], names=["id", "v", "home", "target"])
+
+    return met.select("id", "v", "cell", "block", "sim").mapInArrow(each, "id long, v array<double>, home int, target int")
 
 
 def distances(edges: DataFrame, k: int = 15) -> DataFrame:

@@ -16,6 +16,26 @@ def emb(spark, small):
     return spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id < 120")
 
 
+@pytest.mark.parametrize("spread,least", [(0.05, 0.25), (1.0, 1.01)])
+def test_knn_by_cells(spark, monkeypatch, spread, least):
+    """Same edges with copies, ties and odd rows; where rows lie in clumps, few blocks are visited."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(12, 6))
+    rows = [(i, [float(x) for x in centre[i % 12] + rng.normal(size=6) * spread]) for i in range(600)]
+    rows += [(1000 + i, rows[3][1]) for i in range(60)] + [(2000, [0.0] * 6), (2001, None), (2002, [2 * x for x in rows[5][1]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = sorted(tuple(r) for r in knn.exact(df, 7).collect())
+    monkeypatch.setattr(knn, "SENT_BYTES", 0)
+    monkeypatch.setattr(knn, "BLOCK", 25)
+    assert sorted(tuple(r) for r in knn.exact(df, 7).collect()) == want
+    x = df.where("vec_id <> 2000").select(F.col("vec_id").alias("id"), X.unit(F.col("embedding")).alias("v")).where("vec_id <> 2000 and v is not null")
+    own, cells = knn.celled(x, x.count(), 6)
+    blocks = own.select("block").distinct().count()
+    assert blocks > 25 and own.groupBy("block").count().agg({"count": "max"}).first()[0] <= 60
+    copies = knn.visits(knn.within(own, 7), cells, 7).count() / x.count()
+    assert copies < least * blocks
+
+
 def test_knn_forms_agree(spark, emb, monkeypatch):
     a = sorted(tuple(r) for r in knn.exact(emb, 5).collect())
     monkeypatch.setattr(knn, "SENT_BYTES", 0)
