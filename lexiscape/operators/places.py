@@ -106,8 +106,8 @@ def coordinate_colours(rows: DataFrame, key: str, light: float = 0.63, spread: f
 
     t = rows.select(F.col(key).alias("id"), array_to_vector(F.array(*(F.col(f"c{i}").cast("double") for i in range(3)))).alias("v"))
     t = PCA(k=3, inputCol="v", outputCol="p").fit(t).transform(t).select("id", vector_to_array("p").alias("p")).select("id", *(F.col("p")[i].alias(f"p{i}") for i in range(3)))
-    ends = t.agg(*(F.percentile_approx(f"p{i}", F.array(F.lit(0.02), F.lit(0.98)), 100_000).alias(f"p{i}") for i in range(3))).first()
-    part = [clip((F.col(f"p{i}") - (ends[f"p{i}"][0] + ends[f"p{i}"][1]) / 2) / (((ends[f"p{i}"][1] - ends[f"p{i}"][0]) / 2) or 1.0), -1.0, 1.0) for i in range(3)]
+    ends = [[x or 0.0 for x in quantile_values(t, f"p{i}", 0.02, 0.98)] for i in range(3)]
+    part = [clip((F.col(f"p{i}") - (lo + hi) / 2) / (((hi - lo) / 2) or 1.0), -1.0, 1.0) for i, (lo, hi) in enumerate(ends)]
     t = t.select("id", (light + spread * part[2]).alias("l"), F.hypot(part[0] * chroma, part[1] * chroma).alias("c"), F.atan2(part[1], part[0]).alias("h"))
     t = t.withColumn("c", clamped_chroma(F.col("l"), F.col("c"), F.col("h")))
     return t.select("id", *(x.alias(n) for x, n in zip(rgb255(F.col("l"), F.col("c") * F.cos("h"), F.col("c") * F.sin("h")), "rgb")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiscape.functions.columns import dot, norm
 from lexiscape.operators import ranks
+from lexiscape.session import Scratch
 
 
 def correlations(rows: DataFrame, *metrics: str, share: float = 0.05) -> DataFrame:
@@ -41,14 +42,16 @@ def rank_medians(rows: DataFrame, group: Column, *metrics: str) -> DataFrame:
     out = None
     for m in metrics:
         q = ranks.quantiles(rows.select(group.alias("grp"), F.col(m).alias("v")), "v")
-        one = q.groupBy("grp").agg(F.lit(m).alias("metric"), F.count("*").alias("n"), F.percentile("q", 0.5).alias("median"))
+        n = q.groupBy(F.col("grp").alias("_g")).agg(F.count("*").alias("n"))
+        one = ranks.group_quantiles(q, ["grp"], "q", median=0.5).join(n, F.col("grp").eqNullSafe(F.col("_g"))).select("grp", F.lit(m).alias("metric"), "n", "median")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def by_year(rows: DataFrame, year: str, value: str, baseline: DataFrame) -> DataFrame:
     """year, n, median, p75 beside a baseline's (year, base_median, base_p75)."""
-    own = rows.where(F.col(value).isNotNull()).groupBy(F.col(year).alias("year")).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.75).alias("p75"))
+    t = rows.where(F.col(value).isNotNull()).select(F.col(year).alias("year"), F.col(value).alias("v"))
+    own = ranks.group_quantiles(t, ["year"], "v", median=0.5, p75=0.75).join(t.groupBy("year").agg(F.count("*").alias("n")), "year")
     return baseline.join(own, "year", "left").select("year", F.coalesce("n", F.lit(0)).alias("n"), "median", "p75", "base_median", "base_p75")
 
 
@@ -85,9 +88,9 @@ def similarity_spread(rows: DataFrame, key: str, vector: str, strides: int = 10)
 
     t = dense_id(rows.select(F.col(key).alias("id"), F.col(vector).alias("v")), "id")
     ahead = t.select(F.explode(F.sequence(F.lit(1), F.lit(strides))).alias("s"), "uid", "v").select((F.col("uid") + F.col("s")).alias("uid"), F.col("v").alias("w"))
-    sim = t.join(ahead, "uid").select((dot(F.col("v"), F.col("w")) / (norm(F.col("v")) * norm(F.col("w")))).alias("sim"))
-    q = F.percentile_approx("sim", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95)), 100_000)
-    return sim.agg(F.count("*").alias("n"), q.alias("q")).select("n", *(F.col("q")[i].alias(c) for i, c in enumerate(("median", "p5", "p95"))))
+    sim = Scratch(rows.sparkSession).table(t.join(ahead, "uid").select((dot(F.col("v"), F.col("w")) / (norm(F.col("v")) * norm(F.col("w")))).alias("sim")))
+    got = ranks.quantile_values(sim, "sim", nearest=(0.5, 0.05, 0.95))
+    return sim.agg(F.count("*").alias("n")).select("n", *(F.lit(x).cast("double").alias(c) for x, c in zip(got, ("median", "p5", "p95"))))
 
 
 def card(name: str, tables: dict[str, DataFrame]) -> str:

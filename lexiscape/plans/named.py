@@ -88,13 +88,15 @@ def _(spark, d):
 @query("case_group_stats", "SELECT CASE WHEN starts_with(p_type,'S') THEN 'a' WHEN p_brand IN ('Brand#11','Brand#12') THEN 'b' WHEN p_size=1 THEN 'c' ELSE 'd' END AS grp, count(*) AS n, median(p_retailprice) AS med_price, round(avg(p_retailprice),6) AS avg_price, median(p_size)::DOUBLE AS med_size, round(avg(p_size),6) AS avg_size FROM part GROUP BY ALL")
 def _(spark, d):
     grp = F.when(C("p_type").startswith("S"), "a").when(C("p_brand").isin("Brand#11", "Brand#12"), "b").when(C("p_size") == 1, "c").otherwise("d")
-    return t(spark, d, "part").groupBy(grp.alias("grp")).agg(F.count("*").alias("n"), F.percentile("p_retailprice", 0.5).alias("med_price"), F.round(F.avg("p_retailprice"), 6).alias("avg_price"), F.percentile("p_size", 0.5).alias("med_size"), F.round(F.avg("p_size"), 6).alias("avg_size"))
+    p = t(spark, d, "part").withColumn("grp", grp)
+    means = p.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 6).alias("avg_price"), F.round(F.avg("p_size"), 6).alias("avg_size"))
+    return means.join(ranks.group_quantiles(p, ["grp"], "p_retailprice", med_price=0.5), "grp").join(ranks.group_quantiles(p, ["grp"], "p_size", med_size=0.5), "grp")
 
 
 @query("group_pivot_median", "SELECT p_brand, median(p_retailprice) FILTER (p_size%3=0) AS g0, median(p_retailprice) FILTER (p_size%3=1) AS g1, median(p_retailprice) FILTER (p_size%3=2) AS g2 FROM part GROUP BY ALL")
 def _(spark, d):
     p = t(spark, d, "part").withColumn("g", F.concat(F.lit("g"), C("p_size") % 3))
-    return p.groupBy("p_brand").pivot("g", ["g0", "g1", "g2"]).agg(F.percentile("p_retailprice", 0.5))
+    return ranks.group_quantiles(p, ["p_brand", "g"], "p_retailprice", m=0.5).groupBy("p_brand").pivot("g", ["g0", "g1", "g2"]).agg(F.max("m"))  # a row a group
 
 
 _RANK = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0})-1)/2.0)"
@@ -200,7 +202,9 @@ def _(spark, d):
 @query("isolated_by_label", f"WITH {_knn(15)}, x AS ({_D}), q AS (SELECT id, dk, rank() OVER (ORDER BY round(dk,9)) AS r0, count(*) OVER (PARTITION BY round(dk,9)) AS c, count(*) OVER () AS n FROM x), z AS (SELECT id, dk, (r0+(c-1)/2.0)/n AS q FROM q) SELECT l.label, count(*) AS n, round(median(dk),6) AS med_dk, round(avg(dk),6) AS avg_dk, round(avg(q),6) AS mean_q, round(avg((q>0.9)::INT),6) AS high FROM z JOIN embeddings l ON l.vec_id=z.id GROUP BY ALL")
 def _(spark, d):
     q = ranks.quantiles(knn.distances(_edges(spark, d, 15)).withColumn("v", F.round("dk_mean", 9)), "v")
-    return q.join(_emb(spark, d).select(C("vec_id").alias("id"), "label"), "id").groupBy("label").agg(F.count("*").alias("n"), F.round(F.percentile("dk_mean", 0.5), 6).alias("med_dk"), F.round(F.avg("dk_mean"), 6).alias("avg_dk"), F.round(F.avg("q"), 6).alias("mean_q"), F.round(F.avg((C("q") > 0.9).cast("double")), 6).alias("high"))
+    q = Scratch(spark).table(q.join(_emb(spark, d).select(C("vec_id").alias("id"), "label"), "id"))
+    n = q.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("dk_mean"), 6).alias("avg_dk"), F.round(F.avg("q"), 6).alias("mean_q"), F.round(F.avg((C("q") > 0.9).cast("double")), 6).alias("high"))
+    return n.join(ranks.group_quantiles(q, ["label"], "dk_mean", med_dk=0.5).withColumn("med_dk", F.round("med_dk", 6)), "label")
 
 
 _CENT = "mu AS (SELECT i, avg(w[i]) AS m FROM e, range(1,65) t(i) GROUP BY i), c AS (SELECT lab, i, avg(w[i])-any_value(m) AS x FROM e JOIN mu ON true WHERE lab<>9 GROUP BY lab, i), cn AS (SELECT lab, sqrt(sum(x*x)) AS n FROM c GROUP BY lab), dd AS (SELECT a.lab AS a, b.lab AS b, 1-sum(a.x*b.x)/any_value(p.n*q.n) AS d FROM c a JOIN c b ON a.i=b.i AND a.lab<>b.lab JOIN cn p ON p.lab=a.lab JOIN cn q ON q.lab=b.lab GROUP BY ALL)"

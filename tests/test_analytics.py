@@ -173,3 +173,18 @@ def test_version_by_groups(spark):
     assert mapserve.version(rows, 4) != mapserve.version(rows.withColumn("hash", F.when(F.col("page") == 7, "x").otherwise(F.col("hash"))), 4)
     assert mapserve.version(rows, 4) == mapserve.version(rows.repartition(7), 4)
     assert mapserve.version(rows, 50) == mapserve.version(rows, 4096)
+
+
+def test_quantiles_by_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot", None, float(round(x, 1))) for x in rng.normal(size=3000)] + [(None, 1, float(i)) for i in range(4)] + [("b", 2, 7.0), ("b", 2, None), ("c", 3, None)] + [("d", i % 3, float(x)) for i, x in enumerate(rng.normal(size=100))]
+    df = spark.createDataFrame(rows, "g string, h int, v double").repartition(5)
+    got = {(r["g"], r["h"]): (r["lo"], r["mid"], r["hi"]) for r in ranks.group_quantiles(df, ["g", "h"], "v", lo=0.1, mid=0.5, hi=1.0).collect()}
+    want = {}
+    for g, h, v in rows:
+        if v is not None:
+            want.setdefault((g, h), []).append(v)
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(tuple(np.quantile(v, [0.1, 0.5, 1.0])))
+    assert ranks.group_quantiles(df.limit(0), ["g"], "v", m=0.5).count() == 0
