@@ -54,11 +54,11 @@ def quantile_values(rows: DataFrame, value: str, *shares: float, nearest: tuple[
     return [at[math.floor(h)] + (at[math.ceil(h)] - at[math.floor(h)]) * (h - math.floor(h)) for h in spots] + [at[k] for k in last]
 
 
-def group_quantiles(rows: DataFrame, by: list[str], value: str, **shares: float) -> DataFrame:
-    """The columns of `by`, and under each given name that linear quantile of the group's values; groups without any value have none.
+def _group_cumulated(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The columns of `by`, _v, _c, before, n: how often a value stands in its group, how many of the group's rows lie before it, and all of them.
 
     Equal values of a group are one counted row; counted rows are dealt by ranges of group and value, and summed up to each place, so that a group of
-    most rows spans many tasks; a row a group and range carries what lies before. Of each group at most two rows a share are kept.
+    most rows spans many tasks; a row a group and range carries what lies before.
     """
     t = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     t = t.repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id())
@@ -68,7 +68,15 @@ def group_quantiles(rows: DataFrame, by: list[str], value: str, **shares: float)
     own, every = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = size.select(F.col("_p").alias("_q"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_a"), F.sum("_n").over(own).alias("n"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], F.col("_p") == F.col("_q"))
-    at = t.join(before, same).select(*by, F.col("_v").cast("double").alias("_v"), "n", (F.col("_a") + F.col("_b")).alias("lo"), (F.col("_a") + F.col("_b") + F.col("_c")).alias("hi"))
+    return t.join(before, same).select(*by, "_v", "_c", (F.col("_a") + F.col("_b")).alias("before"), "n")
+
+
+def group_quantiles(rows: DataFrame, by: list[str], value: str, **shares: float) -> DataFrame:
+    """The columns of `by`, and under each given name that linear quantile of the group's values; groups without any value have none.
+
+    Of each group at most two counted rows a share are kept.
+    """
+    at = _group_cumulated(rows, by, value).select(*by, F.col("_v").cast("double").alias("_v"), "n", F.col("before").alias("lo"), (F.col("before") + F.col("_c")).alias("hi"))
     spot = {name: F.lit(q) * (F.col("n") - 1) for name, q in shares.items()}
     holds = lambda k: (F.col("lo") <= k) & (F.col("hi") > k)
     kept = at.where(reduce(lambda a, b: a | b, [holds(f(h)) for h in spot.values() for f in (F.floor, F.ceil)]))
@@ -77,6 +85,15 @@ def group_quantiles(rows: DataFrame, by: list[str], value: str, **shares: float)
     return got.select(*by, *((F.col(f"{name}_x") + (F.col(f"{name}_y") - F.col(f"{name}_x")) * (h - F.floor(h))).alias(name) for name, h in spot.items()))
 
 
+def group_spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """The column `by`, rho: the rank correlation within each group, over rows with both values."""
+    t = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(by).alias("g"), F.col(a).alias("a"), F.col(b).alias("b"))
+    for c in ("a", "b"):
+        r = _group_cumulated(t, ["g"], c).select(F.col("g").alias("_g"), "_v", (F.col("before") + (F.col("_c") + 1) / F.lit(2.0)).alias(f"r{c}"))
+        t = t.join(r, F.col("g").eqNullSafe(F.col("_g")) & (F.col(c) == F.col("_v"))).drop("_g", "_v")
+    return t.groupBy(F.col("g").alias(by)).agg(F.corr("ra", "rb").alias("rho"))
+
+
 def places(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Adds the average rank of value, from 1, and n, the number of rows."""
     return rows.join(rank_table(rows, value, name), F.col(value).eqNullSafe(F.col("_v"))).drop("_v")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiscape.operators.layout import uniform
+from lexiscape.session import Scratch
 
 
 def cell(x: Column, lo: float, hi: float, n: int) -> Column:
@@ -282,20 +283,84 @@ def sphere_regions(field: DataFrame, n: int, sigma: float, share: float = 0.03,
     return field.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(lambda pdf: one(pdf), "node long, region int")
 
 
-def split_regions(points: DataFrame, regions: DataFrame, limit: int, key: str = "id") -> DataFrame:
-    """id, sector: regions of over `limit` points are cut by k-means into ceil(n / limit); sector = region * 1000 + c + 1."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def split_regions(points: DataFrame, regions: DataFrame, limit: int, key: str = "id", starts: int = 4, rounds: int = 20) -> DataFrame:
+    """id, sector: regions of over `limit` points are cut by k-means into ceil(n / limit); sector = region * 1000 + c + 1.
 
-    rows = points.join(regions, key)
-    size = {r["region"]: r["count"] for r in rows.groupBy("region").count().where(F.col("count") > limit).collect()}
-    out = rows.where(~F.col("region").isin(list(size) or [-1])).select(key, (F.col("region") * 1000 + 1).alias("sector"))
-    for region, n in sorted(size.items()):
-        own = rows.where(F.col("region") == region).select(key, array_to_vector(F.array("x", "y", "z")).alias("features"))
-        fits = [KMeans(k=-(-n // limit), seed=s, maxIter=20).fit(own) for s in range(4)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        out = out.unionByName(best.transform(own).select(key, (F.lit(region) * 1000 + F.col("prediction") + 1).alias("sector")))
-    return out
+    All regions and starts go on together: a round is one job, which adds up each centre's points in the tasks. Starts are
+    k-means++ on a hashed sample of about SEEDS points a centre; of a region's starts the cheapest stays. Tasks are sent the centres (starts
+    for every `limit` points), sums come back a row a centre.
+    """
+    spark = points.sparkSession
+    scratch = Scratch(spark)
+    rows = scratch.table(points.join(regions, key).select(key, F.col("region").cast("long").alias("region"), "x", "y", "z"))
+    size = {r["region"]: r["count"] for r in rows.groupBy("region").count().where(F.col("count") > limit).collect()}  # a row a region
+    whole = rows.where(~F.col("region").isin(list(size) or [-1])).select(key, (F.col("region") * 1000 + 1).alias("sector"))
+    if not size:
+        return whole
+    parts = {r: -(-n // limit) for r, n in size.items()}
+    shares = spark.createDataFrame([(r, min(1.0, SEEDS * parts[r] / n), parts[r]) for r, n in size.items()], "region long, share double, parts int")
+    own = scratch.table(rows.join(F.broadcast(shares), "region"))  # a row a region
+
+    def seeded(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        x, k, out = pdf[["x", "y", "z"]].to_numpy(), int(pdf.parts.iloc[0]), []
+        for s in range(starts):
+            rng = np.random.default_rng([s, int(pdf.region.iloc[0])])
+            centre = [x[rng.integers(len(x))]]
+            far = ((x - centre[0]) ** 2).sum(axis=1)
+            while len(centre) < k:
+                centre.append(x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))])
+                far = np.minimum(far, ((x - centre[-1]) ** 2).sum(axis=1))
+            out += [(int(pdf.region.iloc[0]), s, c, *p) for c, p in enumerate(centre)]
+        return pd.DataFrame(out, columns=["region", "start", "c", "x", "y", "z"])
+
+    sample = own.where(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    seeds = sample.groupBy("region").applyInPandas(seeded, "region long, start int, c int, x double, y double, z double").toLocalIterator()
+    centre = {r: np.zeros((starts, k, 3)) for r, k in parts.items()}
+    for s in seeds:
+        centre[s["region"]][s["start"], s["c"]] = s["x"], s["y"], s["z"]
+
+    def totals(batches, sent):
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
+        for pdf in batches:
+            for r, part in pdf.groupby("region"):
+                x = part[["x", "y", "z"]].to_numpy()
+                for s, c in enumerate(sent.value[r]):
+                    d = ((x[:, None] - c) ** 2).sum(axis=2)
+                    to = d.argmin(axis=1)
+                    for i in np.unique(to):
+                        own = x[to == i]
+                        total = np.array([len(own), *own.sum(axis=0), d[to == i, i].sum()])
+                        sums[r, s, int(i)] = sums.get((r, s, int(i)), 0) + total
+        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["region", "start", "c", "n", "sx", "sy", "sz", "cost"])
+
+    cost: dict[tuple[int, int], float] = {}
+    for i in range(rounds + 1):
+        sent = spark.sparkContext.broadcast(centre)
+        got = own.mapInPandas(lambda batches: totals(batches, sent), "region long, start int, c int, n double, sx double, sy double, sz double, cost double")
+        cost, before = {}, cost
+        new = {r: c.copy() for r, c in centre.items()}
+        for t in got.groupBy("region", "start", "c").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sz", "cost"))).toLocalIterator():
+            new[t["region"]][t["start"], t["c"]] = np.array([t["sx"], t["sy"], t["sz"]]) / t["n"]
+            cost[t["region"], t["start"]] = cost.get((t["region"], t["start"]), 0.0) + t["cost"]
+        if i == rounds or before and all(before[k] - v <= 1e-4 * v for k, v in cost.items()):
+            break
+        centre = new
+    best = spark.sparkContext.broadcast({r: c[min(range(starts), key=lambda s: (cost[r, s], s))] for r, c in centre.items()})
+
+    def assigned(batches):
+        for pdf in batches:
+            to = np.zeros(len(pdf), int)
+            for r in pdf.region.unique():
+                at = (pdf.region == r).to_numpy()
+                to[at] = ((pdf.loc[at, ["x", "y", "z"]].to_numpy()[:, None] - best.value[r]) ** 2).sum(axis=2).argmin(axis=1)
+            yield pd.DataFrame({key: pdf[key], "sector": pdf.region * 1000 + to + 1})
+
+    return whole.unionByName(own.mapInPandas(assigned, f"{key} {dict(rows.dtypes)[key]}, sector long"))
+
+
+#: Points a centre that starts are chosen from.
+SEEDS = 64
 
 
 def ocean(points: DataFrame, spark: SparkSession, probes: int = 40_000, degrees: tuple[float, ...] = (1.0, 2.0, 4.0)) -> DataFrame:

@@ -676,16 +676,27 @@ def _(spark, d):
     return model.layout(_emb(spark, d), "embedding", "vec_id")
 
 
-@query("uot_surplus")
-def _(spark, d):
+def _transport(spark, d):
     e = _emb(spark, d).withColumn("year", 2019 + C("vec_id") % 7)
     n = min(10_000, max(1, e.count() // 10))  # the usual number of standards, or a tenth of a table that is too small for it
-    return model.surplus(e, "vec_id", "embedding", "year", least_past=2 * n, standards=n)
+    return (e, "vec_id", "embedding", "year"), {"least_past": 2 * n, "standards": n}
+
+
+@query("uot_surplus")
+def _(spark, d):
+    rows, how = _transport(spark, d)
+    return model.surplus(*rows, **how)
+
+
+@query("uot_years")
+def _(spark, d):
+    rows, how = _transport(spark, d)
+    return model.surplus_years(model.transported(*rows, **how)[1])
 
 
 @query("pair_accuracy")
 def _(spark, d):
-    return model.pair_accuracy(_emb(spark, d), "label", "embedding", [(0, 1)], folds=3, components=20)
+    return model.pair_accuracy(_emb(spark, d), "label", "embedding")
 
 
 @query("hdbscan")
