@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscape.operators.graph import connected_components
+from lexiscape.operators.graph import connected_components, followed
 from lexiscape.operators.mapserve import dense_id
 from lexiscape.session import Scratch
 
@@ -33,19 +33,6 @@ def reachability(edges: DataFrame, min_samples: int = 5) -> DataFrame:
     return w.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min(F.greatest("dist", "c1", "c2")).alias("w"))
 
 
-def _followed(pointers: DataFrame, scratch: Scratch) -> DataFrame:
-    """c, root: pointers (c, o) followed until they end in themselves."""
-    now = scratch.table(pointers.select("c", F.col("o").alias("root")))
-    while True:
-        hop = now.select(F.col("c").alias("at"), F.col("root").alias("next"))
-        two = now.withColumn("at", F.col("root")).join(hop, "at").select("c", "root", F.col("next").alias("at")).join(hop, "at")
-        after = scratch.table(two.select("c", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        scratch.drop(now)
-        if not after.where("moved").limit(1).count():
-            return after.select("c", "root")
-        now = after
-
-
 def spanning_forest(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """a, b, w of the minimum spanning forest of undirected edges (a, b, w); equal weights in order of a and b."""
     scratch = scratch or Scratch(edges.sparkSession)
@@ -58,7 +45,7 @@ def spanning_forest(edges: DataFrame, scratch: Scratch | None = None) -> DataFra
         parts.append(pick.select("a", "b", "w"))
         other = pick.select(F.col("c").alias("o"), F.col("a").alias("oa"), F.col("b").alias("ob"))
         mutual = (F.col("a") == F.col("oa")) & (F.col("b") == F.col("ob")) & (F.col("c") < F.col("o"))  # two that pick one edge: the smaller is the end
-        root = _followed(pick.join(other, "o").select("c", F.when(mutual, F.col("c")).otherwise(F.col("o")).alias("o")), scratch)
+        root = followed(pick.join(other, "o").select("c", F.when(mutual, F.col("c")).otherwise(F.col("o")).alias("o")), scratch)
         t = e.join(root.select(F.col("c").alias("ca"), F.col("root").alias("ra")), "ca").join(root.select(F.col("c").alias("cb"), F.col("root").alias("rb")), "cb").where("ra <> rb")
         least = t.groupBy(F.least("ra", "rb").alias("ca"), F.greatest("ra", "rb").alias("cb")).agg(F.min(F.struct("w", "a", "b")).alias("x"))
         after = scratch.table(least.select("x.a", "x.b", "x.w", "ca", "cb"))

@@ -60,6 +60,19 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, whole
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def followed(pointers: DataFrame, scratch: Scratch) -> DataFrame:
+    """c, root: pointers (c, o) followed until they end in themselves, three steps of the last round at once."""
+    now = scratch.table(pointers.select("c", F.col("o").alias("root")))
+    while True:
+        hop = now.select(F.col("c").alias("at"), F.col("root").alias("next"))
+        two = now.withColumn("at", F.col("root")).join(hop, "at").select("c", "root", F.col("next").alias("at")).join(hop, "at")
+        after = scratch.table(two.select("c", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        scratch.drop(now)
+        if not after.where("moved").limit(1).count():
+            return after.select("c", "root")
+        now = after
+
+
 def component_sizes(edges: DataFrame, nodes: DataFrame, scratch: Scratch | None = None, whole: int = 0) -> DataFrame:
     """component, n of the undirected graph on some nodes (id) only, isolated ones included."""
     kept = edges.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi")

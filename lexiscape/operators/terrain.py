@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiscape.operators.graph import followed
 from lexiscape.operators.layout import uniform
+from lexiscape.operators.mapserve import dense_id
+from lexiscape.operators.ranks import quantile_values
 from lexiscape.session import Scratch
 
 
@@ -152,36 +155,84 @@ def box_peaks(field: DataFrame, radius: int, share: float = 0.0, n: int | None =
     return (out.where(F.col("region") <= n) if n else out).select("region", "ix", "iy", "height")
 
 
-def flood(height: dict, neighbours, peaks: list, floor: float) -> dict:
-    """Priority flood from peaks, highest first (ties: the earlier); cells at or below the floor stay sea."""
-    label, heap, tick = {}, [], 0
-    for region, at in peaks:
-        label[at] = region
-        heap.append((-height[at], tick, at))
-        tick += 1
+#: Cells of a tile that a task floods at once (aimed at).
+TILE = 1 << 14
+
+
+def _rise(key: tuple, cells: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Floods a tile from its own marked cells and from what has reached its border: id, b, moved."""
+    cells = cells.sort_values("id")
+    ids, rank, level = cells.id.to_numpy(), cells["rank"].to_numpy(), cells.b.to_numpy().copy()
+    before, heap = level.copy(), []
+    to = np.searchsorted(ids, edges.j.to_numpy())
+    inside = (edges.tile_i == key[0]).to_numpy()
+    come = np.minimum(rank[to[~inside]], edges.bi.to_numpy()[~inside])
+    np.maximum.at(level, to[~inside], come)
+    start = (level > before) | (cells.fresh.to_numpy() & (level >= 0))
+    frm, dst = np.searchsorted(ids, edges.i.to_numpy()[inside]), to[inside]
+    order = np.argsort(frm, kind="stable")
+    frm, dst = frm[order], dst[order]
+    first = np.searchsorted(frm, np.arange(len(ids) + 1))
+    reach, tops, near = level.tolist(), rank.tolist(), dst.tolist()
+    heap = [(-reach[i], i) for i in np.flatnonzero(start).tolist()]
     heapq.heapify(heap)
+    first = first.tolist()
     while heap:
-        _, _, at = heapq.heappop(heap)
-        for other in neighbours(at):
-            if other not in label and height.get(other, 0.0) > floor:
-                label[other] = label[at]
-                heapq.heappush(heap, (-height[other], tick, other))
-                tick += 1
-    return label
+        b, i = heapq.heappop(heap)
+        if -b < reach[i]:
+            continue
+        for j in near[first[i] : first[i + 1]]:
+            c = min(tops[j], -b)
+            if c > reach[j]:
+                reach[j] = c
+                heapq.heappush(heap, (-c, j))
+    level = np.array(reach, np.int64)
+    return pd.DataFrame({"id": ids, "b": level, "moved": level > before})
+
+
+def flooded(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, region (0: not reached): a priority flood from marked cells, highest first (equal heights: the smaller id), in tiles.
+
+    cells: id, height, region (of a marked cell, else null), tile; edges: i, j, where the flood may go from i to j.
+    First the level at which the flood reaches each cell: the lowest cell of the best way from a marked one. A task floods a tile from
+    what has reached its border, and rounds go on until no border rises; no task holds more than a tile. Then each cell points to where its flood
+    came from (its neighbour that was reached first, or, behind a pass, the pass), and pointers are followed to their marked cells.
+    """
+    scratch = Scratch(cells.sparkSession)
+    c = scratch.table(dense_id(cells.withColumn("k", F.struct("height", (-F.col("id")).alias("m"))), "k", "rank").select("id", "rank", "region", "tile"))
+    ends = lambda p: c.select(F.col("id").alias(p), F.col("tile").alias(f"tile_{p}"))
+    e = scratch.table(edges.select("i", "j").join(ends("i"), "i").join(ends("j"), "j"))
+    now = scratch.table(c.select("id", "rank", "tile", F.when(F.col("region").isNotNull(), F.col("rank")).otherwise(-1).alias("b"), F.lit(True).alias("fresh")))
+    while True:
+        border = e.where("tile_i <> tile_j").join(now.where("b >= 0").select(F.col("id").alias("i"), F.col("b").alias("bi")), "i").select("i", "j", "tile_i", "tile_j", "bi")
+        own = e.where("tile_i = tile_j").select("i", "j", "tile_i", "tile_j", F.lit(-1).cast("long").alias("bi"))
+        got = now.groupBy("tile").cogroup(border.unionByName(own).groupBy("tile_j")).applyInPandas(_rise, "id long, b long, moved boolean")
+        after = scratch.table(got.join(c.select("id", "rank", "tile"), "id").select("id", "rank", "tile", "b", F.lit(False).alias("fresh"), "moved"))
+        scratch.drop(now)
+        now = after.drop("moved")
+        now._scratch = after._scratch
+        if not after.where("moved").limit(1).count():
+            break
+    first = e.join(now.where("b >= 0").select(F.col("id").alias("i"), "b"), "i").groupBy(F.col("j").alias("id")).agg(F.max(F.struct("b", "i")).alias("x"))
+    at = now.where("b >= 0").join(c.where("region is not null").select("id", "region"), "id", "left")
+    marked = at.where("region is not null").select(F.col("id").alias("c"), F.col("id").alias("o"))
+    shore = at.where("region is null and b = rank").join(first, "id").select(F.col("id").alias("c"), F.col("x.i").alias("o"))
+    behind = at.where("region is null and b < rank").select(F.col("id").alias("c"), "b").join(c.select(F.col("rank").alias("b"), F.col("id").alias("o")), "b").select("c", "o")
+    root = followed(marked.unionByName(shore).unionByName(behind), scratch)
+    named = root.join(c.where("region is not null").select(F.col("id").alias("root"), "region"), "root")
+    return c.select("id").join(named.select(F.col("c").alias("id"), "region"), "id", "left").select("id", F.coalesce("region", F.lit(0)).alias("region"))
 
 
 def watershed(field: DataFrame, peaks: DataFrame, mask: float = 0.005) -> DataFrame:
-    """ix, iy, region (0: sea). The raster has a fixed number of cells whatever the input, so one task floods it."""
-    rows = field.select("ix", "iy", "v", F.lit(0).alias("region")).unionByName(peaks.select("ix", "iy", F.lit(-1.0).alias("v"), "region"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells, tops = pdf[pdf.region == 0], pdf[pdf.region > 0].sort_values("region")
-        height = {(int(x), int(y)): float(v) for x, y, v in zip(cells.ix, cells.iy, cells.v)}
-        near = lambda a: [(a[0] + d, a[1] + e) for d in (-1, 0, 1) for e in (-1, 0, 1) if (d or e)]
-        label = flood(height, near, [(int(r), (int(x), int(y))) for r, x, y in zip(tops.region, tops.ix, tops.iy)], mask * max(height.values(), default=0.0))
-        return pd.DataFrame([(x, y, label.get((x, y), 0)) for x, y in height], columns=["ix", "iy", "region"])
-
-    return rows.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(lambda pdf: one(pdf), "ix int, iy int, region int")
+    """ix, iy, region (0: sea): cells over the mask (a share of the highest) by the peak whose flood, over the four sides of cells, reaches them first."""
+    scratch, side = Scratch(field.sparkSession), int(TILE**0.5)
+    top = field.agg(F.max("v")).first()[0] or 0.0
+    wide = F.col("iy").cast("long") * F.lit(1 << 31) + F.col("ix")
+    tops = peaks.select("ix", "iy", "region")
+    cells = scratch.table(field.select("ix", "iy", "v").join(tops, ["ix", "iy"], "left").where((F.col("v") > mask * top) | F.col("region").isNotNull()).select(wide.alias("id"), F.col("v").alias("height"), "region", F.xxhash64(F.floor(F.col("ix") / side), F.floor(F.col("iy") / side)).alias("tile")))
+    edges = cells.select(F.col("id").alias("i"), F.explode(F.array(*(F.col("id") + s for s in (1, -1, 1 << 31, -(1 << 31))))).alias("j"))
+    label = flooded(cells, edges)
+    return field.select("ix", "iy", wide.alias("id")).join(label, "id", "left").select(F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), F.coalesce("region", F.lit(0)).cast("int").alias("region"))
 
 
 def assigned(points: DataFrame, regions: DataFrame, field: DataFrame, peaks: DataFrame, key: str = "id") -> DataFrame:
@@ -234,18 +285,25 @@ def nearest_node(points: DataFrame, n: int, key: str = "id") -> DataFrame:
     return points.select(key, "x", "y", "z").mapInPandas(each, f"{key} long, node long")
 
 
-def sphere_edges(spark: SparkSession, n: int, reach: float) -> DataFrame:
-    """i, j, cos for nodes within an angle, by cells of the angle's size and their neighbours."""
+def sphere_edges(spark: SparkSession, n: int, reach: float, own: DataFrame | None = None) -> DataFrame:
+    """i, j, cos for nodes i (all, or those of `own`: node) and j within an angle, by cells of the angle's size and their neighbours."""
     g = fibonacci(spark, n)
     size = 2 * math.sin(reach / 2)
     at = [F.floor(F.col(c) / size).alias(f"c{c}") for c in "xyz"]
-    own = g.select("*", *at)
+    few = (g if own is None else g.join(own.select("node"), "node")).select("*", *at)
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    wide = own.select(F.col("node").alias("j"), *(F.col(c).alias(f"j{c}") for c in "xyz"), *(F.col(f"c{c}") for c in "xyz"))
+    wide = g.select("*", *at).select(F.col("node").alias("j"), *(F.col(c).alias(f"j{c}") for c in "xyz"), *(F.col(f"c{c}") for c in "xyz"))
     for c in "xyz":
-        wide = wide.withColumn("s", F.explode(steps)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("s")).drop("s")
+        few = few.withColumn("s", F.explode(steps)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("s")).drop("s")
     cos = F.least(F.lit(1.0), F.col("x") * F.col("jx") + F.col("y") * F.col("jy") + F.col("z") * F.col("jz"))
-    return own.join(wide, ["cx", "cy", "cz"]).select(F.col("node").alias("i"), "j", cos.alias("cos")).where(F.col("cos") >= math.cos(reach))
+    return few.join(wide, ["cx", "cy", "cz"]).select(F.col("node").alias("i"), "j", cos.alias("cos")).where(F.col("cos") >= math.cos(reach))
+
+
+def sphere_neighbours(spark: SparkSession, n: int, k: int = 8) -> DataFrame:
+    """i, j: the k nearest other nodes; ties: the smaller node."""
+    reach = min(math.pi / 2, 2 * math.sqrt((4 * k + 16) / n))  # some four times as many nodes
+    near = sphere_edges(spark, n, reach).where("i <> j")
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cos"), "j"))).where(F.col("r") <= k).select("i", "j")
 
 
 def sphere_smooth(counts: DataFrame, edges: DataFrame, sigma: float, steps: int = 1) -> DataFrame:
@@ -260,27 +318,22 @@ def sphere_regions(field: DataFrame, n: int, sigma: float, share: float = 0.03,
     """node, region: peaks that are at least their 8 neighbours and every node within sigma, flooded over the 8-neighbour graph.
 
     Levels are shares of the field's 0.99 quantile over the nodes that hold rows (occupied: node; all with mass where not given).
-
-    The grid has a fixed number of nodes, so one task floods it.
+    Regions are numbered by height (equal ones: the smaller node).
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, v = nodes(n), np.zeros(n)
-        v[pdf.node.to_numpy()] = pdf.v.to_numpy()
-        near = np.concatenate([np.argsort(-(grid[i : i + 256] @ grid.T), axis=1, kind="stable")[:, 1:9] for i in range(0, n, 256)])
-        held = pdf.node.to_numpy()[pdf.held.to_numpy()]
-        ref = float(np.quantile(v[held], 0.99)) if len(held) else 0.0
-        top = np.flatnonzero((v >= v[near].max(axis=1)) & (v >= share * ref) & (v > 0))
-        kept: list[int] = []
-        for i in top[np.lexsort((top, -v[top]))].tolist():
-            if v[i] >= v[grid @ grid[i] >= math.cos(sigma)].max():
-                kept.append(i)
-        label = flood({i: float(x) for i, x in enumerate(v)}, lambda i: near[i].tolist(), [(r + 1, i) for r, i in enumerate(kept)], mask * ref)
-        return pd.DataFrame({"node": np.arange(n), "region": [label.get(i, 0) for i in range(n)]})
-
-    held = occupied.select("node").distinct().withColumn("held", F.lit(True)) if occupied is not None else field.where("v > 0").select("node", F.lit(True).alias("held"))
-    field = field.select("node", "v").join(held, "node", "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    return field.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(lambda pdf: one(pdf), "node long, region int")
+    spark = field.sparkSession
+    scratch = Scratch(spark)
+    v = scratch.table(field.groupBy("node").agg(F.sum("v").alias("v")).where("v > 0"))
+    held = v if occupied is None else occupied.select("node").distinct().join(v, "node", "left").fillna(0.0, ["v"])
+    ref = quantile_values(held.select("v"), "v", 0.99)[0] or 0.0
+    near = scratch.table(sphere_neighbours(spark, n))
+    higher = lambda pairs, rows: pairs.join(v.select(F.col("node").alias("j"), F.col("v").alias("vj")), "j").join(rows.select(F.col("node").alias("i"), "v"), "i").where("vj > v").select(F.col("i").alias("node"))
+    able = scratch.table(v.where(F.col("v") >= share * ref))
+    able = scratch.table(able.join(higher(near, able), "node", "left_anti"))
+    peaks = able.join(higher(sphere_edges(spark, n, sigma, able), able), "node", "left_anti")
+    peaks = peaks.withColumn("region", F.row_number().over(Window.orderBy(F.desc("v"), "node")))  # a row a peak
+    cells = v.join(peaks.select("node", "region"), "node", "left").where((F.col("v") > mask * ref) | F.col("region").isNotNull())
+    label = flooded(cells.select(F.col("node").alias("id"), F.col("v").alias("height"), "region", F.shiftright("node", int(math.log2(TILE))).alias("tile")), near)
+    return spark.range(n).select(F.col("id").alias("node")).join(label.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("region", F.lit(0)).cast("int").alias("region"))
 
 
 def split_regions(points: DataFrame, regions: DataFrame, limit: int, key: str = "id", starts: int = 4, rounds: int = 20) -> DataFrame:
