@@ -202,6 +202,7 @@ def flooded(cells: DataFrame, edges: DataFrame) -> DataFrame:
     c = scratch.table(dense_id(cells.withColumn("k", F.struct("height", (-F.col("id")).alias("m"))), "k", "rank").select("id", "rank", "region", "tile"))
     ends = lambda p: c.select(F.col("id").alias(p), F.col("tile").alias(f"tile_{p}"))
     e = scratch.table(edges.select("i", "j").join(ends("i"), "i").join(ends("j"), "j"))
+    crossed = e.where("tile_i <> tile_j").limit(1).count()
     now = scratch.table(c.select("id", "rank", "tile", F.when(F.col("region").isNotNull(), F.col("rank")).otherwise(-1).alias("b"), F.lit(True).alias("fresh")))
     while True:
         border = e.where("tile_i <> tile_j").join(now.where("b >= 0").select(F.col("id").alias("i"), F.col("b").alias("bi")), "i").select("i", "j", "tile_i", "tile_j", "bi")
@@ -211,7 +212,7 @@ def flooded(cells: DataFrame, edges: DataFrame) -> DataFrame:
         scratch.drop(now)
         now = after.drop("moved")
         now._scratch = after._scratch
-        if not after.where("moved").limit(1).count():
+        if not crossed or not after.where("moved").limit(1).count():
             break
     first = e.join(now.where("b >= 0").select(F.col("id").alias("i"), "b"), "i").groupBy(F.col("j").alias("id")).agg(F.max(F.struct("b", "i")).alias("x"))
     at = now.where("b >= 0").join(c.where("region is not null").select("id", "region"), "id", "left")

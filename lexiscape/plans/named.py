@@ -271,7 +271,7 @@ def _(spark, d):
 
 @query("components", f"WITH RECURSIVE {_knn(2)}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT id, id AS c FROM e UNION SELECT b.b, r.c FROM r JOIN b ON b.a=r.id AND b.b>r.c) SELECT id AS node, min(c) AS component FROM r GROUP BY id")
 def _(spark, d):
-    return graph.connected_components(_edges(spark, d, 2).select(C("src").alias("a"), C("dst").alias("b")), whole=graph.WHOLE)
+    return graph.connected_components(_edges(spark, d, 2).select(C("src").alias("a"), C("dst").alias("b")))
 
 
 # --- keywords -----------------------------------------------------------------------------------
@@ -334,8 +334,7 @@ def _(spark, d):
 
 @query("similar_words", "WITH n AS (SELECT DISTINCT p_name AS w FROM part), g AS (SELECT w, list_distinct(list_transform(range(1,length(w)), lambda i: w[i:i+1])) AS g FROM n) SELECT a.w AS a, b.w AS b FROM g a JOIN g b ON a.w<b.w WHERE contains(a.w,b.w) OR contains(b.w,a.w) OR (least(len(a.g),len(b.g))>0 AND len(list_intersect(a.g,b.g))>=0.5*least(len(a.g),len(b.g)))")
 def _(spark, d):
-    n = t(spark, d, "part").select("p_name").distinct()
-    return n.select(C("p_name").alias("a")).join(n.select(C("p_name").alias("b")), C("a") < C("b")).where(X.similar(C("a"), C("b")))
+    return keywords.similar_pairs(t(spark, d, "part"), "p_name")
 
 
 @query("splitname", "WITH n AS (SELECT DISTINCT p_name AS w FROM part), c AS (SELECT w, list_filter(range(1,length(w)), lambda i: w[i]=' ') AS c FROM n), m AS (SELECT w, c, list_min(list_transform(c, lambda i: abs(i-length(w)/2.0)*1000+i)) AS m FROM c) SELECT w, CASE WHEN length(w)<=7 OR m IS NULL THEN [w] ELSE [w[1:(round(m)::INT%500)], w[(round(m)::INT%500)+1:]] END AS parts FROM m")
