@@ -108,3 +108,23 @@ def labels_at(places: list[tuple[str, float, float, int, int]], zoom: float, wid
             taken.append((x, y))
             out.append(name)
     return out
+
+
+def labels_shown(places: DataFrame, zooms: list[float], **how) -> DataFrame:
+    """zoom, name: the labels that each zoom shows (`labels_at`). places: name, x, y, level, size; a zoom is a task's group, so pass the places of one map."""
+    import pandas as pd
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shown = labels_at(list(pdf[["name", "x", "y", "level", "size"]].itertuples(index=False, name=None)), key[0], **how)
+        return pd.DataFrame({"zoom": key[0], "name": shown})
+
+    each = F.explode(F.array(*(F.lit(float(z)) for z in zooms))).alias("zoom")
+    return places.select("name", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "level", "size", each).groupBy("zoom").applyInPandas(one, "zoom double, name string")
+
+
+def label_tour(cents: DataFrame, label: str = "label") -> DataFrame:
+    """label, place: the order of labels (15 at most) on the shortest closed tour over 1 - cosine of their centroids (cent)."""
+    rows = cents.select(label, "cent").orderBy(label).limit(16).collect()  # a row a label
+    x = np.array([r["cent"] for r in rows], float)
+    tour = shortest_tour(1 - x @ x.T if len(x) else np.zeros((0, 0)))
+    return cents.sparkSession.createDataFrame([(rows[i][label], place) for place, i in enumerate(tour)], f"{label} {dict(cents.dtypes)[label]}, place int")

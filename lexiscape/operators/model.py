@@ -324,8 +324,26 @@ def _told_apart(vec: DataFrame, pairs: list[tuple[int, int]], at: dict, count: d
     return [found.get(p) for p in range(n)]
 
 
-def encode(rows: DataFrame, text: str, key: str, dimension: int = 256) -> DataFrame:
-    """id, emb: hashed words weighted by rarity, to unit length; an encoder of one's own can stand in."""
+def encode(rows: DataFrame, text: str, key: str, dimension: int = 256, encoder=None, prefix: str = "", batch: int = 64) -> DataFrame:
+    """id, emb of unit length: hashed words weighted by rarity, or an encoder's vectors.
+
+    encoder: a function that gives a list of texts' vectors (a list or array of `dimension` numbers each); it is called in the tasks, `batch` texts
+    at once, each behind `prefix`. Null texts are empty ones.
+    """
+    if encoder:
+
+        def each(batches):
+            for pdf in batches:
+                for i in range(0, len(pdf), batch):
+                    part = pdf.iloc[i : i + batch]
+                    v = np.asarray(encoder([prefix + (x or "") for x in part.text]), float)
+                    if v.shape != (len(part), dimension):
+                        raise ValueError(f"the encoder gave {v.shape} for {len(part)} texts of {dimension} numbers")
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                    yield pd.DataFrame({"id": part.id.to_numpy(), "emb": list(v)})
+
+        kind = dict(rows.select(F.col(key).alias("id")).dtypes)["id"]
+        return rows.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInPandas(each, f"id {kind}, emb array<double>")
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiscape.functions.columns import clamped_chroma, clip, dot, rgb255
+from lexiscape.operators import terrain
 from lexiscape.operators.layout import uniform
 from lexiscape.operators.ranks import quantile_values
+from lexiscape.session import Scratch
 
 
 def region_places(points: DataFrame, regions: DataFrame, peaks: DataFrame, box: tuple[float, float, float, float], nx: int, ny: int, least: int = 150) -> DataFrame:
@@ -31,17 +33,82 @@ def sphere_places(points: DataFrame, regions: DataFrame, least: int = 150) -> Da
     return c.join(spread, "region").select("region", "n", *(F.col(f"c{a}").alias(a) for a in "xyz"), "spread_deg")
 
 
-def peak_words(points: DataFrame, words: DataFrame, peaks: DataFrame, radius: float, least: int = 5, smooth: float = 20.0, keep: int = 4) -> DataFrame:
-    """peak, w, n_near, n_all, score = n_near / (n_all + smooth): words of points within a radius of a peak (peak, px, py).
+def place_levels(points: DataFrame, words: DataFrame, box: tuple[float, float, float, float], nx: int, ny: int, sigmas: list[float], least: int = 150, power: float = 1.0, share: float = 0.03, keep: int = 8) -> DataFrame:
+    """level, region, n, x, y, sx, sy, peak, words: places of a map at several widths (in the units of x), the widest first, with their feature words.
 
-    Points and peaks meet in cells of the radius' size, so that a point sees only peaks of its neighbourhood.
+    points: id, x, y; words: id, w. Words are weighed by how near to its peak's density a point lies, to a power. Places under `least` points have no row.
     """
+    scratch, out = Scratch(points.sparkSession), None
+    x0, x1, y0, y1 = box
+    at = points.select("id", "x", "y", terrain.cell(F.col("x"), x0, x1, nx).alias("ix"), terrain.cell(F.col("y"), y0, y1, ny).alias("iy"))
+    for level, sigma in enumerate(sigmas):
+        wide = sigma * nx / (x1 - x0)
+        field = scratch.table(terrain.smooth(terrain.histogram2d(points, "x", "y", box, nx, ny), wide, sigma * ny / (y1 - y0), nx, ny).withColumn("v", F.round("v", 9)))
+        peaks = scratch.table(terrain.box_peaks(field, max(1, round(wide)), share))
+        own = scratch.table(terrain.assigned(at, terrain.watershed(field, peaks), field, peaks))
+        best = _feature_words(words, own.select("id", "region", F.pow("wt", F.lit(power)).alias("wt")), keep)
+        one = region_places(points, own.select("id", "region"), peaks, box, nx, ny, least).join(best, "region", "left").select(F.lit(level).alias("level"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _feature_words(words: DataFrame, regions: DataFrame, keep: int) -> DataFrame:
+    from lexiscape.operators import keywords
+
+    return keywords.feature_words(keywords.region_scores(words, regions.where("region > 0")), "region", keep=keep)
+
+
+def sphere_levels(points: DataFrame, words: DataFrame, n: int, sigma: float, steps: list[int], least: int = 150, limit: int | None = None, keep: int = 8) -> DataFrame:
+    """level, place, of, n, x, y, z, spread_deg, peak, words: places of a spherical map, smoothed `steps` times at each level, with their feature words.
+
+    points: id, x, y, z (unit); words: id, w. A region of over `limit` points is split, and its parts (of: the region) stand for it, at their mean direction;
+    others stand at their peak's node. spread_deg: standard deviation of the angles to that place.
+    """
+    spark = points.sparkSession
+    scratch, out = Scratch(spark), None
+    at = scratch.table(terrain.nearest_node(points, n))
+    count = scratch.table(at.groupBy("node").agg(F.count("*").cast("double").alias("v")))
+    edges = scratch.table(terrain.sphere_edges(spark, n, 3 * sigma))
+    done, field = 0, count
+    for level, k in enumerate(sorted(steps)):
+        field, done = scratch.table(terrain.sphere_smooth(field, edges, sigma, k - done)), k
+        even = scratch.table(field.withColumn("v", F.round("v", 9)))
+        label = scratch.table(terrain.sphere_regions(even, n, sigma * math.sqrt(k), occupied=count))
+        tops = label.where("region > 0").join(even, "node").groupBy("region").agg(F.max_by("node", F.struct("v", -F.col("node"))).alias("node"), F.max("v").alias("peak"))
+        tops = tops.join(terrain.fibonacci(spark, n), "node").select(F.col("region").cast("long").alias("place"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), "peak")
+        own = at.join(label, "node").where("region > 0").select("id", F.col("region").cast("long").alias("region"))
+        size = own.groupBy("region").agg(F.count("*").alias("_n"))
+        own = scratch.table(own.join(size, "region"))
+        split = F.col("_n") > limit if limit else F.lit(False)
+        whole = own.where(~split & (F.col("_n") >= least)).select("id", F.col("region").alias("place"), F.lit(None).cast("long").alias("of"))
+        if limit:
+            parts = terrain.split_regions(points, own.where(split).select("id", "region"), limit)
+            whole = whole.unionByName(parts.select("id", F.col("sector").alias("place"), F.floor(F.col("sector") / 1000).cast("long").alias("of")))
+        whole = scratch.table(points.join(whole, "id"))
+        mean = whole.where("of is not null").groupBy("place").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
+        long = F.sqrt(F.col("mx") ** 2 + F.col("my") ** 2 + F.col("mz") ** 2)
+        centre = tops.unionByName(mean.select("place", *((F.col(f"m{c}") / long).alias(f"c{c}") for c in "xyz"), F.lit(None).cast("double").alias("peak")))
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("x") * F.col("cx") + F.col("y") * F.col("cy") + F.col("z") * F.col("cz"))))
+        one = whole.join(centre, "place").groupBy("place").agg(F.first("of").alias("of"), F.count("*").alias("n"), *(F.first(f"c{c}").alias(c) for c in "xyz"), F.degrees(F.stddev_pop(angle)).alias("spread_deg"), F.first("peak").alias("peak"))
+        best = _feature_words(words, whole.select("id", F.col("place").alias("region"), F.lit(1.0).alias("wt")), keep).withColumnRenamed("region", "place")
+        one = one.join(best, "place", "left").select(F.lit(level).alias("level"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _near(points: DataFrame, peaks: DataFrame, radius: float) -> DataFrame:
+    """Points (x, y) with the peaks (peak, px, py) within a radius: both meet in cells of its size, so that a point sees only its neighbourhood."""
     cells = lambda x, y: (F.floor(x / radius).alias("cx"), F.floor(y / radius).alias("cy"))
-    own = points.select("id", "x", "y", *cells(F.col("x"), F.col("y")))
+    own = points.select("*", *cells(F.col("x"), F.col("y")))
     wide = peaks.select("peak", "px", "py", *cells(F.col("px"), F.col("py")))
     for c in ("cx", "cy"):
         wide = wide.withColumn("s", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("s")).drop("s")
-    near = own.join(wide, ["cx", "cy"]).where((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= radius**2).select("peak", "id")
+    return own.join(wide, ["cx", "cy"]).where((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= radius**2)
+
+
+def peak_words(points: DataFrame, words: DataFrame, peaks: DataFrame, radius: float, least: int = 5, smooth: float = 20.0, keep: int = 4, target: Column | None = None) -> DataFrame:
+    """peak, w, n_near, n_all, score = n_near / (n_all + smooth): words of points (of the target, where there is one) within a radius of a peak (peak, px, py)."""
+    near = _near(points.where(target) if target is not None else points, peaks, radius).select("peak", "id")
     n_all = words.groupBy("w").agg(F.count("*").alias("n_all"))
     n = near.join(words, "id").groupBy("peak", "w").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= least).join(n_all, "w")
     from lexiscape.operators.keywords import top
@@ -49,14 +116,24 @@ def peak_words(points: DataFrame, words: DataFrame, peaks: DataFrame, radius: fl
     return top(n.select("peak", "w", "n_near", "n_all", (F.col("n_near") / (F.col("n_all") + smooth)).alias("score")), "peak", keep)
 
 
+def peak_counts(points: DataFrame, peaks: DataFrame, radius: float, target: Column) -> DataFrame:
+    """peak, n_target, n_other: points of the target and others within a radius of each peak."""
+    near = _near(points.withColumn("_t", F.coalesce(target, F.lit(False))), peaks, radius).groupBy("peak").agg(F.count_if("_t").alias("n_target"), F.count_if(~F.col("_t")).alias("n_other"))
+    return peaks.select("peak").join(near, "peak", "left").fillna(0, ["n_target", "n_other"])
+
+
 def pixel_colours(points: DataFrame, ix: Column, iy: Column) -> DataFrame:
     """ix, iy, n, mean r, g, b."""
     return points.groupBy(ix.alias("ix"), iy.alias("iy")).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in "rgb"))
 
 
-def web_chroma(points: DataFrame, value: str, top: float = 0.145) -> DataFrame:
-    """Adds chroma: the 5th to 95th percentile of a value over 0.85 to 1.30 of `top`, clipped."""
+def web_chroma(points: DataFrame, value: str, top: float = 0.145, mode: str = "web") -> DataFrame:
+    """Adds chroma. web: the 5th to 95th percentile of a value over 0.85 to 1.30 of `top`, clipped; figure: in proportion, `top` at the 95th; flat: `top`."""
+    if mode == "flat":
+        return points.withColumn("chroma", F.lit(top))
     lo, hi = quantile_values(points, value, 0.05, 0.95)
+    if mode == "figure":
+        return points.withColumn("chroma", F.col(value) * (top / (hi or 1.0)))
     at = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - lo) / (hi - lo)))
     return points.withColumn("chroma", top * (0.85 + 0.45 * at))
 

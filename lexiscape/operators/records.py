@@ -109,3 +109,9 @@ def toggles(rows: DataFrame, hidden: dict[str, list[str]]) -> DataFrame:
         n = n.select(F.lit(f).alias("facet"), "value", "n", (~F.coalesce(F.col("value").isin(off), F.lit(False)) if off else F.lit(True)).alias("shown"))
         out = n if out is None else out.unionByName(n)
     return out
+
+
+def set_parts(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """keys, side: different keys that stand in both tables, in a only, or in b only; nulls are equal."""
+    both = a.select(*keys, F.lit(1).alias("_s")).unionByName(b.select(*keys, F.lit(2).alias("_s"))).groupBy(*keys).agg(F.bit_or("_s").alias("_s"))
+    return both.select(*keys, F.when(F.col("_s") == 3, "both").when(F.col("_s") == 1, "a").otherwise("b").alias("side"))

@@ -82,6 +82,35 @@ def merge_candidates(distance: DataFrame, groups: DataFrame, accuracy: DataFrame
     return out.join(accuracy, ["a", "b"], "left").withColumn("acc_rank", F.when(F.col("bal_acc").isNotNull(), F.dense_rank().over(Window.orderBy(F.col("bal_acc").asc_nulls_last()))))  # a row a pair of labels
 
 
+def merge_report(merges: DataFrame, distance: DataFrame, groups: DataFrame, lift: DataFrame, accuracy: DataFrame | None = None, lean: DataFrame | None = None) -> DataFrame:
+    """a, b, d, rank_all, rank_in_group, share, lift, nearest, nearest_rank[, bal_acc, acc_rank][, n_lean_a, n_lean_b, n_tie]: for planned merges (a, b), how near both are.
+
+    distance and groups: see `merge_candidates`; lift: src_lab, dst_lab, share, lift (`knn.label_lift`); nearest: the label that a's neighbours have most, and
+    nearest_rank, b's place among them; lean: a, b, side of the items in question (`knn.lean`).
+    """
+    near = merge_candidates(distance, groups, accuracy)
+    order = Window.partitionBy("src_lab").orderBy(F.desc(F.round("share", 9)), "dst_lab")  # a row a label
+    ranked = lift.withColumn("nearest_rank", F.row_number().over(order)).withColumn("nearest", F.first("dst_lab").over(order))
+    own = ranked.select(F.col("src_lab").alias("a"), F.col("dst_lab").alias("b"), "share", "lift", "nearest_rank")
+    first = ranked.where("nearest_rank = 1").select(F.col("src_lab").alias("a"), "nearest")
+    out = merges.select("a", "b").join(near, ["a", "b"], "left").join(own, ["a", "b"], "left").join(first, "a", "left")
+    if lean is None:
+        return out
+    sides = lean.groupBy("a", "b").agg(F.count_if(F.col("side") == "A").alias("n_lean_a"), F.count_if(F.col("side") == "B").alias("n_lean_b"), F.count_if(F.col("side") == "tie").alias("n_tie"))
+    return out.join(sides, ["a", "b"], "left")
+
+
+def topic_report(rows: DataFrame, year: str, hit: Column, parts: dict[str, Column]) -> DataFrame:
+    """kind, value, n, hits, per_mille, share: a topic's counts by year, of all, and by each given part (category, origin, region, cluster, ...);
+    share: of the topic's items, how many fall to the value. Null values are left out."""
+    cols = {"year": F.col(year)} | parts
+    marked = rows.select(*(c.cast("string").alias(f"_{i}") for i, c in enumerate(cols.values())), F.coalesce(hit, F.lit(False)).alias("hit"))
+    each = F.explode(F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")), *(F.struct(F.lit(k).alias("kind"), F.col(f"_{i}").alias("value")) for i, k in enumerate(cols))))
+    n = marked.select("hit", each.alias("x")).where("x.value is not null").groupBy("x.kind", "x.value").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    total = marked.agg(F.count_if("hit").alias("total"))
+    return n.join(F.broadcast(total)).select("kind", "value", "n", "hits", (1000.0 * F.col("hits") / F.col("n")).alias("per_mille"), (F.col("hits") / F.col("total")).alias("share"))  # one row is sent
+
+
 def similarity_spread(rows: DataFrame, key: str, vector: str, strides: int = 10) -> DataFrame:
     """n, median, p5, p95 of the cosine of each row with its next rows by id, `strides` of them: a bounded share of all pairs that has every row."""
     from lexiscape.operators.mapserve import dense_id

@@ -242,9 +242,10 @@ def assigned(points: DataFrame, regions: DataFrame, field: DataFrame, peaks: Dat
     return out.select(key, F.coalesce("region", F.lit(0)).alias("region"), (F.coalesce("v", F.lit(0.0)) / F.coalesce("height", F.lit(1.0))).alias("wt"))
 
 
-def local_density(edges: DataFrame, k: int, dimension: int) -> DataFrame:
-    """id, density = 1 / r_k ** dimension."""
-    return edges.where((F.col("rank") == k) & (F.col("dist") > 0)).select(F.col("src").alias("id"), (1 / F.pow("dist", F.lit(float(dimension)))).alias("density"))
+def local_density(edges: DataFrame, k: int, dimension: int, arc: bool = False) -> DataFrame:
+    """id, density = 1 / r_k ** dimension; arc: distances are chords of the unit sphere, and r is the angle over the k-th."""
+    r = 2 * F.asin(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dist") / 2))) if arc else F.col("dist")
+    return edges.where((F.col("rank") == k) & (F.col("dist") > 0)).select(F.col("src").alias("id"), (1 / F.pow(r, F.lit(float(dimension)))).alias("density"))
 
 
 def entropy(rows: DataFrame, value: str, bins: int = 50) -> DataFrame:

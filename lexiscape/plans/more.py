@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiscape.functions import columns as X
 from lexiscape.operators import embed, keywords, knn, layout, model, parse, places, ranks, records, report, taxonomy, terrain
 from lexiscape.plans.catalogue import query
-from lexiscape.plans.named import _CENT, _KW, _RANK, _VEC, _dist, _edges, _emb, _knn, _points, _words, r6, t
+from lexiscape.plans.named import _CENT, _KW, _RANK, _VEC, _dist, _edges, _emb, _knn, _labels, _points, _words, r6, t
 
 C = F.col
 
@@ -362,3 +362,77 @@ def _(spark, d):
 @query("gini_spread", "WITH r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS i, count(*) OVER () AS n FROM lineitem) SELECT round(sum((2*i-n-1)*v)/(max(n)*sum(v)),6) AS gini, round(log10(quantile_cont(v,0.9)/quantile_cont(v,0.1)),6) AS spread FROM r")
 def _(spark, d):
     return ranks.gini(t(spark, d, "lineitem"), "l_extendedprice").select(*r6("gini", "spread"))
+
+
+# --- places, chroma, sets, merges -----------------------------------------------------------------
+
+
+def _tags(spark, d):
+    """Two words an item, one of them its label's."""
+    e = _emb(spark, d)
+    return e.select(C("vec_id").alias("id"), F.explode(F.array(F.concat(F.lit("label"), C("label").cast("string")), F.concat(F.lit("mod"), (C("vec_id") % 13).cast("string")))).alias("w"))
+
+
+@query("place_levels")
+def _(spark, d):
+    return places.place_levels(_points(spark, d).select("id", "x", "y"), _tags(spark, d), (-1.0, 1.0, -1.0, 1.0), 64, 64, [0.3, 0.15], 10)
+
+
+@query("sphere_levels")
+def _(spark, d):
+    p = _points(spark, d)
+    n = F.sqrt(C("x") ** 2 + C("y") ** 2 + C("z") ** 2)
+    return places.sphere_levels(p.select("id", *((C(c) / n).alias(c) for c in "xyz")), _tags(spark, d), 4000, 0.1, [1, 4], 10, 100)
+
+
+@query("arc_density", f"WITH {_knn(15)}, d AS (SELECT src AS id, 2*asin(greatest(0.0,least(1.0,sqrt(2*dist)/2))) AS r FROM edges WHERE rank=15 AND dist>0) SELECT id, round(1/(r*r),6) AS density FROM d")
+def _(spark, d):
+    chords = _edges(spark, d, 15).withColumn("dist", F.sqrt(2 * C("dist")))
+    return terrain.local_density(chords, 15, 2, arc=True).select("id", *r6("density"))
+
+
+@query("peak_counts", "WITH c AS (SELECT o_orderkey AS id, (o_orderkey%97)/97.0 AS x, (o_orderkey%89)/89.0 AS y, o_orderstatus='F' AS t FROM orders), p AS (SELECT * FROM (VALUES (1,0.2,0.3),(2,0.7,0.6)) p(peak,px,py)) SELECT peak, count(*) FILTER (t) AS n_target, count(*) FILTER (NOT t) AS n_other FROM p JOIN c ON (x-px)**2+(y-py)**2<=0.04 GROUP BY peak")
+def _(spark, d):
+    pts = t(spark, d, "orders").select((C("o_orderkey") % 97 / 97.0).alias("x"), (C("o_orderkey") % 89 / 89.0).alias("y"), "o_orderstatus")
+    peaks = spark.createDataFrame([(1, 0.2, 0.3), (2, 0.7, 0.6)], "peak int, px double, py double")
+    return places.peak_counts(pts, peaks, 0.2, C("o_orderstatus") == "F")
+
+
+@query("chroma_modes", "WITH q AS (SELECT quantile_cont(l_extendedprice,0.95) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, round(l_extendedprice*(0.145/b),6) AS figure, 0.145::DOUBLE AS flat FROM lineitem, q")
+def _(spark, d):
+    one = places.web_chroma(t(spark, d, "lineitem"), "l_extendedprice", mode="figure").withColumnRenamed("chroma", "figure")
+    return places.web_chroma(one, "l_extendedprice", mode="flat").select("l_orderkey", "l_linenumber", *r6("figure"), C("chroma").alias("flat"))
+
+
+@query("set_parts", "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate)<1995), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate)>=1995), x AS (SELECT k, 'both' AS side FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT k, 'a' FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'b' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)) SELECT * FROM x")
+def _(spark, d):
+    o = t(spark, d, "orders").select(C("o_custkey").alias("k"), F.year("o_orderdate").alias("y"))
+    return records.set_parts(o.where("y < 1995"), o.where("y >= 1995"), "k")
+
+
+@query("merge_report", f"WITH {_knn(15)}, {_CENT}, k AS (SELECT a, b, d, b%3 AS g FROM dd), r AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d,9), b)::INT AS rank_all, row_number() OVER (PARTITION BY a, g ORDER BY round(d,9), b)::INT AS rank_in_group FROM k), l AS (SELECT id, lab FROM e WHERE lab<>9), n AS (SELECT x.lab AS a, y.lab AS b, count(*) AS n FROM edges JOIN l x ON x.id=src JOIN l y ON y.id=dst WHERE x.lab<>y.lab GROUP BY ALL), z AS (SELECT lab, count(*) AS m FROM l GROUP BY ALL), sh AS (SELECT *, n/sum(n) OVER (PARTITION BY a) AS share FROM n), li AS (SELECT a, b, share, share/(y.m/((SELECT count(*) FROM l)-x.m)) AS lift, row_number() OVER (PARTITION BY a ORDER BY round(share,9) DESC, b)::INT AS nearest_rank, first(b) OVER (PARTITION BY a ORDER BY round(share,9) DESC, b) AS nearest FROM sh JOIN z y ON y.lab=b JOIN z x ON x.lab=a) SELECT r.a, r.b, round(d,6) AS d, rank_all, rank_in_group, round(share,6) AS share, round(lift,6) AS lift, nearest_rank, nearest FROM r JOIN li USING (a,b) WHERE a<b AND b<=a+2")
+def _(spark, d):
+    labels = _labels(spark, d)
+    dist = _dist(spark, d)
+    groups = labels.where("lab is not null").select("lab", (C("lab") % 3).alias("grp")).distinct()
+    merges = dist.where("a < b AND b <= a + 2").select("a", "b")
+    found = report.merge_report(merges, dist, groups, knn.label_lift(knn.materialised(_edges(spark, d, 15)), labels))
+    return found.select("a", "b", *r6("d"), "rank_all", "rank_in_group", *r6("share", "lift"), "nearest_rank", "nearest")
+
+
+@query("topic_report", "WITH m AS (SELECT year(o_orderdate)::VARCHAR AS y, o_orderpriority AS p, (o_custkey%7)::VARCHAR AS c, contains(o_orderpriority,'U') AS hit FROM orders), x AS (SELECT 'all' AS kind, '' AS value, hit FROM m UNION ALL SELECT 'year', y, hit FROM m UNION ALL SELECT 'category', p, hit FROM m UNION ALL SELECT 'cluster', c, hit FROM m) SELECT kind, value, count(*) AS n, count(*) FILTER (hit) AS hits, round(1000.0::DOUBLE*count(*) FILTER (hit)/count(*),6) AS per_mille, round(count(*) FILTER (hit)/(SELECT count(*) FILTER (hit) FROM m),6) AS share FROM x GROUP BY ALL")
+def _(spark, d):
+    o = t(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
+    return report.topic_report(o, "y", F.contains("o_orderpriority", F.lit("U")), {"category": C("o_orderpriority"), "cluster": C("o_custkey") % 7}).select("kind", "value", "n", "hits", *r6("per_mille", "share"))
+
+
+@query("label_tour")
+def _(spark, d):
+    return layout.label_tour(knn.centroids(_emb(spark, d), "label", "embedding"))
+
+
+@query("labels_shown")
+def _(spark, d):
+    marks = _points(spark, d).groupBy("label", (C("id") % 4).alias("part")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").cast("int").alias("size"))
+    return layout.labels_shown(marks.select(F.concat_ws("-", "label", "part").alias("name"), "x", "y", F.least(C("part"), F.lit(2)).cast("int").alias("level"), "size"), [1.0, 2.0, 4.0])
+

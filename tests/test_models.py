@@ -117,3 +117,39 @@ def test_split_regions_costs_no_more(spark):
         cost = sum(((own[cut == s] - own[cut == s].mean(axis=0)) ** 2).sum() for s in set(cut))
         rows = spark.createDataFrame([(p.tolist(),) for p in own], "v array<double>").select(array_to_vector("v").alias("features"))
         assert cost <= 1.001 * min(KMeans(k=k, seed=s).fit(rows).summary.trainingCost for s in range(2))
+
+
+def test_encoder_of_ones_own(spark):
+    rows = spark.createDataFrame([(i, None if i == 3 else f"text {i}") for i in range(150)], "id long, text string")
+
+    def encoder(texts):
+        assert len(texts) <= 40 and all(t.startswith("query: ") for t in texts)
+        return [[len(t), 3.0] for t in texts]
+
+    got = model.encode(rows, "text", "id", 2, encoder, "query: ", 40).toPandas().set_index("id").emb
+    want = np.array([[len("query: " + (f"text {i}" if i != 3 else "")), 3.0] for i in range(150)])
+    assert np.allclose(np.stack(got.sort_index()), want / np.linalg.norm(want, axis=1, keepdims=True))
+    with pytest.raises(Exception, match="the encoder gave"):
+        model.encode(rows, "text", "id", 3, encoder, "query: ", 40).count()
+
+
+def test_levels_of_places_have_words(spark):
+    from lexiscape.operators import places
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.12, (200, 2)) for c in ((0.0, 0.0), (0.0, 0.9), (3.0, 3.0))])
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double")
+    words = spark.createDataFrame([(i, w) for i in range(600) for w in (f"own{'abc'[i // 200]}", "common")], "id long, w string")
+    got = places.place_levels(pts, words, (-1.0, 4.0, -1.0, 4.0), 50, 50, [0.5, 0.15], 30).toPandas()
+    assert got.groupby("level").size().tolist() == [2, 3]
+    assert sorted(w for w, *_ in got[got.level == 1].words) == ["owna", "ownb", "ownc"] and sorted(got[got.level == 1].n) == [200, 200, 200]
+    y = rng.normal(size=(600, 3)) * 0.08 + np.eye(3)[np.arange(600) % 3]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(y)], "id long, x double, y double, z double")
+    words = spark.createDataFrame([(i, f"own{i % 3}") for i in range(600)], "id long, w string")
+    got = places.sphere_levels(pts, words, 3000, 0.1, [4, 1], 20, 150).toPandas()
+    first = got[got.level == 0]
+    assert set(first.of.dropna()) == {1, 2, 3} and first.n.sum() == 600 and all(len(w) == 1 for w in first.words)
+    for r in first.itertuples():
+        own = y[np.arange(600) % 3 == int(r.words[0][3:])]
+        assert (own @ [r.x, r.y, r.z]).max() > 0.99 and abs(np.hypot(np.hypot(r.x, r.y), r.z) - 1) < 1e-9
