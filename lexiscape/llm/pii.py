@@ -6,7 +6,8 @@ it stands for: (1) homoglyphs and widths become ASCII, invisible characters go;
 " at ", " dot " and the like become @ and .; (3) runs of spelled digits become digits. Identifiers of
 the rewritten text are mapped back through the composed spans. An " at " without brackets counts before a domain with
 a listed top-level label (country codes and common ones), or whose last dot was spelled out and is followed by any two
-letters or more that don't start like a sentence; after " at " that last dot isn't the word "point" and the domain doesn't
+letters or more that don't start like a sentence; a plain dot before an English word that is such a label too ("home.no one") is a
+full stop if the sentence goes on; after " at " that last dot isn't the word "point" and the domain doesn't
 start with an article or the like ("look at the dot and"). A mapped span is added if the
 rewriting changed it and no base span holds all of it; base spans always stay.
 
@@ -114,6 +115,8 @@ _MORE_TOP = frozenset(
     "dev app biz mil mobi name pro xyz online site shop tech cloud blog email web int museum jobs travel aero coop asia cat club live news world page link agency media studio digital".split()
 )
 _NO_DOMAIN = frozenset("the a an this that these those each every any some no one it its his her my your our their which what all both".split())
+#: Top-level labels that start English sentences as words.
+_TOP_WORDS = frozenset("am as at be by do in is it me my no so to us".split())
 _OPEN, _SHUT = r"[\(\[\{<]", r"[\)\]\}>]"
 _AT = re.compile(rf"(?i)(?<=[a-z0-9._%+-])\x20*{_OPEN}\x20*(?:at|@|ät|arroba|arobase)\x20*{_SHUT}\x20*(?=[a-z0-9-])|(?<=[a-z0-9._%+-])\x20+(at|arroba|arobase)\x20+(?=([a-z0-9-]++(?:\.[a-z0-9-]++)+))")
 _DOT = re.compile(rf"(?i)(?<=[a-z0-9])\x20*{_OPEN}\x20*(?:dot|\.|punkt|punto|point)\x20*{_SHUT}\x20*(?=[a-z0-9])|(?<=[a-z0-9])\x20+(?:dot|punkt|punto|point)\x20+(?=[a-z0-9])")
@@ -160,6 +163,10 @@ def _address(tape: Tape, source: str, m: re.Match) -> bool:
     if not m[2]:
         return True
     labels = m[2].split(".")
+    end = m.end(2)
+    plain = not any(tape.changed[i] for i in range(m.start(2), end) if tape.text[i] == ".")
+    if m[1].lower() == "at" and plain and labels[-1].lower() in _TOP_WORDS and re.match(r"\x20+[a-z]", tape.text[end : end + 80]):
+        return False  # a full stop without a blank behind it
     if any(re.fullmatch(_TOP, x.split("-")[0].lower()) for x in labels[1:]):
         return True
     last, dot = labels[-1], m.end(2) - len(labels[-1]) - 1

@@ -288,3 +288,12 @@ def test_equals_sql(spark, small, name):
     assert sorted(want.columns) == sorted(got.columns)
     a, b = want.sort_values(keys).reset_index(drop=True), got[want.columns].sort_values(keys).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
+
+
+def test_full_stops_without_a_blank_are_no_addresses():
+    from lexiscape.llm import pii
+
+    for t in ("see us at home.no one came", "meet at noon.it was good", "look at me.is it so", "we left at dawn.so did they"):
+        assert pii.spans(t)[1] == [], t
+    for t, n in (("write to john at example.it", 27), ("mail john at example.no, please", 23), ("john at example.com today", 19), ("john at mail dot example.it was", 27), ("john (at) example.it was", 20)):
+        assert [e for _, e, k in pii.spans(t)[1] if k == "email"] == [n], t
