@@ -4,10 +4,10 @@ Base spans are plain matches of three kinds (see the patterns). The method adds
 run of LEAST characters or more of a key's alphabet, with two of lower-case letters, capitals and digits, whose class
 changes at MIXED of its places, and that has a sensitive word within NEAR characters before or AFTER behind. Its novelty is what it adds,
 a character, to the compressed size of its surroundings (WINDOW characters on either side, without its own repeats) under
-zstandard primed with an identifier dictionary. Random strings of any alphabet add 0.85 to 1.2 bytes a character there,
-identifiers mostly less. The dictionary is trained on identifiers (snake, camel and other cases) made of a fixed list of
-words of code and of the word pieces that most documents of the whole corpus have. A piece has letters only and no inner change of case, so that
-a key that thousands of copies share can't enter it. Candidates of MIN_NOVELTY or more are reported, unless one base
+zstandard primed with an identifier dictionary, by the dictionary that explains it best. One dictionary is trained on identifiers (snake, camel and other
+cases) made of a fixed list of words of code, the other on those made of that list and of the word pieces that most documents of the whole corpus
+have. A piece has letters only and no inner change of case, so that a key that thousands of copies share can't enter it. Candidates
+of MIN_NOVELTY or more (MIN_LOWER where they are small letters and digits only, which the dictionaries mostly are) are reported, unless one base
 span holds them whole; base spans always stay.
 
 Offsets count code points, ends are exclusive. Null text is empty and has no spans; a null doc_id is carried; repeated
@@ -33,8 +33,8 @@ from lexiscape.session import Scratch
 
 KINDS = ("assign", "access", "hex", "novel")
 LEAST, NEAR, AFTER, WINDOW = 16, 64, 32, 400
-#: Marginal bytes a character; least share of places where the class of character changes.
-MIN_NOVELTY, MIXED = 0.8, 0.25
+#: Marginal bytes a character, the same for small letters and digits only; least share of places where the class of character changes.
+MIN_NOVELTY, MIN_LOWER, MIXED = 0.88, 0.75, 0.25
 #: Word pieces of the corpus that the dictionary is made of, its bytes, the compression level.
 PIECES, DICTIONARY_BYTES, LEVEL = 6000, 1 << 16, 19
 
@@ -108,19 +108,22 @@ def dictionary(own: list[str]) -> bytes:
 
 
 class Novelty:
-    """Marginal compressed size of strings in their surroundings."""
+    """Marginal compressed size of strings in their surroundings, under the best of some dictionaries."""
 
-    def __init__(self, trained: bytes):
-        d = zstandard.ZstdCompressionDict(trained)
-        d.precompute_compress(level=LEVEL)
-        self.zstd = zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False)
-
-    def size(self, text: str) -> int:
-        return len(self.zstd.compress(text.encode("utf-8", "replace")))
+    def __init__(self, *trained: bytes):
+        self.zstd = []
+        for content in trained:
+            d = zstandard.ZstdCompressionDict(content)
+            d.precompute_compress(level=LEVEL)
+            self.zstd.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False))
 
     def of(self, around: str, own: str) -> float:
         """Bytes a character that a string adds."""
-        return (self.size(f"{around}\n{own}") - self.size(around)) / len(own)
+        before, after = around.encode("utf-8", "replace"), f"{around}\n{own}".encode("utf-8", "replace")
+        return min(len(z.compress(after)) - len(z.compress(before)) for z in self.zstd) / len(own)
+
+    def secret(self, around: str, own: str) -> bool:
+        return self.of(around, own) >= (MIN_LOWER if own.isalnum() and own == own.lower() else MIN_NOVELTY)
 
 
 def _mixed(own: str) -> bool:
@@ -156,7 +159,7 @@ def novel(text: str, plain: list[tuple[int, int, str]], model: Novelty) -> list[
             continue
         own = text[s:e]
         around = (text[max(0, s - WINDOW) : s] + " " + text[e : e + WINDOW]).replace(own, "")
-        if model.of(around, own) >= MIN_NOVELTY:
+        if model.secret(around, own):
             out.append((s, e, "novel"))
     return out
 
@@ -168,13 +171,13 @@ def joined(found: list[tuple[int, int, str]]) -> str:
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex (base spans), base_sha256, spans (all spans), per row."""
     spark = docs.sparkSession
-    trained = spark.sparkContext.broadcast(dictionary(pieces(docs)))  # DICTIONARY_BYTES at most
+    trained = spark.sparkContext.broadcast((dictionary([]), dictionary(pieces(docs))))  # DICTIONARY_BYTES each
     T.bounded_batches(spark)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for b in T.slices(batches):
-            model = model or Novelty(trained.value)
+            model = model or Novelty(*trained.value)
             counts, digest, every = [], [], []
             for x in b.column("text").to_pylist():
                 plain = base(x or "")

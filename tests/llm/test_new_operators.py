@@ -237,7 +237,7 @@ def test_random_keys_are_found_and_names_left(model):
         t = f"Use the client credential {key} when the session starts."
         found += any((s, e) == (t.index(key), t.index(key) + len(key)) for s, e, _ in secrets.novel(t, secrets.base(t), model))
         assert not secrets.novel(f"The library has a record {key} for you.", [], model)  # no sensitive word
-    assert found >= 370
+    assert found >= 360
     for name in ("getUserTokenFromSession", "session_token_timeout_seconds", "example.com/docs/session-cookie-policy", "your-api-key-goes-here-1234", "xxxxxxxxxxxxxxxxxxxx", "com.example.project.SecretManager", "token_type_ids", "passwordResetRequestHandler"):
         assert not secrets.novel(f"auth: see {name} for the token.", [], model), name
 
@@ -250,13 +250,26 @@ def test_novelty_is_the_marginal_size(model):
     assert model.of(around, own) == (len(z.compress(f"{around}\n{own}".encode())) - len(z.compress(around.encode()))) / len(own)
 
 
+def test_names_of_code_are_mostly_left(model):
+    """Names in the standard library's sources, as if each stood beside a sensitive word."""
+    import os
+
+    root, names = os.path.dirname(os.__file__), set()
+    for f in sorted(os.listdir(root)):
+        if f.endswith(".py"):
+            names |= {x.strip(".=-_") for x in re.findall(r"[A-Za-z0-9+/_.=-]{16,}", open(f"{root}/{f}", errors="ignore").read())}
+    names = [x for x in names if len(x) >= 16 and not re.fullmatch(r"[0-9._e+/-]+|[0-9a-fx-]+", x)]
+    hit = sum(bool(secrets.novel(f"auth: see {x} for the token.", [], model)) for x in names)
+    assert len(names) > 3000 and hit < 0.05 * len(names)
+
+
 def test_scan_of_odd_rows(spark):
     key = "qT7xPz0LmV2kRw9sYb4NcD"
     docs = [(1, f"Authorization: Bearer {key}\n"), (1, f"Authorization: Bearer {key}\n"), (None, "password=hunter22"), (3, None), (4, ""), (5, "x " * 300_000 + f"secret key {key}"), (6, f'token = "{key}"'), (7, "AKIA" + "A" * 16 + " " + "0" * 24), (8, f"İ the credential is {key}")]
     df = spark.createDataFrame([(*d, "x", 3) for d in docs], "doc_id long, text string, spans string, n_hex int")
     got = sorted((tuple(r) for r in secrets.detect(df).collect()), key=repr)
     want = []
-    trained = secrets.Novelty(secrets.dictionary(secrets.pieces(df)))
+    trained = secrets.Novelty(secrets.dictionary([]), secrets.dictionary(secrets.pieces(df)))
     for d, t in docs:
         plain = plain_spans(t or "")
         every = sorted(plain + secrets.novel(t or "", plain, trained), key=lambda x: (x[0], secrets.KINDS.index(x[2])))
