@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,24 +19,54 @@ MAX_ROUNDS = 40
 WHOLE = 1_000_000
 
 
-def _whole(pdf: pd.DataFrame) -> pd.DataFrame:
-    nodes, at = np.unique(np.concatenate([pdf.u, pdf.v]), return_inverse=True)
-    a, b, low = at[: len(pdf)], at[len(pdf) :], np.arange(len(nodes))
+#: Edges that a task links among themselves before edges are shuffled.
+LINKED = 1 << 20
+
+
+def _lowest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some edges, and of each the smallest one that these edges reach."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, low = at[: len(u)], at[len(u) :], np.arange(len(nodes))
     while True:  # each end takes the smaller name of both, then names are followed to their own names
         x, y = low[a], low[b]
         if (x == y).all():
-            return pd.DataFrame({"node": nodes, "component": nodes[low]})
+            return nodes, nodes[low]
         np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
         while (low[low] != low).any():
             low = low[low]
 
 
+def _whole(pdf: pd.DataFrame) -> pd.DataFrame:
+    node, component = _lowest(pdf.u.to_numpy(), pdf.v.to_numpy())
+    return pd.DataFrame({"node": node, "component": component})
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same components by fewer edges: of each LINKED edges, one from every node to the smallest that they reach."""
+    held: list[pa.RecordBatch] = []
+
+    def linked() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        node, low = _lowest(*(t[c].to_numpy() for c in ("u", "v")))
+        own = node != low
+        return pa.record_batch([pa.array(node[own], t.schema.field("u").type), pa.array(low[own], t.schema.field("v").type)], names=["u", "v"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= LINKED:
+            yield linked()
+            held = []
+    if held:
+        yield linked()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch | None = None, whole: int = 0) -> DataFrame:
     """(node, component) for every node of an edge (a, b); component is the smallest node reachable.
 
     A graph of integer nodes with at most `whole` different edges goes to one task (off where not asked for); others:
 
-    Large-star and small-star steps alternate until the edges form stars; the number of rounds
+    Tasks first link the edges that they hold anyway, which leaves at most an edge a node of each LINKED edges. Then
+    large-star and small-star steps alternate until the edges form stars; the number of rounds
     grows with the logarithm of the largest component. Each step aggregates before it joins, so
     that a hub costs one row a task in the aggregation, and each round is written to the shared folder.
     """
@@ -41,7 +74,10 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, whole
     e = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if whole and e.count() <= whole:
         return e.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda pdf: _whole(pdf), "node long, component long")
-    before = None
+    kinds = dict(e.dtypes)
+    linked = scratch.table(e.mapInArrow(_stars, f"u {kinds['u']}, v {kinds['v']}").distinct())
+    scratch.drop(e)
+    e, before = linked, None
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
