@@ -92,7 +92,7 @@ def test_registered(spark, small):
 
     names = set(__spark_entry__.queries())
     assert {"pipeline"} | set(queries.queries()) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_lost_text(spark, small):
