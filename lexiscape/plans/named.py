@@ -501,9 +501,9 @@ _S = "round_even(greatest(0,least(1,CASE WHEN {0}<=0.0031308 THEN 12.92*{0} ELSE
 
 @query("oklab_rgb", f"WITH {_LAB} SELECT id, {_S.format('x')} AS r, {_S.format('y')} AS g, {_S.format('z')} AS b FROM c")
 def _(spark, d):
-    v = lambda i: C("embedding")[i].cast("double")
-    e = _emb(spark, d).select(C("vec_id").alias("id"), (0.6 + v(0) / 4).alias("l"), (v(1) / 8).alias("a"), (v(2) / 8).alias("b"))
-    r, g, b = X.rgb255(C("l"), C("a"), C("b"))
+    v = lambda i, n: (C("embedding")[i] / n).cast("float")
+    e = _emb(spark, d).select(C("vec_id").alias("id"), (F.lit(0.6).cast("float") + v(0, 4)).alias("l"), v(1, 8).alias("a"), v(2, 8).alias("b"))  # single precision, as in SQL
+    r, g, b = X.rgb255(*(C(c).cast("double") for c in "lab"))
     return e.select("id", r.alias("r"), g.alias("g"), b.alias("b"))
 
 

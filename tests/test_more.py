@@ -291,3 +291,19 @@ def test_scratch_is_cleared(spark, tmp_path):
     assert os.path.exists(path)
     session.clear(spark)
     assert not os.path.exists(path)
+
+
+def test_colours_at_a_rounding_border(spark, tmp_path):
+    """Lightness is single-precision in SQL: a channel of each row lies so near to a half that double precision rounds it elsewhere."""
+    import duckdb
+
+    from lexiscape.plans import catalogue
+
+    near = [["-0x1.06d1e4p-3", "-0x1.a9707cp-6", "0x1.e86a36p-5"], ["-0x1.46f6bep-4", "-0x1.890770p-3", "-0x1.06c0e0p-9"], ["0x1.250632p-3", "0x1.40b93ep-4", "-0x1.334354p-4"]]
+    rows = [(i, [float.fromhex(x) for x in v], 0) for i, v in enumerate(near)]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    got = [tuple(r) for r in catalogue.queries()["oklab_rgb"](spark, str(tmp_path)).orderBy("id").collect()]
+    assert got == con.execute(catalogue.oracle_sql()["oklab_rgb"] + " order by id").fetchall()
