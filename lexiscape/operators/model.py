@@ -92,29 +92,58 @@ def kernel_width(rows: DataFrame, node: np.ndarray, target: float = 0.6, steps:
     return (lo * hi) ** 0.5
 
 
-def sinkhorn(cost: np.ndarray, lam: float, eps: float, rounds: int = 1000, stop: float = 1e-6) -> tuple[np.ndarray, bool]:
+def sinkhorn(cost, lam: float, eps: float, rounds: int = 1000, stop: float = 1e-6, shape: tuple[int, int] | None = None) -> tuple[np.ndarray, bool]:
     """Unbalanced transport between uniform masses: the mass that each row sends (1: all of it), and whether it settled.
 
-    Scalings are kept as potentials plus a small factor: where a factor grows beyond LARGE it goes into the potentials
-    and the kernel is made anew, so that small eps neither underflows nor overflows.
+    cost: a matrix, or a function that gives the costs of a range of rows, and the shape. Scalings are kept as potentials plus a small
+    factor: where a factor grows beyond LARGE it goes into the potentials and the kernel is made anew, so that small eps neither
+    underflows nor overflows. The kernel is the one large array: each row and each column of it is held over its greatest entry, in
+    single precision where double ones would take over KERNEL_BYTES. Sums are double, a round reads the kernel once in blocks of rows,
+    and the masses come from the costs in double.
     """
-    n, m = cost.shape
+    costs, (n, m) = (cost, shape) if shape else ((lambda i, j: cost[i:j]), cost.shape)
     power = lam / (lam + eps)
     f, g, u, v = np.zeros(n), np.zeros(m), np.ones(n), np.ones(m)
-    k = np.exp(-cost / eps) / (n * m)
+    step = max(1, KERNEL_BLOCK // m)
+    blocks = [(i, min(i + step, n)) for i in range(0, n, step)]
+    k = np.empty((n, m), np.float64 if 8 * n * m <= KERNEL_BYTES else np.float32)
+
+    def power_of(i: int, j: int) -> np.ndarray:
+        return (f[i:j, None] + g - costs(i, j)) / eps
+
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        high, wide = np.empty(n), np.full(m, -np.inf)
+        for i, j in blocks:
+            e = power_of(i, j)
+            high[i:j] = e.max(axis=1)
+            wide = np.maximum(wide, (e - high[i:j, None]).max(axis=0))
+        for i, j in blocks:
+            k[i:j] = np.exp(power_of(i, j) - high[i:j, None] - wide)
+        return np.exp(high) / (n * m), np.exp(wide)
+
+    def sent() -> np.ndarray:
+        return np.concatenate([u[i:j] * (np.exp(power_of(i, j)) @ v) / m for i, j in blocks])
+
+    left, right = made()
     for _ in range(rounds):
-        before = f + eps * np.log(u)
-        u = (1 / n / np.maximum(k @ v, 1e-300)) ** power * np.exp(-f / (lam + eps))
-        v = (1 / m / np.maximum(k.T @ u, 1e-300)) ** power * np.exp(-g / (lam + eps))
+        before, given, taken = f + eps * np.log(u), right * v, np.zeros(m)
+        for i, j in blocks:
+            b = k[i:j].astype(np.float64, copy=False)
+            u[i:j] = (1 / n / np.maximum(left[i:j] * (b @ given), 1e-300)) ** power * np.exp(-f[i:j] / (lam + eps))
+            taken += (left[i:j] * u[i:j]) @ b
+        v = (1 / m / np.maximum(right * taken, 1e-300)) ** power * np.exp(-g / (lam + eps))
         now = f + eps * np.log(u)
         if max(u.max(), v.max(), 1 / u.min(), 1 / v.min()) > LARGE:
             f, g = now, g + eps * np.log(v)
-            k, u, v = np.exp((f[:, None] + g - cost) / eps) / (n * m), np.ones(n), np.ones(m)
+            u, v = np.ones(n), np.ones(m)
+            left, right = made()
         if np.abs(now - before).max() / max(1.0, np.abs(now).max()) < stop * eps:
-            return u * (k @ v) * n, True
-    return u * (k @ v) * n, False
+            return sent(), True
+    return sent(), False
 
 
+#: Bytes of a kernel in double precision; entries of it that are worked on at once.
+KERNEL_BYTES, KERNEL_BLOCK = 64 << 20, 1 << 19
 #: A scaling factor that goes into the potentials.
 LARGE = 1e6
 
@@ -183,7 +212,8 @@ def transported(rows: DataFrame, key: str, vector: str, year: str, least_past: i
         out = pd.DataFrame({"year": key[0], "draw": key[1], "id": a.id, "standard": key[2] < 0})
         if not len(a) or not len(b):
             return out.assign(surplus=np.ones(len(a)))
-        return out.assign(surplus=np.clip(1 - sinkhorn(cost(unit(np.array(a.p.tolist(), float)), unit(np.array(b.p.tolist(), float))), *pick)[0], 0, 1))
+        x, y = (unit(np.array(t.p.tolist(), float)) for t in (a, b))
+        return out.assign(surplus=np.clip(1 - sinkhorn(lambda i, j: cost(x[i:j], y), *pick, shape=(len(x), len(y)))[0], 0, 1))
 
     keys = ["y", "draw", "c"]
     met = own.groupBy(*keys).cogroup(std.groupBy(*keys)).applyInPandas(meet, "year int, draw int, id long, standard boolean, surplus double")

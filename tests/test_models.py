@@ -153,3 +153,24 @@ def test_levels_of_places_have_words(spark):
     for r in first.itertuples():
         own = y[np.arange(600) % 3 == int(r.words[0][3:])]
         assert (own @ [r.x, r.y, r.z]).max() > 0.99 and abs(np.hypot(np.hypot(r.x, r.y), r.z) - 1) < 1e-9
+
+
+def test_transport_in_bounded_memory():
+    """Beyond KERNEL_BYTES one single-precision kernel is held, whatever the rounds: half of a double one, and no copies of it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, y = (rng.normal(size=(3000, 8)) / 3 for _ in range(2))
+    costs = lambda i, j: ((x[i:j, None, 0] - y[:, 0]) ** 2 + (x[i:j, None, 1] - y[:, 1]) ** 2)
+    for lam, eps in ((0.2, 0.05), (0.05, 0.001)):  # the second makes the kernel anew
+        want, ok = model.sinkhorn(costs(0, 600), lam, eps)
+        small = pytest.MonkeyPatch()
+        small.setattr(model, "KERNEL_BYTES", 0)
+        got, also = model.sinkhorn(lambda i, j: costs(i, min(j, 600)), lam, eps, shape=(600, 3000))
+        small.undo()
+        assert ok and also and np.allclose(got, want, atol=1e-6)
+    tracemalloc.start()
+    model.sinkhorn(costs, 0.2, 0.05, shape=(3000, 3000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3000 * 3000 * 4 + (40 << 20)
