@@ -15,47 +15,77 @@ from lexiscape.functions.columns import dot, norm, unit
 from lexiscape.session import Scratch
 
 #: Bytes of the matrix that may be sent to every task; beyond it, rows are dealt to cells, in blocks of so many bytes and rows at most.
-SENT_BYTES, BLOCK_BYTES, BLOCK = 256 << 20, 32 << 20, 65_536
+SENT_BYTES, BLOCK_BYTES, BLOCK = 16 << 20, 16 << 20, 32_768
+#: Queries and rows of a block that meet in one product.
+QUERIES, TILE = 256, 8192
 #: Bytes of pivots that every task is sent.
 PIVOT_BYTES = 64 << 20
 EDGES = "src long, dst long, sim double"
 
 
-def _top(q_ids, q, ids, x, k: int) -> Iterator[pa.RecordBatch]:
-    """k best of a block for each query; similarity is rounded to 12 places, so that the last bit orders nothing."""
-    step = max(1, min(512, (4 << 20) // max(1, len(ids))))
-    for at in range(0, len(q_ids), step):
-        sim = np.round(q[at : at + step] @ x.T, 12)
-        src, dst, val = [], [], []
-        for i, row in enumerate(sim):
-            own = ids == q_ids[at + i]
-            row[own] = -np.inf
-            m = min(k, len(row) - int(own.sum()))
-            if m <= 0:
+def _marked(mask: np.ndarray) -> np.ndarray:
+    """Places of the few that hold, eight looked at as one."""
+    flat = mask.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    some = (8 * np.flatnonzero(flat.view(np.uint64))[:, None] + np.arange(8)).ravel()
+    return some[flat[some]]
+
+
+def _top(q_ids, q, ids, x, k: int, above: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """k best of a block for each query; similarity is rounded to 12 places, so that the last bit orders nothing.
+
+    Single-precision products find all rows that can be among the k best: unit vectors' products are off by less than `slack`, so
+    that these lie at most twice that under the k-th best. Their similarities are then worked out in double precision.
+    above: of each query a similarity under which none is asked for.
+    """
+    x32, q32 = x.astype(np.float32), q.astype(np.float32)
+    slack = 2 * (x.shape[1] + 4) * 2.0**-24 + 1e-11
+    for at in range(0, len(q_ids), QUERIES):
+        own = q_ids[at : at + QUERIES]
+        row, col, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        least = np.full(len(own), -np.inf, np.float32) if above is None else (above[at : at + QUERIES] - slack).astype(np.float32)
+        for lo in range(0, len(ids), TILE):
+            s = q32[at : at + QUERIES] @ x32[lo : lo + TILE].T
+            if not lo and above is None and s.shape[1] > 4 * k:
+                least = np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1] - np.float32(slack)  # k + 1 rows: one may be the query
+            r, c = np.divmod(_marked(s >= least[:, None]), s.shape[1])
+            if not len(r):
                 continue
-            cand = np.flatnonzero(row >= np.partition(row, len(row) - m)[len(row) - m])
-            cand = cand[np.lexsort((ids[cand], -row[cand]))[:m]]
-            src.append(np.full(len(cand), q_ids[at + i]))
-            dst.append(ids[cand])
-            val.append(row[cand])
-        if src:
-            yield pa.record_batch([pa.array(np.concatenate(a)) for a in (src, dst, val)], names=["src", "dst", "sim"])
+            other = own[r] != ids[lo + c]
+            r, c = r[other], c[other]
+            row, col, sim = np.concatenate([row, r]), np.concatenate([col, lo + c]), np.concatenate([sim, s[r, c]])
+            order = np.lexsort((-sim, row))
+            row, col, sim = row[order], col[order], sim[order]
+            first = np.searchsorted(row, np.arange(len(own)))
+            kth = first + k - 1
+            full = kth < np.append(first[1:], len(row))
+            least[full] = np.maximum(least[full], sim[kth[full]] - np.float32(slack))
+            keep = sim >= least[row]
+            row, col, sim = row[keep], col[keep], sim[keep]
+        exactly = np.concatenate([np.einsum("ij,ij->i", q[at + row[i : i + TILE]], x[col[i : i + TILE]]) for i in range(0, len(row), TILE)] or [np.zeros(0)])
+        exactly = np.round(exactly, 12)
+        order = np.lexsort((ids[col], -exactly, row))
+        row, col, exactly = row[order], col[order], exactly[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        if best.any():
+            yield pa.record_batch([pa.array(own[row[best]]), pa.array(ids[col[best]]), pa.array(exactly[best])], names=["src", "dst", "sim"])
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), -1)
 
 
 def exact(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest others of every row. Equal vectors stay neighbours at distance 0; ties go to the smaller id; null and zero vectors take no part.
 
-    A matrix of up to SENT_BYTES is sent to all tasks. Rows of a larger one are dealt to cells by their nearest pivot, and meet
+    A matrix of up to SENT_BYTES and BLOCK rows is sent to all tasks. Rows of a larger one are dealt to cells by their nearest pivot, and meet
     only those blocks that can hold a neighbour of theirs (see `visits`).
     """
     spark = rows.sparkSession
     x = rows.select(F.col(key).cast("long").alias("id"), F.when(norm(F.col(vector)) > 0, unit(F.col(vector))).alias("v")).where("v is not null")
     n, width = x.agg(F.count("*"), F.max(F.size("v"))).first()
-    if n * (width or 0) * 8 <= SENT_BYTES:
+    if n * (width or 0) * 8 <= SENT_BYTES and n <= BLOCK:
         table = x.orderBy("id").toArrow()
         ids = table.column("id").to_numpy()
         shared = spark.sparkContext.broadcast((ids, _matrix(table.column("v").combine_chunks()) if n else np.zeros((0, 0))))
@@ -70,12 +100,12 @@ def exact(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding
     else:
         own, cells = celled(x, n, width)
         met = within(own, k)
-        away = Scratch(spark).table(visits(met, cells, k))
-        pairs = away.select(F.col("home").alias("to"), F.col("target").alias("block")).distinct()
+        away = visits(met, cells, k)  # worked out twice: it has a row's vector for each block
+        pairs = Scratch(spark).table(away.select(F.col("home").alias("to"), F.col("target").alias("block")).distinct())
         there = own.select("id", "v", "block").join(pairs, "block")
 
         def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-            got = list(_top(q["id"].to_numpy(), _matrix(q["v"].combine_chunks()), c["id"].to_numpy(), _matrix(c["v"].combine_chunks()), k)) if len(q) and len(c) else []
+            got = list(_top(q["id"].to_numpy(), _matrix(q["v"].combine_chunks()), c["id"].to_numpy(), _matrix(c["v"].combine_chunks()), k, q["above"].to_numpy())) if len(q) and len(c) else []
             return pa.Table.from_batches(got) if got else pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
 
         found = away.groupBy("home", "target").cogroup(there.groupBy("to", "block")).applyInArrow(meet, EDGES)
@@ -142,11 +172,12 @@ def within(own: DataFrame, k: int) -> DataFrame:
     def each(t: pa.Table) -> pa.Table:
         ids, v = t["id"].to_numpy(), _matrix(t["v"].combine_chunks())
         order = np.argsort(ids, kind="stable")
+        sorted_ids = ids[order]
         dst, sim = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
-        for got in _top(ids, v, ids[order], v[order], k):
+        for got in _top(ids, v, ids, v, k):
             src, d, s = (got.column(c).to_numpy() for c in range(3))
             for part in np.split(np.arange(len(src)), np.flatnonzero(np.diff(src)) + 1):
-                for i in order[slice(*np.searchsorted(ids[order], [src[part[0]], src[part[0]] + 1]))]:
+                for i in order[slice(*np.searchsorted(sorted_ids, [src[part[0]], src[part[0]] + 1]))]:
                     dst[i], sim[i] = d[part], s[part]
         return t.append_column("dst", pa.array(dst, pa.list_(pa.int64()))).append_column("sim", pa.array(sim, pa.list_(pa.float64())))
 
@@ -154,7 +185,7 @@ def within(own: DataFrame, k: int) -> DataFrame:
 
 
 def visits(met: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """id, v, home, target: the other blocks that may hold one of a row's k nearest.
+    """id, v, above, home, target: the other blocks that may hold one of a row's k nearest, and the similarity of the k-th in its own (-2: none).
 
     At most as far as its k-th nearest lies the k-th of the row's own block, and the far side of any cell with k + 1 rows. A cell
     whose rows all lie farther is passed over: they are no nearer than the distance to its pivot less its radius, nor, since they are
@@ -169,7 +200,8 @@ def visits(met: DataFrame, cells: Cells, k: int) -> DataFrame:
             for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
                 ids, cell, home = b.column("id").to_numpy(), b.column("cell").to_numpy(), b.column("block").to_numpy()
                 d = _apart(_matrix(b.column("v")), c.pivot)
-                reach = np.array([np.sqrt(max(0.0, 2 - 2 * s[k - 1])) if len(s) >= k else np.inf for s in b.column("sim").to_pylist()])
+                above = np.array([s[k - 1] if len(s) >= k else -2.0 for s in b.column("sim").to_pylist()])
+                reach = np.where(above > -2, np.sqrt(np.maximum(0.0, 2 - 2 * above)), np.inf)
                 full = c.rows > k
                 if full.any():
                     reach = np.minimum(reach, (d + c.radius)[:, full].min(axis=1))
@@ -183,9 +215,9 @@ def visits(met: DataFrame, cells: Cells, k: int) -> DataFrame:
                 row, target = row[go], target[go]
                 for i in range(0, len(row), 4096):
                     at = pa.array(row[i : i + 4096])
-                    yield pa.record_batch([b.column("id").take(at), b.column("v").take(at), pa.array(home[row[i : i + 4096]]), pa.array(target[i : i + 4096].astype(np.int32))], names=["id", "v", "home", "target"])
+                    yield pa.record_batch([b.column("id").take(at), b.column("v").take(at), pa.array(above[row[i : i + 4096]]), pa.array(home[row[i : i + 4096]]), pa.array(target[i : i + 4096].astype(np.int32))], names=["id", "v", "above", "home", "target"])
 
-    return met.select("id", "v", "cell", "block", "sim").mapInArrow(each, "id long, v array<double>, home int, target int")
+    return met.select("id", "v", "cell", "block", "sim").mapInArrow(each, "id long, v array<double>, above double, home int, target int")
 
 
 def distances(edges: DataFrame, k: int = 15) -> DataFrame:

@@ -188,3 +188,33 @@ def test_quantiles_by_group(spark):
     for k, v in want.items():
         assert got[k] == pytest.approx(tuple(np.quantile(v, [0.1, 0.5, 1.0])))
     assert ranks.group_quantiles(df.limit(0), ["g"], "v", m=0.5).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 9, 64])
+def test_nearest_of_a_block(monkeypatch, width):
+    """Single-precision screening keeps what double precision orders: near ties, copies, small tiles."""
+    monkeypatch.setattr(knn, "TILE", 64)
+    monkeypatch.setattr(knn, "QUERIES", 50)
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(300, width))
+    x = np.concatenate([x, x[:40], x[:60] + 1e-7 * rng.normal(size=(60, width)), np.repeat(x[7:8], 30, axis=0)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(len(x)).astype(np.int64)
+    sim = np.round(x @ x.T, 12)
+    np.fill_diagonal(sim, -np.inf)
+    for k in (1, 15, 500):
+        got = {}
+        for b in knn._top(ids, x, ids, x, k):
+            for s, d, v in zip(*(b.column(c).to_pylist() for c in range(3))):
+                got.setdefault(s, []).append((d, v))
+        for i, own in enumerate(ids):
+            best = np.lexsort((ids, -sim[i]))[: min(k, len(ids) - 1)]
+            assert [d for d, _ in got[own]] == ids[best].tolist() and np.allclose([v for _, v in got[own]], sim[i][best], atol=2e-12, rtol=0)
+    few = next(knn._top(ids[:5], x[:5], ids, x, 15, np.full(5, 0.999999)))
+    assert width < 9 or few.num_rows < 75
+    assert min(few.column("sim").to_pylist()) > 0.9999
+
+
+def test_bounds_of_what_is_sent():
+    """What a task holds of the neighbour search: a block and its partner, or as much as a block."""
+    assert max(knn.SENT_BYTES, knn.BLOCK_BYTES) <= 16 << 20 and knn.QUERIES * knn.TILE * 4 <= 16 << 20
