@@ -176,7 +176,7 @@ def embedded(edges: DataFrame, kind: str = "plane", axes: int = 2, k: int = 15,
     w = fuzzy_weights(edges.where("src is not null and dst is not null and dist is not null and src <> dst"), k)
     w = scratch.table(w)
     degree = w.groupBy("src").agg(F.count("*").alias("deg"))
-    w = scratch.table(w.join(degree, "src"))
+    w = scratch.table(w.join(degree.hint("merge"), "src"))
     count = w.count()
     if not count:
         return edges.sparkSession.createDataFrame([], "id long, " + ", ".join(f"{c} double" for c in names))
@@ -199,7 +199,7 @@ def embedded(edges: DataFrame, kind: str = "plane", axes: int = 2, k: int = 15,
             return pd.Series(np.searchsorted(cuts, order(np.stack(x.to_numpy()), low, high, own.to_numpy()), "right"))
 
         followed = w.where((F.col("deg") <= HUB) | (F.pmod(F.xxhash64("src", "dst", F.lit(r)), F.col("deg")) < HUB))
-        ends = lambda p, key: now.select(F.col("id").alias(key), *(F.col(c).alias(f"{p}{c}") for c in names))
+        ends = lambda p, key: now.select(F.col("id").alias(key), *(F.col(c).alias(f"{p}{c}") for c in names)).hint("merge")  # noqa: E731  not through the driver
         t = followed.select("src", "dst", "w").join(ends("s_", "src").withColumn("block", block("src", F.array(*(f"s_{c}" for c in names)))), "src").join(ends("d_", "dst"), "dst")
         sent = edges.sparkSession.sparkContext.broadcast((sample, alphas[r * epochs : (r + 1) * epochs]))
 

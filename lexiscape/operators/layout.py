@@ -19,7 +19,8 @@ def graph_layout(edges: DataFrame, rounds: int = 12, axes: int = 2) -> DataFrame
 
     Power iteration of the lazy random walk from hashed starts: each round averages a node with its neighbours
     and takes out the constant and the earlier axes (sums over all nodes, weighted by degree), so that the axes
-    go to the slowest modes of the graph. Ends are scaled to unit weighted variance.
+    go to the slowest modes of the graph. Ends are scaled to unit weighted variance. Places meet edges by sorted joins, so that
+    no round sends them through the driver.
     """
     scratch = Scratch(edges.sparkSession)
     e = scratch.table(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
@@ -27,8 +28,8 @@ def graph_layout(edges: DataFrame, rounds: int = 12, axes: int = 2) -> DataFrame
     names = [f"c{i}" for i in range(axes)]
     now = scratch.table(degree.select("id", "deg", *(F.expr(f"(pmod(xxhash64(id, {i}), 2000003) / 1000001.5) - 1.0").alias(c) for i, c in enumerate(names))))
     for _ in range(rounds):
-        near = e.join(now.select(F.col("id").alias("dst"), *names), "dst").groupBy(F.col("src").alias("id")).agg(*(F.avg(c).alias(f"n_{c}") for c in names))
-        step = scratch.table(now.join(near, "id").select("id", "deg", *(((F.col(c) + F.col(f"n_{c}")) / 2).alias(c) for c in names)))
+        near = e.join(now.select(F.col("id").alias("dst"), *names).hint("merge"), "dst").groupBy(F.col("src").alias("id")).agg(*(F.avg(c).alias(f"n_{c}") for c in names))
+        step = scratch.table(now.hint("merge").join(near, "id").select("id", "deg", *(((F.col(c) + F.col(f"n_{c}")) / 2).alias(c) for c in names)))
         scratch.drop(now)
         now = _orthogonal(step, names, scratch)
         scratch.drop(step)

@@ -99,3 +99,20 @@ def test_copies_nulls_and_empty_tables(spark):
     p = embed.embedded(e, k=5, rounds=2, epochs=5).toPandas()
     assert len(p) == 50 and np.isfinite(p[["c0", "c1"]].to_numpy()).all()
     assert embed.embedded(e.limit(0)).count() == 0
+
+
+def test_places_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Tables that are small enough to be broadcast are joined by sorting: a round sends no row's place to the driver."""
+    from lexiscape import session
+
+    plans, table = [], session.Scratch.table
+
+    def seen(self, df, path=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, path)
+
+    monkeypatch.setattr(session.Scratch, "table", seen)
+    rows = [(i, 1 + j, (i + j + 1) % 60, 0.1 + 0.01 * j) for i in range(60) for j in range(3)]
+    edges = spark.createDataFrame(rows, "src long, rank int, dst long, dist double")
+    assert embed.embedded(edges, k=3, rounds=2, epochs=2).count() == 60
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
