@@ -83,7 +83,7 @@ def sphere_levels(points: DataFrame, words: DataFrame, n: int, sigma: float, ste
         whole = own.where(~split & (F.col("_n") >= least)).select("id", F.col("region").alias("place"), F.lit(None).cast("long").alias("of"))
         if limit:
             parts = terrain.split_regions(points, own.where(split).select("id", "region"), limit)
-            whole = whole.unionByName(parts.select("id", F.col("sector").alias("place"), F.floor(F.col("sector") / 1000).cast("long").alias("of")))
+            whole = whole.unionByName(parts.select("id", F.col("sector").alias("place"), F.col("region").alias("of")))
         whole = scratch.table(points.join(whole, "id"))
         mean = whole.where("of is not null").groupBy("place").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
         long = F.sqrt(F.col("mx") ** 2 + F.col("my") ** 2 + F.col("mz") ** 2)

@@ -338,36 +338,139 @@ def sphere_regions(field: DataFrame, n: int, sigma: float, share: float = 0.03,
     return spark.range(n).select(F.col("id").alias("node")).join(label.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("region", F.lit(0)).cast("int").alias("region"))
 
 
+#: Points that meet their centres at once.
+BLOCK = 512
+
+
+def _halves(x: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Some points, cut at the median of the axis in which they are spread the most."""
+    own = x[at]
+    order = np.argpartition(own[:, np.ptp(own, axis=0).argmax()], len(at) // 2)
+    return [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs, added up axis by axis."""
+    return sum((np.subtract.outer(x[:, i], y[:, i]) ** 2 for i in range(1, x.shape[1])), np.subtract.outer(x[:, 0], y[:, 0]) ** 2)
+
+
+def _ball(own: np.ndarray) -> tuple[np.ndarray, float]:
+    """Middle of some points' box, and the distance from it to the farthest of them."""
+    mid = (own.min(axis=0) + own.max(axis=0)) / 2
+    return mid, math.sqrt(_squares(mid[None], own).max())
+
+
+def nearest_centre(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point (ties: the first one), and the square of its distance; exact, without meeting all pairs.
+
+    Points are halved, and a part keeps the centres that may be nearest to one of its points: those no farther from its middle than the nearest one there and twice its radius.
+    """
+    to, cost = np.zeros(len(x), int), np.zeros(len(x))
+    todo = [(np.arange(len(x)), np.sort(np.unique(centre, axis=0, return_index=True)[1]))] if len(x) else []
+    while todo:
+        at, few = todo.pop()
+        own = x[at]
+        if len(few) > 1:
+            mid, radius = _ball(own)
+            away = np.sqrt(_squares(mid[None], centre[few])[0])
+            few = few[~(away > (away.min() + 2 * radius) * (1 + 1e-9))]
+            if radius == 0:  # copies
+                own = own[:1]
+            elif len(at) > BLOCK or len(few) > BLOCK and len(at) > 16:
+                todo += [(half, few) for half in _halves(x, at)]
+                continue
+        elif len(at) > BLOCK * BLOCK:
+            todo += [(half, few) for half in _halves(x, at)]
+            continue
+        d = _squares(own, centre[few])
+        best = d.argmin(axis=1)
+        to[at], cost[at] = few[best], d[np.arange(len(own)), best]
+    return to, cost
+
+
+def spread_starts(x: np.ndarray, k: int, draws: list[np.random.Generator]) -> list[np.ndarray]:
+    """k-means++: the indices of k points a generator, each drawn by its squared distance from those before.
+
+    Points lie in blocks, and a new centre meets those that it may be nearer to than what they have; a tree of sums, 16 a node, is drawn from.
+    """
+    todo, blocks = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= BLOCK:
+            blocks.append(at)
+        else:
+            todo += _halves(x, at)
+    balls = [_ball(x[at]) for at in blocks]
+    mid, radius = np.array([m for m, _ in balls]), np.array([r for _, r in balls])
+    out = []
+    for rng in draws:
+        found = [int(rng.integers(len(x)))]
+        far = _squares(x[found], x)[0]
+        top = np.array([far[at].max() for at in blocks])
+        sums = [np.append(far, np.zeros(-len(far) % 16))]
+        while len(sums[-1]) > 16:
+            up = sums[-1].reshape(-1, 16).sum(axis=1)
+            sums.append(np.append(up, np.zeros(-len(up) % 16)))
+        far = sums[0]
+        while len(found) < k:
+            total, i = sums[-1].sum(), 0
+            if total > 0:
+                left = rng.random() * total
+                for level in reversed(sums):
+                    upto = level[16 * i : 16 * i + 16].cumsum()
+                    j = min(int(upto.searchsorted(left, side="right")), int(np.flatnonzero(level[16 * i : 16 * i + 16])[-1]))
+                    left, i = left - (upto[j - 1] if j else 0.0), 16 * i + j
+            else:
+                i = int(rng.integers(len(x)))
+            found.append(i)
+            gap = np.maximum(np.sqrt(_squares(x[i : i + 1], mid)[0]) - radius * (1 + 1e-9), 0.0)
+            moved = []
+            for b in np.flatnonzero(gap * gap * (1 - 1e-9) < top):
+                at = blocks[b]
+                d = _squares(x[i : i + 1], x[at])[0]
+                less = d < far[at]
+                moved.append(at[less])
+                far[at[less]] = d[less]
+                top[b] = far[at].max()
+            at = np.concatenate(moved) if moved else np.zeros(0, int)
+            for low, high in zip(sums, sums[1:]):
+                at = np.unique(at // 16)
+                high[at] = low.reshape(-1, 16)[at].sum(axis=1)
+        out.append(np.array(found))
+    return out
+
+
 def split_regions(points: DataFrame, regions: DataFrame, limit: int, key: str = "id", starts: int = 4, rounds: int = 20) -> DataFrame:
-    """id, sector: regions of over `limit` points are cut by k-means into ceil(n / limit); sector = region * 1000 + c + 1.
+    """id, region, sector: regions of over `limit` points are cut by k-means into ceil(n / limit); sector = region * 1000 + c + 1
+    (where a region has 1000 parts or more: times the next power of ten above the most parts).
 
-    All regions and starts go on together: a round is one job, which adds up each centre's points in the tasks. Starts are
+    All regions and starts go on together: a round is one job, which adds up each centre's points in the tasks. Points lie in order of region and
+    cell, so that a task meets few centres, of which a point meets those near by. Starts are
     k-means++ on a hashed sample of about SEEDS points a centre; of a region's starts the cheapest stays. Tasks are sent the centres (starts
     for every `limit` points), sums come back a row a centre.
     """
     spark = points.sparkSession
     scratch = Scratch(spark)
     rows = scratch.table(points.join(regions, key).select(key, F.col("region").cast("long").alias("region"), "x", "y", "z"))
-    size = {r["region"]: r["count"] for r in rows.groupBy("region").count().where(F.col("count") > limit).collect()}  # a row a region
-    whole = rows.where(~F.col("region").isin(list(size) or [-1])).select(key, (F.col("region") * 1000 + 1).alias("sector"))
-    if not size:
+    ends = [f(c).alias(f"{c}{i}") for c in "xyz" for i, f in enumerate((F.min, F.max))]
+    large = rows.groupBy("region").agg(F.count("*").alias("n"), *ends).where(F.col("n") > limit).collect()  # a row a region
+    parts = {r["region"]: -(-r["n"] // limit) for r in large}
+    most = max(parts.values(), default=1)
+    step = 1000 if most < 1000 else 10 ** len(str(most))
+    whole = rows.where(~F.col("region").isin(list(parts) or [-1])).select(key, "region", (F.col("region") * step + 1).alias("sector"))
+    if not parts:
         return whole
-    parts = {r: -(-n // limit) for r, n in size.items()}
-    shares = spark.createDataFrame([(r, min(1.0, SEEDS * parts[r] / n), parts[r]) for r, n in size.items()], "region long, share double, parts int")
-    own = scratch.table(rows.join(F.broadcast(shares), "region"))  # a row a region
+    side = lambda r, c: ((r[f"{c}1"] - r[f"{c}0"]) / max(1, round(math.sqrt(r["n"] / CELL)))) or 1.0
+    shares = spark.createDataFrame([(r["region"], min(1.0, SEEDS * parts[r["region"]] / r["n"]), parts[r["region"]], *(v for c in "xyz" for v in (r[f"{c}0"], side(r, c)))) for r in large], "region long, share double, parts int, x0 double, xw double, y0 double, yw double, z0 double, zw double")
+    near = [F.floor((F.col(c) - F.col(f"{c}0")) / F.col(f"{c}w")) for c in "xyz"]
+    own = rows.join(F.broadcast(shares), "region").repartitionByRange("region", *near, key).sortWithinPartitions("region", *near)  # a row a region
+    own = scratch.table(own.select(key, "region", "x", "y", "z", "share", "parts"))
 
     def seeded(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        x, k, out = pdf[["x", "y", "z"]].to_numpy(), int(pdf.parts.iloc[0]), []
-        for s in range(starts):
-            rng = np.random.default_rng([s, int(pdf.region.iloc[0])])
-            centre = [x[rng.integers(len(x))]]
-            far = ((x - centre[0]) ** 2).sum(axis=1)
-            while len(centre) < k:
-                centre.append(x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))])
-                far = np.minimum(far, ((x - centre[-1]) ** 2).sum(axis=1))
-            out += [(int(pdf.region.iloc[0]), s, c, *p) for c, p in enumerate(centre)]
-        return pd.DataFrame(out, columns=["region", "start", "c", "x", "y", "z"])
+        x, k, region = pdf[["x", "y", "z"]].to_numpy(), int(pdf.parts.iloc[0]), int(pdf.region.iloc[0])
+        found = spread_starts(x, k, [np.random.default_rng([s, region]) for s in range(starts)])
+        return pd.DataFrame([(region, s, c, *x[i]) for s, own in enumerate(found) for c, i in enumerate(own)], columns=["region", "start", "c", "x", "y", "z"])
 
     sample = own.where(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < F.col("share") * 1_000_003)
     seeds = sample.groupBy("region").applyInPandas(seeded, "region long, start int, c int, x double, y double, z double").toLocalIterator()
@@ -376,18 +479,16 @@ def split_regions(points: DataFrame, regions: DataFrame, limit: int, key: str =
         centre[s["region"]][s["start"], s["c"]] = s["x"], s["y"], s["z"]
 
     def totals(batches, sent):
-        sums: dict[tuple[int, int, int], np.ndarray] = {}
         for pdf in batches:
+            out = []
             for r, part in pdf.groupby("region"):
                 x = part[["x", "y", "z"]].to_numpy()
                 for s, c in enumerate(sent.value[r]):
-                    d = ((x[:, None] - c) ** 2).sum(axis=2)
-                    to = d.argmin(axis=1)
-                    for i in np.unique(to):
-                        own = x[to == i]
-                        total = np.array([len(own), *own.sum(axis=0), d[to == i, i].sum()])
-                        sums[r, s, int(i)] = sums.get((r, s, int(i)), 0) + total
-        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["region", "start", "c", "n", "sx", "sy", "sz", "cost"])
+                    to, cost = nearest_centre(x, c)
+                    used, at = np.unique(to, return_inverse=True)
+                    out.append(np.stack([np.full(len(used), r), np.full(len(used), s), used, np.bincount(at), *(np.bincount(at, v) for v in (*x.T, cost))], axis=1))
+            if out:
+                yield pd.DataFrame(np.concatenate(out), columns=["region", "start", "c", "n", "sx", "sy", "sz", "cost"]).astype({"region": int, "start": int, "c": int})
 
     cost: dict[tuple[int, int], float] = {}
     for i in range(rounds + 1):
@@ -398,6 +499,7 @@ def split_regions(points: DataFrame, regions: DataFrame, limit: int, key: str =
         for t in got.groupBy("region", "start", "c").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sz", "cost"))).toLocalIterator():
             new[t["region"]][t["start"], t["c"]] = np.array([t["sx"], t["sy"], t["sz"]]) / t["n"]
             cost[t["region"], t["start"]] = cost.get((t["region"], t["start"]), 0.0) + t["cost"]
+        sent.destroy()
         if i == rounds or before and all(before[k] - v <= 1e-4 * v for k, v in cost.items()):
             break
         centre = new
@@ -408,15 +510,18 @@ def split_regions(points: DataFrame, regions: DataFrame, limit: int, key: str =
             to = np.zeros(len(pdf), int)
             for r in pdf.region.unique():
                 at = (pdf.region == r).to_numpy()
-                to[at] = ((pdf.loc[at, ["x", "y", "z"]].to_numpy()[:, None] - best.value[r]) ** 2).sum(axis=2).argmin(axis=1)
-            yield pd.DataFrame({key: pdf[key], "sector": pdf.region * 1000 + to + 1})
+                to[at] = nearest_centre(pdf.loc[at, ["x", "y", "z"]].to_numpy(), best.value[r])[0]
+            yield pd.DataFrame({key: pdf[key], "region": pdf.region, "sector": pdf.region * step + to + 1})
 
-    return whole.unionByName(own.mapInPandas(assigned, f"{key} {dict(rows.dtypes)[key]}, sector long"))
+    return whole.unionByName(own.mapInPandas(assigned, f"{key} {dict(rows.dtypes)[key]}, region long, sector long"))
 
 
 #: Points a centre that starts are chosen from.
 SEEDS = 64
 
+#: Points of a cell (aimed at) by which the points of a region are put in order.
+CELL = 4096
+
 
 def ocean(points: DataFrame, spark: SparkSession, probes: int = 40_000, degrees: tuple[float, ...] = (1.0, 2.0, 4.0)) -> DataFrame:
     """deg, share of evenly spread probes farther than an angle from every point, through cells of a probe's angle."""

@@ -464,7 +464,7 @@ def _(spark, d):
 def _(spark, d):
     p = _unit3(spark, d)
     at = terrain.nearest_node(p, 2000).join(_sphere(spark, d), "node").select("id", "region")
-    return terrain.split_regions(p, at, 100)
+    return terrain.split_regions(p, at, 100).select("id", "sector")
 
 
 _PROBES = f"pr AS (SELECT sqrt(greatest(0.0,1-z*z))*cos(i*{math.pi * (3 - 5**0.5)!r}) AS x, sqrt(greatest(0.0,1-z*z))*sin(i*{math.pi * (3 - 5**0.5)!r}) AS y, z, i FROM (SELECT i, 1-(2*i+1)/40000.0::DOUBLE AS z FROM range(40000) r(i))), pt AS (SELECT embedding[1]::DOUBLE/n AS x, embedding[2]::DOUBLE/n AS y, embedding[3]::DOUBLE/n AS z FROM (SELECT embedding, sqrt(embedding[1]::DOUBLE**2+embedding[2]::DOUBLE**2+embedding[3]::DOUBLE**2) AS n FROM embeddings)), mx AS (SELECT i, max(a.x*b.x+a.y*b.y+a.z*b.z) AS c FROM pr a, pt b GROUP BY i)"

@@ -119,6 +119,57 @@ def test_split_regions_costs_no_more(spark):
         assert cost <= 1.001 * min(KMeans(k=k, seed=s).fit(rows).summary.trainingCost for s in range(2))
 
 
+def test_sectors_of_a_thousand_parts_are_their_own(spark):
+    x = np.random.default_rng(4).normal(size=(2160, 3))
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double, z double")
+    at = spark.createDataFrame([(i, 1 + (i >= 2100)) for i in range(2160)], "id long, region int")
+    got = terrain.split_regions(pts, at, 2, rounds=1).toPandas().set_index("id").sort_index()
+    first, second = set(got.sector[:2100]), set(got.sector[2100:])
+    assert len(first) > 900 and max(first) - min(first) > 1000 and not first & second
+    assert (got.region == np.where(got.index < 2100, 1, 2)).all() and (got.sector // 10_000 == got.region).all()
+
+
+def test_nearest_centres_and_starts_meet_few_pairs(monkeypatch):
+    """Both equal the plain form on copies, clumps, ties and spheres, and the pairs that meet grow as the points do, not as points times centres."""
+
+    def plain(x, k, rng):
+        found = [rng.integers(len(x))]
+        far = ((x - x[found[0]]) ** 2).sum(axis=1)
+        while len(found) < k:
+            found.append(rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x)))
+            far = np.minimum(far, ((x - x[found[-1]]) ** 2).sum(axis=1))
+        return found
+
+    rng = np.random.default_rng(8)
+    ball = lambda n: (lambda g: g / np.linalg.norm(g, axis=1, keepdims=True))(rng.normal(size=(n, 3)))
+    clumps = np.concatenate([np.ones((2000, 3)), rng.normal(size=(1000, 3)) * 1e-6, rng.normal(size=(1000, 3))])
+    for x in (ball(4000), clumps, np.ones((1500, 3)), rng.integers(0, 6, (4000, 3)).astype(float), ball(3)):
+        for k in (1, 5, 150):
+            for c in (x[rng.choice(len(x), k)], x[rng.choice(len(x), k)] + rng.normal(size=(k, 3)) / 9):
+                d = ((x[:, None] - c) ** 2).sum(axis=2)
+                to, cost = terrain.nearest_centre(x, c)
+                assert (to == d.argmin(axis=1)).all() and (cost == d.min(axis=1)).all()
+            draws = lambda: [np.random.default_rng([s, 2]) for s in range(2)]
+            assert [list(f) for f in terrain.spread_starts(x, k, draws())] == [plain(x, k, r) for r in draws()]
+    odd = ball(600)
+    odd[3] = np.nan
+    c = ball(30)
+    assert (terrain.nearest_centre(odd, c)[0] == ((odd[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)).all()
+    assert len(terrain.nearest_centre(np.zeros((0, 3)), c)[0]) == 0
+    met, squares = [0], terrain._squares
+    monkeypatch.setattr(terrain, "_squares", lambda a, b: met.__setitem__(0, met[0] + len(a) * len(b)) or squares(a, b))
+    pairs = []
+    for n in (10_000, 80_000):
+        x = ball(n)
+        met[0] = 0
+        found = terrain.spread_starts(x, n // 100, [np.random.default_rng(1)])[0]
+        starts, met[0] = met[0], 0
+        terrain.nearest_centre(x, x[found])
+        pairs.append((starts, met[0]))
+    assert all(large < 20 * small for small, large in zip(*pairs))  # 64 times as many, if all met
+    assert max(pairs[1]) < 80_000 * 800 / 4
+
+
 def test_encoder_of_ones_own(spark):
     rows = spark.createDataFrame([(i, None if i == 3 else f"text {i}") for i in range(150)], "id long, text string")
 
