@@ -379,9 +379,6 @@ def nearest_centre(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.nd
             elif len(at) > BLOCK or len(few) > BLOCK and len(at) > 16:
                 todo += [(half, few) for half in _halves(x, at)]
                 continue
-        elif len(at) > BLOCK * BLOCK:
-            todo += [(half, few) for half in _halves(x, at)]
-            continue
         d = _squares(own, centre[few])
         best = d.argmin(axis=1)
         to[at], cost[at] = few[best], d[np.arange(len(own)), best]
